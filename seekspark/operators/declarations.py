@@ -1,0 +1,261 @@
+"""Where declarations start and end: a small scanner per source file.
+
+The scanner only finds spans (name, kind, first and last line, enclosing declaration). Everything
+made of them, chunks, headers, splits and preambles, is column work in ``hierarchy``. It stands in
+for a full parser: strings and comments are blanked, braces or `end` keywords are matched, and
+Python is read by the standard ``ast`` module. A file it cannot read yields no spans.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from seekspark.schemas import DECLARATIONS
+
+_WORD = r"[A-Za-z_$][\w$]*"
+_LEAD = r"^[ \t]*"
+_TS = _LEAD + r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
+_TS_MODIFIER = r"(?:(?:public|private|protected|static|readonly|async|override|abstract|get|set|declare)\s+)*"
+_JAVA = (
+    _LEAD + r"(?:@\w[\w.]*(?:\([^)]*\))?\s+)*"
+    r"(?:(?:public|protected|private|static|final|abstract|sealed|default|native|synchronized|strictfp)\s+)*"
+)
+_RS = _LEAD + r"(?:pub(?:\([^)]*\))?\s+)?"
+# Per grammar: (kind, holds members, only as a direct member of a holder, header pattern).
+HEADERS = {
+    "ts": [
+        ("function", False, False, _TS + rf"(?:async\s+)?function\b\s*\*?\s*(?P<n>{_WORD})"),
+        ("class", True, False, _TS + rf"(?:abstract\s+)?class\s+(?P<n>{_WORD})"),
+        ("interface", False, False, _TS + rf"interface\s+(?P<n>{_WORD})"),
+        ("type", False, False, _TS + rf"type\s+(?P<n>{_WORD})\s*(?:<[^=]*>)?\s*(?==)"),
+        ("type", False, False, _TS + rf"(?:const\s+)?enum\s+(?P<n>{_WORD})"),
+        ("function", False, True,
+         _LEAD + _TS_MODIFIER + rf"\*?\s*(?!(?:if|for|while|switch|catch|return|new|function)\b)(?P<n>#?{_WORD})"
+         r"\s*(?:<[^>(]*>)?(?=\()"),
+        ("class", False, True, _LEAD + _TS_MODIFIER + rf"(?P<n>#?{_WORD})[?!]?\s*(?=[:=;])"),
+    ],
+    "go": [
+        ("function", False, False, rf"^func\s+(?:\([^)]*\)\s*)?(?P<n>{_WORD})"),
+        ("type", False, False, rf"^type\s+(?P<n>{_WORD})(?:\[[^\]]*\])?\s+(?![=(])"),
+    ],
+    "java": [
+        ("class", True, False, _JAVA + rf"class\s+(?P<n>{_WORD})"),
+        ("interface", True, False, _JAVA + rf"interface\s+(?P<n>{_WORD})"),
+        ("type", False, False, _JAVA + rf"enum\s+(?P<n>{_WORD})"),
+        ("function", False, True,
+         _JAVA + rf"(?:<[^>]+>\s*)?(?:(?!(?:return|new|throw|else)\b)[\w.]+(?:<[^;{{(]*>)?(?:\[\])*\s+)?"
+         rf"(?!(?:if|for|while|switch|catch|synchronized|return|new|throw)\b)(?P<n>{_WORD})\s*(?=\()"),
+    ],
+    "rs": [
+        ("function", False, False,
+         _RS + rf'(?:(?:default|const|async|unsafe|extern(?:\s+"[^"]*")?)\s+)*fn\s+(?P<n>{_WORD})'),
+        ("type", False, False, _RS + rf"(?:struct|enum|trait|type)\s+(?P<n>{_WORD})"),
+        ("type", False, False, _RS + rf"unsafe\s+trait\s+(?P<n>{_WORD})"),
+        ("class", False, False, _RS + rf"mod\s+(?P<n>{_WORD})"),
+    ],
+}
+HEADERS["tsx"] = HEADERS["js"] = HEADERS["ts"]
+_COMPILED = {
+    g: [(k, h, m, re.compile(p, re.MULTILINE)) for k, h, m, p in rules] for g, rules in HEADERS.items()
+}
+_DOUBLE = r'"(?:\\.|[^"\\\n])*"'
+_NOISE = {
+    "ts": r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'|" + _DOUBLE,
+    "go": r"//[^\n]*|/\*.*?\*/|`[^`]*`|'(?:\\.|[^'\\\n])+'|" + _DOUBLE,
+    "java": r'//[^\n]*|/\*.*?\*/|""".*?"""|' + r"'(?:\\.|[^'\\\n])+'|" + _DOUBLE,
+    "rs": r"//[^\n]*|/\*.*?\*/|'(?:\\[^\n]+?|[^'\\\n])'|r#\".*?\"#|\"(?:\\.|[^\"\\])*\"",
+    "rb": r"#[^\n]*|^=begin.*?^=end[^\n]*|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"",
+}
+_NOISE["tsx"] = _NOISE["js"] = _NOISE["ts"]
+_NOISE_RE = {g: re.compile(p, re.DOTALL | re.MULTILINE) for g, p in _NOISE.items()}
+FLAT = ("go", "rs")
+
+
+def _blank(text: str, grammar: str) -> str:
+    """Comments and strings become spaces; positions and line breaks stay."""
+    return _NOISE_RE[grammar].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+
+
+def _span(name, kind, start, end, parent=-1, member=True, holder=False, label=None, scope=None) -> dict:
+    return {
+        "name": label or name, "kind": kind, "definition_of": name, "scope_path": scope,
+        "start_line": start, "end_line": end, "parent": parent, "member": member, "holder": holder,
+    }
+
+
+def _braced(text: str, grammar: str) -> list[dict]:
+    clean = _blank(text, grammar)
+    breaks = [m.start() for m in re.finditer("\n", clean)]
+    line = lambda position: bisect_right(breaks, position - 1) + 1
+    closing, opened, around = {}, [], []
+    for mark in re.finditer(r"[{}]", clean):
+        if mark.group() == "{":
+            around.append((mark.start(), opened[-1] if opened else -1))
+            opened.append(mark.start())
+        elif opened:
+            closing[opened.pop()] = mark.start()
+    opens, ups = [o for o, _ in around], dict(around)
+
+    def enclosing(position: int) -> int:
+        """Opening brace of the innermost block around a position, -1 at the top."""
+        at = opens[bisect_right(opens, position - 1) - 1] if opens and opens[0] < position else -1
+        while at >= 0 and closing.get(at, len(clean)) < position:
+            at = ups[at]
+        return at
+
+    found = []
+    for kind, holder, member_only, pattern in _COMPILED[grammar]:
+        for match in pattern.finditer(clean):
+            start = match.start() + len(match.group()) - len(match.group().lstrip())
+            found.append((start, match.end(), member_only, kind, holder, match.group("n")))
+    found.sort(key=lambda f: (f[0], f[2]))
+    spans: list[dict] = []
+    bodies: dict[int, int] = {}
+    taken_until = -1
+    for start, end, member_only, kind, holder, name in found:
+        block = enclosing(start)
+        parent = bodies.get(block, -1)
+        if member_only and (start < taken_until or parent < 0 or not spans[parent]["holder"]):
+            continue
+        body, stop = _extent(clean, end, closing)
+        if grammar == "rs" and kind == "function" and body < 0:
+            continue
+        if member_only and grammar == "java" and body < 0 and clean[stop - 1 : stop] != ";":
+            continue
+        above, up = parent, block
+        while above < 0 and up >= 0:
+            up = ups[up]
+            above = bodies.get(up, -1)
+        if body >= 0:
+            bodies[body] = len(spans)
+        direct = block < 0 or parent >= 0
+        flat = grammar in FLAT
+        span = _span(
+            name, kind, line(start), line(max(start, stop - 1)), parent=-1 if flat else above,
+            member=flat or direct, holder=holder,
+        )
+        if kind == "class" and member_only:
+            span["definition_of"] = None
+        spans.append(span)
+        taken_until = max(taken_until, end)
+    return spans
+
+
+def _extent(clean: str, at: int, closing: dict[int, int]) -> tuple[int, int]:
+    """(opening brace or -1, end position) of the declaration whose header ends at ``at``."""
+    depth = 0
+    for mark in re.compile(r"[(){};\n\[\]]").finditer(clean, at):
+        char, position = mark.group(), mark.start()
+        if char in "([":
+            depth += 1
+        elif char in ")]":
+            depth -= 1
+        elif char == "{" and depth <= 0:
+            close = closing.get(position, len(clean) - 1)
+            return position, close + 1
+        elif char == ";" and depth <= 0:
+            return -1, position + 1
+        elif char == "}" and depth <= 0:
+            return -1, position
+        elif char == "\n" and depth <= 0 and re.match(r"\s*\n|\s*(?:[\w@#}*]|$)", clean[position + 1 : position + 200]):
+            # A bare line ends a field, an alias or a signature unless the next line goes on.
+            if not re.search(r"[=,|&:<+\-]\s*\Z", clean[at:position]) and not re.match(
+                r"\s*(?:extends|implements|where|throws|permits)\b", clean[position + 1 : position + 200]
+            ):
+                return -1, position
+    return -1, len(clean)
+
+
+def _python(text: str) -> list[dict]:
+    spans: list[dict] = []
+
+    def visit(node: ast.AST, parent: int, in_class: bool, direct: bool) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                is_class = isinstance(child, ast.ClassDef)
+                member = direct and not (in_class and child.decorator_list)
+                spans.append(_span(
+                    child.name, "class" if is_class else "function", child.lineno, child.end_lineno,
+                    parent=parent, member=member, holder=is_class,
+                ))
+                visit(child, len(spans) - 1, is_class, is_class)
+            else:
+                visit(child, parent, in_class, False)
+
+    visit(ast.parse(text), -1, False, True)
+    return spans
+
+
+_RB_MARK = re.compile(
+    r"(?:^|;|=|\|\||&&|\()\s*(?P<open>class|module|def|if|unless|while|until|case|begin|for)\b(?!\s*[:?])"
+    r"|(?P<do>\bdo\b)|(?<![.:\w@])(?P<end>end)\b(?![?!:])"
+)
+_RB_NAME = {
+    "class": re.compile(r"\s+(?P<n>[A-Z][\w:]*)"), "module": re.compile(r"\s+(?P<n>[A-Z][\w:]*)"),
+    "def": re.compile(r"\s+(?:[\w]+\.)?(?P<n>[A-Za-z_]\w*[!?=]?|[^\w\s(]+)(?P<rest>[^\n;]*)"),
+}
+
+
+def _ruby(text: str) -> list[dict]:
+    spans: list[dict] = []
+    opened: list[int] = []  # index of the span a block belongs to, -1 for an unnamed block
+    for number, line in enumerate(_blank(text, "rb").split("\n"), 1):
+        loop = re.match(r"\s*(?:while|until|for)\b", line)
+        for mark in _RB_MARK.finditer(line):
+            word = mark.group("open")
+            if mark.group("end"):
+                index = opened.pop() if opened else -1
+                if index >= 0:
+                    spans[index]["end_line"] = number
+            elif word in _RB_NAME and (named := _RB_NAME[word].match(line, mark.end("open"))):
+                name = named.group("n")
+                above = next((i for i in reversed(opened) if i >= 0), -1)
+                holders = [spans[i]["definition_of"] for i in opened if i >= 0 and spans[i]["holder"]]
+                scope = holders[-1] if holders else None
+                if word == "def":
+                    label = f"{scope}#{name}" if scope else name
+                    one_line = re.match(r"(?:\([^)]*\))?\s*=\s", named.group("rest") or "")
+                    spans.append(_span(name, "function", number, number, above, True, False, label, scope))
+                    if one_line:
+                        continue
+                else:
+                    full = f"{scope}::{name}" if scope else name
+                    spans.append(_span(full, "class", number, number, above, True, True, full, scope))
+                opened.append(len(spans) - 1)
+            elif word or (mark.group("do") and not loop):
+                opened.append(-1)
+    return spans
+
+
+def scan_declarations(text: str, grammar: str) -> list[dict]:
+    """Spans in source order; ``parent`` is the index of the enclosing span, ``root`` of the outermost."""
+    if grammar == "py":
+        spans = _python(text)
+    else:
+        spans = _ruby(text) if grammar == "rb" else _braced(text, grammar)
+    for index, span in enumerate(spans):
+        up = spans[span["parent"]] if span["parent"] >= 0 else None
+        span.update(root=up["root"] if up else index, members=0, members_end=0)
+        if up and span["member"]:
+            up["members"] += 1
+            up["members_end"] = max(up["members_end"], span["end_line"])
+    return spans
+
+
+@F.pandas_udf(DECLARATIONS)
+def declarations(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Spans per file; rows without a grammar or text pass through as empty."""
+    for texts, grammars in batches:
+        out = []
+        for text, grammar in zip(texts, grammars):
+            try:
+                out.append(scan_declarations(text.replace("\r\n", "\n"), grammar) if text and grammar else [])
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                out.append([])
+        yield pd.Series(out)

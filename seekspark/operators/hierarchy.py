@@ -1,0 +1,170 @@
+"""Chunks from declaration spans: whole declarations, or the members of those too long for one chunk.
+
+A declaration that holds members and is longer than a chunk is opened up; every other declaration
+reached that way is a unit. Units get the lines since the previous unit of the same outermost
+declaration as a header, long units are cut into pieces, and the rest of an opened declaration is
+its tail. All of it is array work on one row per file, so no shuffle is needed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from seekspark.functions.text import SPACE
+from seekspark.operators.lines import line_slice, piece_starts, windows
+
+
+def chunk_struct(start: Column, end: Column, body: Column, language: Column, mode: str | Column, **fields: Column) -> Column:
+    """One chunk with the full set of fields, absent ones null."""
+    optional = ("symbol_name", "symbol_kind", "scope_path", "definition_of")
+    trailing = ("config_file", "config_env")
+    pick = lambda n: fields.get(n, F.lit(None)).cast("string").alias(n)
+    return F.struct(
+        start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), body.alias("body"),
+        language.alias("language"), *[pick(n) for n in optional],
+        (F.lit(mode) if isinstance(mode, str) else mode).alias("chunk_mode"), *[pick(n) for n in trailing],
+    )
+
+
+def window_chunks(lines: Column, first: Column, last: Column, size: int, overlap: int, language: Column, mode: str | None) -> Column:
+    cut = windows(lines, first, last, size, overlap)
+    mode_column = F.lit(mode).cast("string")
+    return F.transform(cut, lambda w: chunk_struct(w["start_line"], w["end_line"], w["body"], language, mode_column))
+
+
+def has_text(lines: Column, first: Column, last: Column) -> Column:
+    """Any line of the range with more than white space."""
+    part = F.slice(lines, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0)))
+    return F.exists(part, lambda line: line.rlike(f"[^{SPACE[1:-1]}]"))
+
+
+def _opened(span: Column, size: int) -> Column:
+    return span["holder"] & (span["members"] > 0) & (span["end_line"] - span["start_line"] + 1 > size)
+
+
+def _extend(value: Column, names: list[str], **more: Column) -> Column:
+    """The struct with further fields."""
+    return F.struct(*[value[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
+
+
+_UNIT = [
+    "start_line", "tail", "end_line", "name", "kind", "definition_of", "scope_path", "root_start", "parent_name",
+    "parent_start",
+]
+
+
+def _unit(spans: Column, span: Column, start: Column, definition: Column, tail: bool) -> Column:
+    up = F.get(spans, F.when(span["parent"] >= 0, span["parent"]))
+    values = (
+        start, F.lit(tail), span["end_line"], span["name"], span["kind"], definition, span["scope_path"],
+        F.get(spans, span["root"])["start_line"], up["name"], up["start_line"],
+    )
+    return F.struct(*[v.alias(n) for v, n in zip(values, _UNIT)])
+
+
+def hierarchy_chunks(
+    files: DataFrame, size: int, window: tuple[int, int], cover_gaps: bool, into: str = "parsed_chunks"
+) -> DataFrame:
+    """Adds the chunks of each parsed file; an empty array when it declares nothing.
+
+    Expects spans, lines, grammar and language. Each step is its own column: a lambda that looks
+    at a neighbour must look it up in a finished array, not compute the array again.
+    """
+    spans, lines, grammar, language = (F.col(c) for c in ("spans", "lines", "grammar", "language"))
+    tails_allowed = F.lit(cover_gaps) | (grammar != "java")
+
+    reached = F.filter(
+        spans,
+        lambda s: s["member"] & ~_opened(s, size)
+        & ((s["parent"] < 0) | _opened(F.get(spans, F.greatest(s["parent"], F.lit(0))), size)),
+    )
+    opened = F.filter(
+        spans,
+        lambda s: _opened(s, size) & (s["members_end"] < s["end_line"]) & tails_allowed
+        & has_text(lines, s["members_end"] + 1, s["end_line"]),
+    )
+    out = files.withColumn("_units", F.array_sort(F.concat(
+        F.transform(reached, lambda s: _unit(spans, s, s["start_line"], s["definition_of"], False)),
+        F.transform(opened, lambda s: _unit(spans, s, s["members_end"] + 1, s["name"], True)),
+    )))
+    # Lines since the previous unit of the same outermost declaration may become a header.
+    found = F.col("_units")
+    out = out.withColumn("_headed", F.transform(
+        found,
+        lambda u, i: _extend(
+            u, _UNIT, before=F.coalesce(F.get(found, i - 1)["end_line"], F.lit(0)),
+            header=F.greatest(F.coalesce(F.get(found, i - 1)["end_line"] + 1, u["root_start"]), u["root_start"]),
+        ),
+    ))
+    out = out.withColumn("_headed", F.transform(
+        F.col("_headed"),
+        lambda u: _extend(
+            u, [*_UNIT, "before", "header"],
+            headed=~u["tail"] & u["parent_name"].isNotNull() & (u["header"] < u["start_line"])
+            & (tails_allowed | (u["kind"] != "function")) & has_text(lines, u["header"], u["start_line"] - 1),
+        ),
+    ))
+    # The text before the first declaration joins the first chunk.
+    out = out.withColumn("_headed", F.transform(
+        F.col("_headed"),
+        lambda u, i: _extend(
+            u, ["start_line", "end_line", "name", "kind", "definition_of", "scope_path"],
+            begin=F.when(
+                (i == 0) & (grammar != "rs")
+                & has_text(lines, F.lit(1), F.when(u["headed"], u["header"]).otherwise(u["start_line"]) - 1), F.lit(1),
+            ).when(u["headed"], u["header"]).otherwise(u["start_line"]),
+            split=~u["tail"] & (u["end_line"] - u["start_line"] + 1 > size),
+            label=F.when(
+                u["headed"] & grammar.isin("ts", "tsx", "js") & (u["before"] < u["parent_start"]), u["parent_name"]
+            ).otherwise(u["definition_of"]),
+        ),
+    ))
+
+    def pieces(u: Column) -> Column:
+        starts = F.when(u["split"], piece_starts(u["start_line"], u["end_line"], size)).otherwise(F.array(u["start_line"]))
+
+        def piece(s: Column, k: Column) -> Column:
+            end = F.when(u["split"], F.least(s + F.lit(size - 1), u["end_line"])).otherwise(u["end_line"])
+            begin = F.when(k == 0, u["begin"]).otherwise(s)
+            label = F.when(u["split"], F.coalesce(u["label"], u["name"])).otherwise(u["label"])
+            return chunk_struct(
+                begin, end, line_slice(lines, begin, end), language,
+                F.when(u["split"], "symbol_split").otherwise("symbol"),
+                symbol_name=u["name"], symbol_kind=u["kind"], scope_path=u["scope_path"],
+                definition_of=F.when(k == 0, label),
+            )
+
+        return F.transform(starts, piece)
+
+    out = out.withColumn(into, F.flatten(F.transform(F.col("_headed"), pieces)))
+    if cover_gaps:
+        out = out.withColumn("_gaps", _gaps(F.col(into), lines))
+        rest = F.flatten(F.transform(
+            F.filter("_gaps", lambda g: has_text(lines, g["a"], g["b"])),
+            lambda g: window_chunks(lines, g["a"], g["b"], *window, language, "fallback_lexical"),
+        ))
+        out = out.withColumn(into, F.when(F.size(into) == 0, F.col(into)).otherwise(
+            F.array_sort(F.concat(F.col(into), rest))
+        ))
+    return out
+
+
+def _gaps(chunks: Column, lines: Column) -> Column:
+    """Line ranges no chunk holds."""
+    edges = F.concat(
+        F.transform(chunks, lambda c: F.struct(c["start_line"].alias("a"), c["end_line"].alias("b"))),
+        F.array(F.struct((F.size(lines) + 1).alias("a"), (F.size(lines) + 1).alias("b"))),
+    )
+    return F.aggregate(
+        F.array_sort(edges),
+        F.struct(F.lit(0).alias("covered"), F.array().cast("array<struct<a:int,b:int>>").alias("gaps")),
+        lambda acc, e: F.struct(
+            F.greatest(acc["covered"], e["b"]).alias("covered"),
+            F.when(
+                e["a"] > acc["covered"] + 1,
+                F.concat(acc["gaps"], F.array(F.struct((acc["covered"] + 1).alias("a"), (e["a"] - 1).alias("b")))),
+            ).otherwise(acc["gaps"]).alias("gaps"),
+        ),
+        lambda acc: acc["gaps"],
+    )
