@@ -110,13 +110,10 @@ def chunk_files(files: DataFrame, cfg: EngineConfig) -> DataFrame:
     # Sections and parsed files need no symbols; the condition keeps the line regexes off them.
     base = base.withColumn("matched", F.when(pending, regex_spans(lines, language)))
     if parsed:
-        base = base.withColumns({
-            "span_lines": F.transform("spans", lambda s: s["start_line"]),
-            "flat_spans": F.transform("spans", lambda s: F.struct(
-                *[s[n].alias(n) for n in ("name", "kind", "start_line", "scope_path")]
-            )),
-        })
-        base = base.withColumn("matched", merge_spans(F.col("flat_spans"), F.col("span_lines"), F.col("matched")))
+        flat = F.transform("spans", lambda s: F.struct(
+            *[s[n].alias(n) for n in ("name", "kind", "start_line", "scope_path")]
+        ))
+        base = base.withColumn("matched", merge_spans(flat, F.col("matched")))
     base = base.withColumn("ranked", rank_spans(F.col("matched")))
     base = base.withColumn("symbols", last_per_line(F.col("ranked")))
     use(F.size("symbols") > 0, symbol_chunks(F.col("symbols"), lines, language, cfg))

@@ -69,9 +69,9 @@ def bm25(
         counted = posted.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
     else:
         counted = posted
-    weighted = wanted.join(term_frequencies(counted), "term").join(F.broadcast(stats)).select(
-        "query_id", "term", "avg_dl",
-        (F.col("qtf") * inverse_frequency(F.col("df"), F.col("n_docs"))).alias("weight"),
+    n_docs, avg_dl = (stats.select(c).scalar() for c in ("n_docs", "avg_dl"))
+    weighted = wanted.join(term_frequencies(counted), "term").select(
+        "query_id", "term", (F.col("qtf") * inverse_frequency(F.col("df"), n_docs)).alias("weight")
     )
     pool = (posted if allowed is None else posted.filter(allowed)).select("chunk_id", "term", "tf", "dl")
     if few_terms:
@@ -80,5 +80,6 @@ def bm25(
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")
         spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         matched = pool.withColumn("_salt", salt).join(spread, ["term", "_salt"])
-    score = F.col("weight") * term_score(F.col("tf"), F.col("dl"), F.col("avg_dl"), k1, b)
-    return matched.groupBy("query_id", "chunk_id").agg(F.sum(score).alias("score"))
+    score = F.col("weight") * term_score(F.col("tf"), F.col("dl"), avg_dl, k1, b)
+    # Rounding makes chunks of equal text tie, in whatever order their terms were added up.
+    return matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), 9).alias("score"))

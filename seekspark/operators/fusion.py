@@ -17,10 +17,13 @@ def leg_depth(hybrid_depth: int, limit: int, narrowing: bool) -> int:
 def reciprocal_rank(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
     """(query_id, chunk_id, score) from two legs of (query_id, chunk_id, ord); ranks start at 1.
 
-    A union and one aggregation: the same as a full outer join, with a single shuffle.
+    Other columns of the first leg are kept, null where only the second leg found the chunk.
     """
-    both = first.select("query_id", "chunk_id", "ord").unionByName(second.select("query_id", "chunk_id", "ord"))
-    return both.groupBy("query_id", "chunk_id").agg(F.sum(1 / (F.lit(k) + F.col("ord"))).alias("score"))
+    both = first.withColumnRenamed("ord", "_first").join(
+        second.select("query_id", "chunk_id", F.col("ord").alias("_second")), ["query_id", "chunk_id"], "full_outer"
+    )
+    share = lambda rank: F.coalesce(1 / (F.lit(k) + F.col(rank)), F.lit(0.0))
+    return both.withColumn("score", share("_first") + share("_second")).drop("_first", "_second")
 
 
 def fuse(first: DataFrame, second: DataFrame, limit: int, k: int = 60) -> DataFrame:

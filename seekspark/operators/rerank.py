@@ -46,8 +46,8 @@ def hit_features(hits: DataFrame, features: DataFrame, cfg: EngineConfig) -> Dat
     body, path, tokens, patterns = (F.col(c) for c in ("_text", "_path", "tokens", "patterns"))
     return low.withColumns({
         "lexical": text.share_contained(tokens, body),
-        "exact": text.share_whole_words(patterns, body),
-        "exact_path": text.share_whole_words(patterns, path),
+        "exact": text.share_whole_words(tokens, patterns, body),
+        "exact_path": text.share_whole_words(tokens, patterns, path),
         "path_hint": text.share_contained(tokens, path),
         "symbol": text.share_contained_in_either(F.col("symbols"), body, path),
         "path_prior": scoring.code_path_prior(
@@ -61,6 +61,10 @@ def hit_features(hits: DataFrame, features: DataFrame, cfg: EngineConfig) -> Dat
     }).drop("_text", "_path")
 
 
+def shuffle_partitions(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def with_rerank_score(featured: DataFrame) -> DataFrame:
     c = F.col
     prior = c("path_prior") + c("demotion") + c("definition_prior") + c("classifier_prior")
@@ -71,7 +75,9 @@ def with_rerank_score(featured: DataFrame) -> DataFrame:
 
 def rerank(hits: DataFrame, features: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Hits in their new order; the retrieval order breaks ties."""
-    scored = with_rerank_score(hit_features(hits, features, cfg)).select(*hits.columns, "rerank_score")
+    # The final ranks need the hits by query anyway; shuffling first spreads the feature work too.
+    spread = hits.repartition(shuffle_partitions(hits), "query_id")
+    scored = with_rerank_score(hit_features(spread, features, cfg)).select(*hits.columns, "rerank_score")
     return renumber(scored, F.col("rerank_score").desc(), F.col("ord"))
 
 

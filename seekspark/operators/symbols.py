@@ -7,11 +7,11 @@ import string
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seekspark.functions.columns import let
 from seekspark.functions.text import trim
-from seekspark.operators.lines import split_lines
 from seekspark.schemas import KEYS
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -91,9 +91,12 @@ def regex_spans(lines: Column, language: Column) -> Column:
     )
 
 
-def merge_spans(parsed: Column, parsed_lines: Column, matched: Column) -> Column:
+def merge_spans(parsed: Column, matched: Column) -> Column:
     """Parsed spans win their line; regex spans fill the other lines; exact repeats collapse."""
-    rest = F.filter(matched, lambda s: ~F.array_contains(parsed_lines, s["start_line"]))
+    rest = let(
+        F.transform(parsed, lambda s: s["start_line"]),
+        lambda taken: F.filter(matched, lambda s: ~F.array_contains(taken, s["start_line"])),
+    )
     return F.array_distinct(F.concat(parsed, rest))
 
 
@@ -176,18 +179,3 @@ def scan_json_keys(text: str) -> list[dict]:
 def json_keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: scan_json_keys(re.sub(r"\r\n", "\n", t or "")))
-
-
-def key_sections(files: DataFrame, keys: Column) -> DataFrame:
-    """(path, lines, ...) with their keys -> one row per section, up to the line before the next key."""
-    base = files.withColumn("_keys", keys)
-    rows = base.select("*", F.posexplode("_keys").alias("ordinal", "_key"))
-    following = F.get(F.col("_keys"), F.col("ordinal") + 1)["line"]
-    return rows.select(
-        *files.columns, "ordinal", F.col("_key.key").alias("key"), F.col("_key.line").alias("start_line"),
-        F.coalesce(following - 1, F.size("lines")).alias("end_line"),
-    )
-
-
-def with_lines(files: DataFrame) -> DataFrame:
-    return files.withColumn("lines", split_lines(F.col("text")))

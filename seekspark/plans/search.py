@@ -105,17 +105,18 @@ def retrieve(queries: DataFrame, tables: SearchTables, scope: PathScope, limit:
     alone = by_vector.select("query_id", "chunk_id", similarity(F.col("distance")).alias("score"), "ord")
     if not hybrid:
         return alone.filter(F.col("ord") <= limit).withColumn("retrieval_mode", F.lit("vector"))
-    blank = trim(F.col("query")) == ""
-    worded = queries.filter(~blank)
-    scored = bm25(worded, tables.postings, tables.stats, cfg.bm25_k1, cfg.bm25_b, allowed)
+    is_blank = trim(F.col("query")) == ""
+    scored = bm25(queries.filter(~is_blank), tables.postings, tables.stats, cfg.bm25_k1, cfg.bm25_b, allowed)
     by_text = best_per_query(scored, depth, F.col("score").desc(), F.col("chunk_id"))
-    worded_ids = worded.select("query_id")
-    legs = by_vector.filter(F.col("ord") <= depth).join(worded_ids, "query_id", "left_semi")
-    fused = reciprocal_rank(legs, by_text, cfg.rrf_k).withColumn("retrieval_mode", F.lit("hybrid"))
-    unworded = (
-        alone.join(worded_ids, "query_id", "left_anti").drop("ord").withColumn("retrieval_mode", F.lit("vector"))
+    # A blank query has no text leg: its hits keep the score of the vector leg.
+    by_vector = by_vector.join(queries.select("query_id", is_blank.alias("_blank")), "query_id")
+    fused = reciprocal_rank(by_vector.filter(F.col("_blank") | (F.col("ord") <= depth)), by_text, cfg.rrf_k)
+    blank = F.coalesce(F.col("_blank"), F.lit(False))
+    scores = fused.select(
+        "query_id", "chunk_id", F.when(blank, similarity(F.col("distance"))).otherwise(F.col("score")).alias("score"),
+        F.when(blank, "vector").otherwise("hybrid").alias("retrieval_mode"),
     )
-    return best_per_query(fused.unionByName(unworded), limit, F.col("score").desc(), F.col("chunk_id"))
+    return best_per_query(scores, limit, F.col("score").desc(), F.col("chunk_id"))
 
 
 def _overfetched(queries: DataFrame, tables: SearchTables, scope: PathScope, limit: int, cfg: EngineConfig) -> DataFrame:
