@@ -23,13 +23,10 @@ def postings(chunks: DataFrame, text: Column, keys: tuple[str, ...] = ("chunk_id
     return rows.groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def document_lengths(chunks: DataFrame, text: Column, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
-    return chunks.select(*keys, F.size(index_terms(text)).cast("bigint").alias("dl"))
-
-
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean length."""
-    return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+def corpus_stats(chunks: DataFrame, posted: DataFrame) -> DataFrame:
+    """One row: number of chunks, those without any term included, and their mean length."""
+    counted = chunks.agg(F.count("*").alias("n_docs"))
+    return counted.withColumn("avg_dl", posted.agg(F.sum("tf").alias("n")).scalar() / F.col("n_docs"))
 
 
 def term_frequencies(posted: DataFrame) -> DataFrame:

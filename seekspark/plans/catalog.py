@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +18,14 @@ from seekspark.operators.chunking import (
 from seekspark.operators.embedding import embed_column
 from seekspark.operators.fusion import fuse
 from seekspark.operators.lines import line_windows, split_lines
-from seekspark.operators.nearest import nearest, over_fetch, similarity
+from seekspark.operators.nearest import nearest, similarity
 from seekspark.operators.rerank import (
-    cross_encode, hit_features, query_features, rerank, sort_by_definition, sort_by_focus,
+    cross_encode, hit_features, query_features, rerank, shuffle_partitions, sort_by_definition, sort_by_focus,
 )
 from seekspark.operators.symbols import json_keys, last_per_line, merge_spans, rank_spans, regex_spans, yaml_keys
 from seekspark.operators.topk import best_per_query
 from seekspark.plans.search import SearchRequest, SearchTables, path_scope, retrieve, search_plan, with_chunk_columns
+from seekspark.session import written
 from seekspark.sources.corpus import files, page_files, source_files, table, varied_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,9 +375,8 @@ def document_tables(spark, sf) -> SearchTables:
         F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("definition_of"),
     )
     keyed = corpus.select(chunk_id(F.col("path"), F.lit(0)).alias("chunk_id"), "path", "text")
-    posted = fulltext.postings(keyed, F.col("text"), ("chunk_id", "path"))
-    stats = fulltext.corpus_stats(fulltext.document_lengths(keyed, F.col("text")))
-    return SearchTables(chunks, posted, stats)
+    posted = written(fulltext.postings(keyed, F.col("text"), ("chunk_id", "path")), "postings")
+    return SearchTables(chunks, posted, fulltext.corpus_stats(keyed, posted))
 
 
 @register
@@ -396,8 +395,8 @@ def postings_stats(spark, sf):
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_hits(spark, sf, k: int, queries: DataFrame | None = None) -> DataFrame:
-    tables = document_tables(spark, sf)
+def bm25_hits(spark, sf, k: int, queries: DataFrame | None = None, tables: SearchTables | None = None) -> DataFrame:
+    tables = tables or document_tables(spark, sf)
     asked = benchmark_queries(spark, sf) if queries is None else queries
     scored = fulltext.bm25(asked, tables.postings, tables.stats)
     return best_per_query(scored, k, F.col("score").desc(), F.col("chunk_id"))
@@ -411,8 +410,9 @@ def bm25_topk(spark, sf):
 @register
 def rrf_fusion(spark, sf):
     asked = benchmark_queries(spark, sf)
-    by_text = bm25_hits(spark, sf, 100, asked)
-    by_vector = nearest(asked, document_tables(spark, sf).chunks, 100)
+    tables = document_tables(spark, sf)
+    by_text = bm25_hits(spark, sf, 100, asked, tables)
+    by_vector = nearest(asked, tables.chunks, 100)
     return fuse(by_vector, by_text, 100).select("query_id", "ord", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -533,14 +533,16 @@ def classifier_prior(spark, sf):
 
 
 def _text_candidates(spark, sf, queries: DataFrame) -> DataFrame:
-    found = bm25_hits(spark, sf, 100, queries)
-    return with_chunk_columns(found, document_tables(spark, sf), small=False)
+    tables = document_tables(spark, sf)
+    return with_chunk_columns(bm25_hits(spark, sf, 100, queries, tables), tables, small=False)
 
 
 @register
 def lexical_features(spark, sf):
     asked = benchmark_queries(spark, sf)
-    rows = hit_features(_text_candidates(spark, sf, asked), query_features(asked, CFG), CFG)
+    candidates = _text_candidates(spark, sf, asked)
+    spread_out = candidates.repartition(shuffle_partitions(candidates), "query_id")
+    rows = hit_features(spread_out, query_features(asked, CFG), CFG)
     names = ("lexical", "exact", "exact_path", "path_hint", "symbol")
     return rows.select("query_id", "ord", "chunk_id", *[F.round(n, 6).alias(n) for n in names])
 
@@ -632,16 +634,17 @@ def match_confidence_words(spark, sf):
 
 # ---- end to end ---------------------------------------------------------------------------------------
 def chunk_tables(spark, sf, cfg: EngineConfig) -> SearchTables:
-    """Chunks, vectors and postings of all documents, built in the plan instead of read from an index."""
+    """Chunks, vectors and postings of all documents, written as an index would write them."""
     cut = chunk_files(files(spark, sf).select("path", "text"), cfg)
     chunks = cut.withColumns({
         "chunk_id": chunk_id(F.col("path"), F.col("ordinal")),
         "vector": embed_column(embedding_text(cfg.embed_definition_tag), cfg),
         "header": storage_header(F.col("path")),
     })
-    searchable = F.concat_ws(" ", "header", "body")
-    posted = fulltext.postings(chunks, searchable, ("chunk_id", "path"))
-    return SearchTables(chunks, posted, fulltext.corpus_stats(fulltext.document_lengths(chunks, searchable)))
+    columns = ("chunk_id", "path", "start_line", "end_line", "header", "body", "vector", "definition_of")
+    chunks = written(chunks.select(*columns), "chunks")
+    posted = written(fulltext.postings(chunks, F.concat_ws(" ", "header", "body"), ("chunk_id", "path")), "postings")
+    return SearchTables(chunks, posted, fulltext.corpus_stats(chunks, posted))
 
 
 @register
@@ -662,6 +665,3 @@ def search_e2e(spark, sf):
 
 def everything() -> dict[str, Query]:
     return dict(CATALOG)
-
-
-__all__ = ["CATALOG", "everything", "over_fetch", "reduce"]

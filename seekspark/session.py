@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -42,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def ensure_checkpointing(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, read often, and no lineage to replay."""
+    target = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(target)
+    return frame.sparkSession.read.schema(frame.schema).parquet(target)

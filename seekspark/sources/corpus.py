@@ -15,6 +15,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals a small input out to all tasks: one Parquet row group is one task, however heavy its texts.
+
+    Large inputs come in more pieces than there are tasks and stay as they are, without a shuffle.
+    """
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < 2 * tasks else rows
+
+
 def _pick(key: Column, choices: list[Column]) -> Column:
     out = None
     for number, choice in enumerate(choices):
@@ -41,7 +50,7 @@ VARIED_PATHS = (
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, path, text, size, mtime_ms."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
     path = _pick(F.col("doc_id"), [_name(t, F.col("doc_id"), F.col("source")) for t in FILE_PATHS])
     return docs.select(
         "doc_id", path.alias("path"), "text", F.length("text").cast("bigint").alias("size"),
@@ -80,7 +89,8 @@ SOURCES = (
 
 def source_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, path, text: each document rewritten as a source or config file, line by line."""
-    docs = table(spark, folder, "documents").select("doc_id", F.split("text", r"\r?\n").alias("_lines"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.split("text", r"\r?\n").alias("_lines"))
     number = F.col("doc_id").cast("string")
 
     def fill(template: str, word: Column, plain: Column) -> Column:
