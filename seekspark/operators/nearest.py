@@ -6,6 +6,7 @@ k best per query, so the shuffle carries tasks x queries x k short rows and neve
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,6 @@ def over_fetch(limit: int, prefix: bool, narrowing: bool) -> int:
 def _scan(ids: np.ndarray, matrix: np.ndarray, k: int):
     """The mapper: keeps the k nearest rows per query across all batches of a partition."""
 
-    def best(candidates: list, row: int) -> list:
-        candidates.sort(key=lambda c: (c[0], c[1]))
-        return candidates[:k]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = (matrix * matrix).sum(axis=1)
         kept: list[list] = [[] for _ in ids]
@@ -65,7 +62,7 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, k: int):
                 gap = vectors[near] - matrix[row]
                 exact = (gap * gap).sum(axis=1)
                 kept[row].extend(zip(exact.tolist(), (names[int(i)].as_py() for i in near)))
-                kept[row] = best(kept[row], row)
+                kept[row] = sorted(kept[row])[:k]
                 if len(kept[row]) == k:
                     limits[row] = kept[row][-1][0]
         rows = [(int(q), name, distance) for q, found in zip(ids, kept) for distance, name in found]
@@ -101,7 +98,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         else:
             found = _block_neighbours(vectors, ids, np.array([r.vector for r in head], dtype=np.float64), k)
     else:
-        target = f"{shared_folder(spark)}/nearest-{spark.sparkContext.applicationId}-{id(wanted)}"
+        target = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}"
         block: list = []
 
         def flush() -> None:

@@ -26,8 +26,6 @@ from seekspark.operators.rerank import (
 )
 from seekspark.operators.topk import best_per_query
 
-# A batch whose hits are broadcast to the chunk table: at most this many queries.
-SMALL_BATCH = 2_000
 HIT_COLUMNS = [
     "query_id", "ord", "chunk_id", "path", "start_line", "end_line", "text", "score", "rerank_score",
     "definition_of", "cross_encoder_logit",
@@ -133,7 +131,10 @@ def path_of_chunk(chunk_id: Column) -> Column:
 
 
 def with_chunk_columns(found: DataFrame, tables: SearchTables, small: bool) -> DataFrame:
-    """Looks the hits up in the chunk table, reading only the buckets they lie in."""
+    """Looks the hits up in the chunk table, reading only the buckets they lie in.
+
+    ``small`` is for the hits of a single query, at most 800 short rows, which are then broadcast.
+    """
     columns = ["chunk_id", "path", "start_line", "end_line", F.col("body").alias("text"), "definition_of"]
     keys = ["chunk_id"]
     if tables.path_buckets and "path_bucket" in tables.chunks.columns:
