@@ -20,11 +20,11 @@ from seekspark.operators.fusion import fuse
 from seekspark.operators.lines import line_windows, split_lines
 from seekspark.operators.nearest import nearest, similarity
 from seekspark.operators.rerank import (
-    cross_encode, hit_features, query_features, rerank, shuffle_partitions, sort_by_definition, sort_by_focus,
+    cross_encode, hit_features, query_features, rerank, sort_by_definition, sort_by_focus,
 )
 from seekspark.operators.symbols import json_keys, last_per_line, merge_spans, rank_spans, regex_spans, yaml_keys
 from seekspark.operators.topk import best_per_query
-from seekspark.plans.search import SearchRequest, SearchTables, path_scope, retrieve, search_plan, with_chunk_columns
+from seekspark.plans.search import SearchRequest, SearchTables, is_small_batch, path_scope, retrieve, search_plan, with_chunk_columns
 from seekspark.session import written
 from seekspark.sources.corpus import files, page_files, source_files, table, varied_paths
 
@@ -534,15 +534,13 @@ def classifier_prior(spark, sf):
 
 def _text_candidates(spark, sf, queries: DataFrame) -> DataFrame:
     tables = document_tables(spark, sf)
-    return with_chunk_columns(bm25_hits(spark, sf, 100, queries, tables), tables, small=False)
+    return with_chunk_columns(bm25_hits(spark, sf, 100, queries, tables), tables, is_small_batch(queries))
 
 
 @register
 def lexical_features(spark, sf):
     asked = benchmark_queries(spark, sf)
-    candidates = _text_candidates(spark, sf, asked)
-    spread_out = candidates.repartition(shuffle_partitions(candidates), "query_id")
-    rows = hit_features(spread_out, query_features(asked, CFG), CFG)
+    rows = hit_features(_text_candidates(spark, sf, asked), query_features(asked, CFG), CFG)
     names = ("lexical", "exact", "exact_path", "path_hint", "symbol")
     return rows.select("query_id", "ord", "chunk_id", *[F.round(n, 6).alias(n) for n in names])
 
@@ -550,7 +548,7 @@ def lexical_features(spark, sf):
 def _candidates(spark, sf, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
     tables = document_tables(spark, sf)
     found = retrieve(queries, tables, path_scope(SearchRequest("x"), cfg), cfg.rerank_candidates, cfg)
-    return with_chunk_columns(found, tables, small=False)
+    return with_chunk_columns(found, tables, is_small_batch(queries))
 
 
 def _focused(queries: DataFrame, prefix: str = "") -> DataFrame:
@@ -650,7 +648,10 @@ def chunk_tables(spark, sf, cfg: EngineConfig) -> SearchTables:
 @register
 def search_e2e(spark, sf):
     """Chunk, embed, retrieve, fuse, rerank and assess: every benchmark text against all documents."""
-    cfg = CFG.with_(config_aware_chunking=True)
+    return _end_to_end(spark, sf, CFG.with_(config_aware_chunking=True))
+
+
+def _end_to_end(spark, sf, cfg: EngineConfig) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("auto").alias("query_classifier"),
         embed_column(F.col("text"), cfg).alias("vector"),
@@ -663,5 +664,11 @@ def search_e2e(spark, sf):
     )
 
 
+@register
+def search_chunks(spark, sf):
+    """The same search over plain line windows."""
+    return _end_to_end(spark, sf, CFG.with_(code_aware_chunking=False))
+
+
 def everything() -> dict[str, Query]:
     return dict(CATALOG)

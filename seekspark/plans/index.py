@@ -222,9 +222,9 @@ class CodeIndex:
 
     def search_batch(self, queries: DataFrame, request: SearchRequest | None = None) -> tuple[DataFrame, DataFrame]:
         """(query_id, query [, query_classifier]) -> (hits, assessment). The request filters the whole batch."""
-        return self._run(with_vectors(queries, self.cfg), request or SearchRequest("*"), small=False)
+        return self._run(with_vectors(queries, self.cfg), request or SearchRequest("*"))
 
-    def _run(self, queries: DataFrame, request: SearchRequest, small: bool) -> tuple[DataFrame, DataFrame]:
+    def _run(self, queries: DataFrame, request: SearchRequest, small: bool | None = None) -> tuple[DataFrame, DataFrame]:
         tables = self.search_tables()
         if tables is None:
             tables = SearchTables(self.table("chunks"), None, None)

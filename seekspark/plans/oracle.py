@@ -418,3 +418,41 @@ _E = "['rb','ts','css','md'][length(word)*{n} % 4 + 1]"
 add("match_confidence_words", f"""WITH {questions()}, two AS (SELECT word, query, greatest({_S.format(n=3)}, {_S.format(n=5)}) AS t0, CASE WHEN length(word) % 7 <> 0 THEN least({_S.format(n=3)}, {_S.format(n=5)}) END AS t1,
    'a.'||{_E.format(n=1)} AS p0, CASE WHEN length(word) % 7 <> 0 THEN 'b.'||{_E.format(n=3)} END AS p1 FROM questions), x AS (SELECT *, {SEPARATION} AS sep FROM two)
   SELECT word, {confidence(AMBIGUOUS.format(q='query'), DIVERGE)}, round(t0, 6) AS t0, CASE WHEN t1 IS NOT NULL THEN round(sep, 6) END AS separation FROM x""")
+
+
+def hashed(source: str, key: str, text: str) -> str:
+    """(key, v DOUBLE[64]): the stand-in embedding of a text column."""
+    return f"""(SELECT {key}, list_transform(slots, lambda x: (x / norm)::FLOAT::DOUBLE) AS v FROM (
+      SELECT {key}, list(x ORDER BY slot) AS slots, sqrt(sum(x * x)) AS norm FROM (
+       SELECT {key}, slot, coalesce(sum(sign), 0)::DOUBLE AS x FROM (SELECT {key}, unnest(range(64)) AS slot FROM {source}) LEFT JOIN (
+        SELECT {key}, h % 64 AS slot, CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (
+         SELECT {key}, ('0x'||substr(md5(term),1,8))::BIGINT AS h FROM (SELECT {key}, unnest({TERMS.format(text)}) AS term FROM {source}))
+       ) USING ({key}, slot) GROUP BY ALL) GROUP BY ALL))"""
+
+
+_HEADER = f"path||' '||{BASE}||' '||replace({BASE},'-',' ')||' '||replace(path,'/',' ')"
+add("search_chunks", f"""WITH {FILES}, {ASKED.format(query='text', focus="'auto'")},
+  dl AS (SELECT path||'#'||ordinal AS chunk_id, path, start_line, end_line, body AS text, {_HEADER}||' '||body AS stored, '[path='||path||']'||chr(10)||body AS embedded
+     FROM {windows('files', 60, 12)}),
+  cut AS (SELECT chunk_id, substr(embedded, 1, 12000) AS embedded FROM dl), vec AS {hashed('cut', 'chunk_id', 'embedded')},
+  q AS (SELECT query_id, v AS q FROM {hashed('asked', 'query_id', 'query')}),
+  post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({TERMS.format('stored')}) AS term FROM dl) GROUP BY ALL),
+  lens AS (SELECT chunk_id, sum(tf) AS dl FROM post GROUP BY chunk_id), st AS (SELECT (SELECT count(*) FROM dl) AS n, (SELECT sum(dl) FROM lens) / (SELECT count(*) FROM dl) AS a),
+  dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+  qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TERMS.format('query')}) AS term FROM asked) GROUP BY ALL),
+  bm AS (SELECT query_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS bm25
+     FROM qt JOIN dfs USING (term) JOIN post USING (term) JOIN lens USING (chunk_id), st GROUP BY ALL),
+  d AS (SELECT query_id, chunk_id, {DISTANCE} AS distance FROM q, vec JOIN dl USING (chunk_id) WHERE {OUTSIDE}), vleg AS {ranked('d', 'distance, chunk_id', 400)},
+  tleg AS {ranked(f'(SELECT bm.* FROM bm JOIN dl USING (chunk_id) WHERE {OUTSIDE})', 'bm25 DESC, chunk_id', 400)},
+  both_legs AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE/(60+v.ord), 0) + coalesce(1.0::DOUBLE/(60+t.ord), 0) AS score FROM vleg v FULL JOIN tleg t USING (query_id, chunk_id)),
+  fused AS {ranked('both_legs', 'score DESC, chunk_id', 100)}, {features('fused')},
+  sc AS (SELECT * EXCLUDE (ord), ord AS was, {path_prior('symq', 'tests', 'frontend', 'focus')} AS prior FROM feat),
+  scored AS (SELECT *, CASE WHEN symq THEN score*0.35 + lexical*0.2 + exact*0.2 + exact_path*0.15 + symbol*0.15 + prior
+     ELSE score*0.5 + lexical*0.2 + exact*0.1 + path_hint*0.1 + symbol*0.05 + prior END AS rerank_score FROM sc),
+  rr AS {ranked('scored', 'rerank_score DESC, was', 10)},
+  two AS (SELECT query_id, max(CASE WHEN ord=1 THEN rerank_score END) AS t0, max(CASE WHEN ord=2 THEN rerank_score END) AS t1,
+     max(CASE WHEN ord=1 THEN path END) AS p0, max(CASE WHEN ord=2 THEN path END) AS p1 FROM rr GROUP BY query_id),
+  x AS (SELECT query_id, asked.query, t0, t1, p0, p1, {SEPARATION} AS sep FROM asked JOIN two USING (query_id)),
+  conf AS (SELECT query_id, {confidence(AMBIGUOUS.format(q='query'), DIVERGE)} FROM x)
+  SELECT query_id, ord::INT AS ord, rr.path, start_line, end_line, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score,
+   NULL::VARCHAR AS definition_of, match_confidence FROM rr JOIN dl USING (chunk_id) JOIN conf USING (query_id)""")

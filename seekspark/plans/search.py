@@ -26,6 +26,7 @@ from seekspark.operators.rerank import (
 )
 from seekspark.operators.topk import best_per_query
 
+SMALL_BATCH = 2_000
 HIT_COLUMNS = [
     "query_id", "ord", "chunk_id", "path", "start_line", "end_line", "text", "score", "rerank_score",
     "definition_of", "cross_encoder_logit",
@@ -130,10 +131,16 @@ def path_of_chunk(chunk_id: Column) -> Column:
     return F.regexp_replace(chunk_id, r"#\d+\z", "")
 
 
+def is_small_batch(queries: DataFrame) -> bool:
+    """Few enough queries to broadcast their hits. Looks at the queries only."""
+    return queries.select("query_id").limit(SMALL_BATCH + 1).count() <= SMALL_BATCH
+
+
 def with_chunk_columns(found: DataFrame, tables: SearchTables, small: bool) -> DataFrame:
     """Looks the hits up in the chunk table, reading only the buckets they lie in.
 
-    ``small`` is for the hits of a single query, at most 800 short rows, which are then broadcast.
+    The hits of a small batch are broadcast: at most SMALL_BATCH x 100 short rows, and the chunk table
+    is not shuffled for them.
     """
     columns = ["chunk_id", "path", "start_line", "end_line", F.col("body").alias("text"), "definition_of"]
     keys = ["chunk_id"]
@@ -153,7 +160,7 @@ def bucket_of(path: Column, buckets: int) -> Column:
 
 def search_plan(
     queries: DataFrame, tables: SearchTables, cfg: EngineConfig, request: SearchRequest,
-    make_scorer: Callable[[], PairScorer] | None = None, small: bool = False,
+    make_scorer: Callable[[], PairScorer] | None = None, small: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(query_id, query, query_classifier, vector) -> (hits, assessment).
 
@@ -161,7 +168,9 @@ def search_plan(
     """
     candidates = max(request.limit, cfg.rerank_candidates)
     found = retrieve(queries, tables, path_scope(request, cfg), candidates, cfg)
-    hits = with_chunk_columns(found, tables, small)
+    # Wide candidate lists of many queries are joined by shuffle instead.
+    small = is_small_batch(queries) if small is None else small
+    hits = with_chunk_columns(found, tables, small and candidates <= 200)
     features = query_features(queries, cfg)
     if cfg.rerank_enabled:
         ranked = rerank(hits, features, cfg)
