@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekspark.llm import language
+from seekspark.llm import language, personal, secrets, spans
 from seekspark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,13 @@ def query(function):
 @query
 def op7_language_id(spark, sf_dir):
     return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secret_scan(spark, sf_dir):
+    return spans.digest(secrets.scan(read_table(spark, sf_dir, "documents"), ["doc_id"]), list(secrets.KINDS))
+
+
+@query
+def op9_pii(spark, sf_dir):
+    return spans.digest(personal.scan(read_table(spark, sf_dir, "documents"), ["doc_id"]), list(personal.BASE_KINDS))
