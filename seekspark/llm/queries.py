@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekspark.llm import language, personal, secrets, spans
+from seekspark.llm import language, mixing, personal, secrets, spans
 from seekspark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,11 @@ def op5_secret_scan(spark, sf_dir):
 @query
 def op9_pii(spark, sf_dir):
     return spans.digest(personal.scan(read_table(spark, sf_dir, "documents"), ["doc_id"]), list(personal.BASE_KINDS))
+
+
+@query
+def op4_source_mix(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_source_mix"] = mixing.MIX_SQL
