@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekspark.llm import language, mixing, personal, secrets, simhash, spans
+from seekspark.llm import language, mixing, packing, personal, secrets, simhash, spans
 from seekspark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ ORACLE["op4_source_mix"] = mixing.MIX_SQL
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_packing(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"))
