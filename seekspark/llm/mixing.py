@@ -28,6 +28,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
 RANK_BINS = 65536
+#: Tables with one row per source are broadcast up to so many rows (some megabytes); larger ones are joined by shuffle.
+FEW_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,6 +69,12 @@ def source_targets(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, budg
         "source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _per_source(rows: DataFrame, name: str) -> DataFrame:
+    """A written table, broadcast only once its size is known: documents then need no shuffle, and no source is hot."""
+    table = written(rows, name)
+    return F.broadcast(table) if table.count() <= FEW_SOURCES else table
+
+
 def _wish(most: int) -> Column:
     return F.least(F.lit(float(most)), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w"))
 
@@ -81,8 +89,8 @@ def sampled(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
     items = classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select(
         "c.source", (F.col("n") * most).alias("cap"), (F.col("n") * F.col("w")).alias("rate"), "target")
     levels = filled(items, ["source"], "cap", "rate", "target").withColumnRenamed("source", "_s")
-    known = targets.join(levels, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("source").alias("_s"), "source_size", "target", "level")
+    known = _per_source(targets.join(levels, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+        F.col("source").alias("_s"), "source_size", "target", "level"), "mix-levels")
 
     whole = F.floor(_wish(most))
     p, u = F.col("_p"), F.col("u")
@@ -103,11 +111,11 @@ def sampled(measured: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
         "source", "_bin", "n", (F.first("target").over(own) - F.sum("certain").over(own)).alias("wanted"),
         F.coalesce(F.sum("n").over(own.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     # Bins before `cut` are taken whole, bins after it not at all.
-    cuts = running.groupBy("source").agg(
+    cuts = _per_source(running.groupBy("source").agg(
         F.first("wanted").alias("_wanted"),
         F.min_by(F.when(F.col("before") + F.col("n") > F.col("wanted"), F.struct(F.col("_bin").alias("bin"), "before")),
                  F.when(F.col("before") + F.col("n") > F.col("wanted"), F.col("_bin"))).alias("_cut"),
-    ).withColumnRenamed("source", "_c")
+    ).withColumnRenamed("source", "_c"), "mix-cuts")
     judged = ranked.join(cuts, F.col("source").eqNullSafe(F.col("_c")))
     cut = F.coalesce(F.col("_cut.bin"), F.lit(RANK_BINS))
     clear = judged.filter(F.col("_bin") != cut).withColumn("copies", F.col("_whole") + F.when(free & (F.col("_bin") < cut), 1).otherwise(0))
