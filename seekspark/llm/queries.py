@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekspark.llm import language, mixing, packing, personal, secrets, simhash, spans
+from seekspark.llm import fingerprint, language, mixing, packing, personal, secrets, simhash, spans
 from seekspark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op8_simhash(spark, sf_dir):
 @query
 def op3_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_fingerprints(spark, sf_dir):
+    return fingerprint.with_neighbours(read_table(spark, sf_dir, "documents"))
