@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seekspark.llm import fingerprint, language, mixing, packing, personal, secrets, simhash, spans
+from seekspark.llm import fingerprint, language, mixing, neighbours, packing, personal, secrets, simhash, spans
 from seekspark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,8 @@ def op3_packing(spark, sf_dir):
 @query
 def op2_fingerprints(spark, sf_dir):
     return fingerprint.with_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_curve_neighbours(spark, sf_dir):
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
