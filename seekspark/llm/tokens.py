@@ -10,10 +10,10 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Words whose ids are remembered, per Python worker and generation. It bounds memory and changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 #: How the tokenizer's own pattern divides lower-cased ASCII.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\t-\ra-z0-9]+")
+ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\x20\t-\ra-z0-9]+")
 #: Closing marks that follow a letter are a part of their own.
 TAIL = ".,;:!?)]}|&$#*%\""
 
