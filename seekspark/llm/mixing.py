@@ -27,7 +27,7 @@ from seekspark.session import written
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
-RANK_BINS = 65536
+RANK_BINS = 4096
 #: Tables with one row per source are broadcast up to so many rows (some megabytes); larger ones are joined by shuffle.
 FEW_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
