@@ -36,6 +36,9 @@ from seekspark.session import written
 
 LONG = 24
 BITS = 8
+#: Terms drawn for at once (a table of GROUP x samples floats), and rows worked on at once.
+GROUP = 60_000
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -94,7 +97,7 @@ def signatures(bags: list[Counter], config: FingerprintConfig = FingerprintConfi
     start = 0
     while start < len(bags):
         stop, held = start, 0
-        while stop < len(bags) and (stop == start or held + len(bags[stop]) <= 40_000):
+        while stop < len(bags) and (stop == start or held + len(bags[stop]) <= GROUP):
             held += len(bags[stop])
             stop += 1
         out[start:stop] = _signatures(bags[start:stop], config)
@@ -104,38 +107,55 @@ def signatures(bags: list[Counter], config: FingerprintConfig = FingerprintConfi
 
 def _signatures(bags: list[Counter], config: FingerprintConfig) -> np.ndarray:
     place: dict[str, int] = {}
-    rows = np.fromiter((place.setdefault(w, len(place)) for bag in bags for w in bag), np.int64)
-    weights = np.fromiter((n for bag in bags for n in bag.values()), np.int64, len(rows))
     lengths = np.array([len(bag) for bag in bags])
+    total = int(lengths.sum())
+    for bag in bags:
+        for w in bag:
+            if w not in place:
+                place[w] = len(place)
+    rows = np.fromiter((i for bag in bags for i in map(place.__getitem__, bag)), np.int64, total)
+    weights = np.fromiter((n for bag in bags for n in bag.values()), np.int64, total)
     hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), config.seed) for w in place), np.uint64, len(place))
     least = np.full((len(bags), config.samples), np.inf, np.float32)
-    # Terms are drawn for block by block; a bag meets the block's terms that it holds.
     owners = np.repeat(np.arange(len(bags)), lengths)
-    order = np.argsort(rows, kind="stable")
-    rows, weights, owners = rows[order], weights[order], owners[order]
-    for at in range(0, len(place), 4096):
-        r, log_c, b = _draws(hashes[at:at + 4096], config)
-        once = log_c - r * (0 - b) - r  # weight 1: t is 0
-        low, high = np.searchsorted(rows, [at, at + 4096])
-        own, index, weight = owners[low:high], rows[low:high] - at, weights[low:high]
-        by_owner = np.argsort(own, kind="stable")
-        own, index, weight = own[by_owner], index[by_owner], weight[by_owner]
-        for begin in range(0, len(own), 16384):
-            part = slice(begin, begin + 16384)
-            values = once[index[part]]
-            more = np.flatnonzero(weight[part] > 1)
-            if len(more):
-                which = index[part][more]
-                log_s = np.array([math.log(n) for n in weight[part][more]], np.float32)[:, None]
-                t = np.floor(log_s / r[which] + b[which])
-                values[more] = log_c[which] - r[which] * (t - b[which]) - r[which]
-            heads = np.flatnonzero(np.r_[True, np.diff(own[part]) != 0])
-            met = own[part][heads]
-            least[met] = np.minimum(least[met], np.minimum.reduceat(values, heads, axis=0))
+    # Terms are drawn for in the order of their first bag, in spans that bound the tables; a span is all of a usual group.
+    for at in range(0, len(place), GROUP):
+        here = hashes[at:at + GROUP]
+        inside = slice(None) if len(place) <= GROUP else np.flatnonzero((rows >= at) & (rows < at + GROUP))
+        _lower(least, owners[inside], rows[inside] - at, weights[inside], here, config)
     bits = least.view(np.uint32) * np.uint32(0x9E3779B1)
     return (bits >> np.uint32(32 - BITS)).astype(np.uint8)
 
 
+def _lower(least: np.ndarray, owners: np.ndarray, rows: np.ndarray, weights: np.ndarray, hashes: np.ndarray, config: FingerprintConfig) -> None:
+    """Takes (bag, term, weight) triples, sorted by bag, into the least values of the bags."""
+    heavy = np.unique(rows[weights > 1])
+    heavy_place = np.zeros(len(hashes), np.int64)
+    heavy_place[heavy] = np.arange(len(heavy))
+    once = np.empty((len(hashes), config.samples), np.float32)
+    full = [np.empty((len(heavy), config.samples), np.float32) for _ in range(3)]
+    for at in range(0, len(hashes), BLOCK):
+        r, log_c, b = _draws(hashes[at:at + BLOCK], config)
+        once[at:at + BLOCK] = log_c - r * (0 - b) - r  # weight 1: t is 0
+        low, high = np.searchsorted(heavy, [at, at + BLOCK])
+        for held, drawn in zip(full, (r, log_c, b), strict=True):
+            held[low:high] = drawn[heavy[low:high] - at]
+    kinds, inverse = np.unique(weights, return_inverse=True)
+    logs = np.array([math.log(n) for n in kinds], np.float32)[inverse]
+    for at in range(0, len(rows), BLOCK):
+        part = slice(at, at + BLOCK)
+        values = once[rows[part]]
+        more = np.flatnonzero(weights[part] > 1)
+        if len(more):
+            which = heavy_place[rows[part][more]]
+            r, log_c, b = (held[which] for held in full)
+            t = np.floor(logs[part][more][:, None] / r + b)
+            values[more] = log_c - r * (t - b) - r
+        heads = np.flatnonzero(np.r_[True, np.diff(owners[part]) != 0])
+        met = owners[part][heads]
+        least[met] = np.minimum(least[met], np.minimum.reduceat(values, heads, axis=0))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of signatures, row by row, 0 to 1; 1 for equal ones."""
     share = (a == b).mean(axis=1)
@@ -182,9 +202,11 @@ def _compared(keys: list, texts: list[str], following: list[str], config: Finger
     """Result columns for texts and the texts that follow them; consecutive: each follows the one before it."""
     changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     others = following[-1:] if consecutive else following
-    made = signatures([terms_of(t) for t in [*texts, *changed, *others]], config)
+    # A text and its edited form stand side by side, as they share most terms and so most draws.
+    mixed = [terms_of(t) for pair in zip(texts, changed, strict=True) for t in pair]
+    made = signatures([*mixed, *(terms_of(t) for t in others)], config)
     n = len(texts)
-    own, new, last = made[:n], made[n:2 * n], made[2 * n:]
+    own, new, last = made[:2 * n:2], made[1:2 * n:2], made[2 * n:]
     behind = np.vstack([own[1:], last]) if consecutive else last
     return [keys, [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
             [m.tobytes().hex() for m in own], [m.tobytes().hex() for m in new], likeness(own, new), likeness(own, behind)]
