@@ -37,7 +37,7 @@ from seekspark.session import written
 LONG = 24
 BITS = 8
 #: Terms drawn for at once (a table of GROUP x samples floats), and rows worked on at once.
-GROUP = 60_000
+GROUP = 40_000
 BLOCK = 1024
 
 
@@ -127,16 +127,23 @@ def _signatures(bags: list[Counter], config: FingerprintConfig) -> np.ndarray:
     return (bits >> np.uint32(32 - BITS)).astype(np.uint8)
 
 
+@lru_cache(maxsize=2)
+def _tables_of_draws(samples: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Room for the draws of one group, kept by the worker: fresh tables of changing sizes would scatter its heap."""
+    return np.empty((GROUP, samples), np.float32), [np.empty((GROUP // 4, samples), np.float32) for _ in range(3)]
+
+
 def _lower(least: np.ndarray, owners: np.ndarray, rows: np.ndarray, weights: np.ndarray, hashes: np.ndarray, config: FingerprintConfig) -> None:
     """Takes (bag, term, weight) triples, sorted by bag, into the least values of the bags."""
     heavy = np.unique(rows[weights > 1])
     heavy_place = np.zeros(len(hashes), np.int64)
     heavy_place[heavy] = np.arange(len(heavy))
-    once = np.empty((len(hashes), config.samples), np.float32)
-    full = [np.empty((len(heavy), config.samples), np.float32) for _ in range(3)]
+    once, full = _tables_of_draws(config.samples)
+    if len(heavy) > len(full[0]):
+        full = [np.empty((len(heavy), config.samples), np.float32) for _ in range(3)]
     for at in range(0, len(hashes), BLOCK):
         r, log_c, b = _draws(hashes[at:at + BLOCK], config)
-        once[at:at + BLOCK] = log_c - r * (0 - b) - r  # weight 1: t is 0
+        once[at:at + len(r)] = log_c - r * (0 - b) - r  # weight 1: t is 0
         low, high = np.searchsorted(heavy, [at, at + BLOCK])
         for held, drawn in zip(full, (r, log_c, b), strict=True):
             held[low:high] = drawn[heavy[low:high] - at]
