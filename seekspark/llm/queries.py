@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm import fingerprint, language, mixing, neighbours, packing, personal, secrets, simhash, spans
+from seekspark.llm import fingerprint, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, spans
 from seekspark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,11 @@ def op2_fingerprints(spark, sf_dir):
 @query
 def op1_curve_neighbours(spark, sf_dir):
     return neighbours.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query
+def op10_license_scan(spark, sf_dir):
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op10_license_scan"] = licenses.scan_sql()
