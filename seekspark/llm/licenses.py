@@ -126,7 +126,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
-    """The same by comparing every window with every template."""
+    """The same by counting every template's shingles in every window."""
     rows = []
     for name, text in templates.items():
         words = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
@@ -134,12 +134,12 @@ def scan_sql(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str
         rows.append(f"('{name}', {width_class(len(shingles))}, {shingles})")
     return f"""
 WITH t(license, c, whole) AS (VALUES {", ".join(rows)}),
-w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS words FROM documents),
-s AS (SELECT doc_id, [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)] AS sh FROM w WHERE len(words) >= 3),
-v AS (SELECT doc_id, c, unnest([{{'start': j * c, 'sh': sh[j * c + 1 : j * c + 2 * c]}} FOR j IN range(0, (len(sh) - 1) // c + 1)]) AS win
-      FROM s, (SELECT DISTINCT c FROM t)),
-m AS (SELECT doc_id, license, win.start AS start, len(list_intersect(list_distinct(win.sh), whole)) AS n, len(whole) AS size
-      FROM v JOIN t USING (c) WHERE list_has_any(win.sh, whole))
+w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS words FROM documents),
+p AS (SELECT doc_id, r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM w),
+s AS (SELECT doc_id, r, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS sh FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+u AS (SELECT license, c, len(whole) AS size, unnest(whole) AS sh FROM t),
+h AS (SELECT doc_id, r, license, c, size, sh, unnest([i // c, i // c - 1]) AS j FROM s JOIN u USING (sh)),
+m AS (SELECT doc_id, license, size, j * c AS start, count(DISTINCT sh) AS n FROM h WHERE j >= 0 GROUP BY doc_id, r, license, c, size, j)
 SELECT doc_id, license, max(n)::DOUBLE / any_value(size) AS containment, max(n)::BIGINT AS matched,
   arg_max(start, n * 1099511627776 - start)::BIGINT AS window_start
 FROM m WHERE n >= {least} * size GROUP BY doc_id, license
