@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm import fingerprint, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, spans
+from seekspark.llm import (
+    counts, fingerprint, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, spans,
+)
 from seekspark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +70,8 @@ def op10_license_scan(spark, sf_dir):
 
 
 ORACLE["op10_license_scan"] = licenses.scan_sql()
+
+
+@query
+def op6_token_counts(spark, sf_dir):
+    return counts.count_edits(read_table(spark, sf_dir, "documents"), counts.sample_edits())

@@ -52,7 +52,7 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
@@ -65,7 +65,7 @@ class _Remembered(dict):
     def __init__(self, tokenizer, kind: np.dtype) -> None:
         super().__init__()
         self.tokenizer, self.model, self.code, self.older = tokenizer, tokenizer.model, "H" if kind.itemsize == 2 else "I", {}
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         made = self.older.get(word)
