@@ -11,13 +11,13 @@ from dataclasses import dataclass, fields, replace
 ENV_PREFIX = "SEEKSPARK_"
 
 QUERY_CLASSIFIERS = ("auto", "code", "config", "docs")
-DEFINITION_ENGINES = ("auto", "tree_sitter", "regex")
+#: Both name the line patterns, the only engine.
+DEFINITION_ENGINES = ("auto", "regex")
 
 # Fixed values: (weak below, strong above, minimum relative gap).
 CONFIDENCE_WITH_RERANK = (0.35, 0.55, 0.05)
 CONFIDENCE_WITHOUT_RERANK = (0.18, 0.40, 0.06)
 
-MAX_EMBED_CHARS = 12_000
 MAX_SNIPPET_CHARS = 4_000
 
 
@@ -33,9 +33,6 @@ class EngineConfig:
     index_dir: str = ""
     embedding_model: str = "hashing"
     embedding_dim: int = 768
-    embed_backend: str = "local"
-    embed_http_url: str = ""
-    embed_http_api_key: str | None = None
     embed_batch_size: int = 4
     working_docs: tuple[str, ...] = (".claude/docs",)
     index_exclude: tuple[str, ...] = ()
@@ -62,29 +59,24 @@ class EngineConfig:
     frontend_path_boost: bool = True
     embed_definition_tag: bool = True
     definition_engine: str = "auto"
-    parser_max_chars: int = 2_097_152
     cross_encoder_enabled: bool = True
-    cross_encoder_model: str = ""
     cross_encoder_top_k: int = 50
     cross_encoder_batch: int = 4
     chunk_lines: int = 60
     chunk_overlap: int = 12
     max_file_bytes: int = 5 * 1024 * 1024
-    reconcile_interval_ms: int = 300_000
     poll_interval_ms: int = 2_000
     # Settings of this engine itself.
     path_buckets: int = 64
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
-    cover_gaps: bool = True
     strict_size: bool = False
     compat_overfetch: bool = False
 
     def __post_init__(self) -> None:
         put = lambda name, value: object.__setattr__(self, name, value)
-        put("watch_root", os.path.abspath(self.watch_root))
-        put("index_dir", os.path.abspath(self.index_dir or os.path.join(self.watch_root, ".seekspark")))
-        put("embed_backend", "http" if self.embed_backend == "http" else "local")
+        put("watch_root", _place(self.watch_root))
+        put("index_dir", _place(self.index_dir or os.path.join(self.watch_root, ".seekspark")))
         put("embed_batch_size", _clamp(self.embed_batch_size, 1, 32))
         put("rrf_k", _clamp(self.rrf_k or 60, 1, 200))
         put("rerank_candidates", self.rerank_candidates or 100)
@@ -96,10 +88,8 @@ class EngineConfig:
         put("chunk_lines", self.chunk_lines or 60)
         put("chunk_overlap", self.chunk_overlap or 12)
         put("max_file_bytes", self.max_file_bytes or 5 * 1024 * 1024)
-        if self.parser_max_chars < 65_536:
-            put("parser_max_chars", 2_097_152)
         if self.definition_engine not in DEFINITION_ENGINES:
-            put("definition_engine", "auto")
+            raise ConfigError(f"unknown definition_engine {self.definition_engine!r}; one of {', '.join(DEFINITION_ENGINES)}")
         weak, strong, gap = CONFIDENCE_WITH_RERANK if self.rerank_enabled else CONFIDENCE_WITHOUT_RERANK
         put("weak_below", _threshold(self.weak_below, weak))
         put("strong_above", _threshold(self.strong_above, strong))
@@ -174,6 +164,11 @@ def resolve_classifier(query_classifier: str | None = None, search_focus: str |
     return value
 
 
+def _place(path: str) -> str:
+    """An absolute local path; a URI stays as it is."""
+    return path.rstrip("/") if "://" in path else os.path.abspath(path)
+
+
 def _clamp(value: int, low: int, high: int) -> int:
     return max(low, min(high, int(value)))
 

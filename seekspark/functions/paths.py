@@ -18,70 +18,95 @@ from seekspark.functions.globs import glob_to_regex
 
 # ---- fixed values -------------------------------------------------------------------------------
 TEXT_EXTENSIONS = (
-    "adoc bash c cc cfg cjs conf cpp css csv cxx dockerfile feature gemspec go gql graphql h hpp htm html "
-    "ini java js json jsx kt md mdx mjs plist prisma proto py rake rb rs rst scss sh sql svelte swift toml "
-    "ts tsv tsx txt vue xml yaml yml zsh"
-).split()
+    "adoc", "bash", "c", "cc", "cfg", "cjs", "conf", "cpp", "css", "csv", "cxx", "dockerfile", "feature",
+    "gemspec", "go", "gql", "graphql", "h", "hpp", "htm", "html", "ini", "java", "js", "json", "jsx", "kt",
+    "md", "mdx", "mjs", "plist", "prisma", "proto", "py", "rake", "rb", "rs", "rst", "scss", "sh", "sql",
+    "svelte", "swift", "toml", "ts", "tsv", "tsx", "txt", "vue", "xml", "yaml", "yml", "zsh",
+)
 BINARY_EXTENSIONS = (
-    "7z avi bin class dll dylib eot exe gif gz ico jar jpeg jpg lock mov mp3 mp4 otf pdf png pyc rar so tar "
-    "ttf wasm webm webp woff woff2 zip"
-).split()
-ALWAYS_INDEXED_NAMES = "dockerfile gemfile makefile rakefile".split()
-EXTENSIONLESS_NAMES = "codeowners contributors dockerfile gemfile license makefile notice rakefile".split()
+    "7z", "avi", "bin", "class", "dll", "dylib", "eot", "exe", "gif", "gz", "ico", "jar", "jpeg", "jpg",
+    "lock", "mov", "mp3", "mp4", "otf", "pdf", "png", "pyc", "rar", "so", "tar", "ttf", "wasm", "webm",
+    "webp", "woff", "woff2", "zip",
+)
+ALWAYS_INDEXED_NAMES = ("dockerfile", "gemfile", "makefile", "rakefile")
+EXTENSIONLESS_NAMES = (
+    "codeowners", "contributors", "dockerfile", "gemfile", "license", "makefile", "notice", "rakefile",
+)
 SAFETY_DIRECTORIES = (".git", "node_modules")
 SAFETY_SUFFIXES = (".pem", ".key", ".p12", ".pfx", ".env", ".env.local", ".env.production")
 WATCH_SKIPPED_DIRECTORIES = (
-    ".cache .git .gradle .hg .next .nuxt .parcel-cache .svn .turbo .venv DerivedData Pods __pycache__ "
-    "bower_components build coverage dist node_modules out target vendor venv"
-).split()
-DOC_EXTENSIONS = "adoc markdown md mdx rst".split()
-CONFIG_EXTENSIONS = "cfg conf hcl ini json jsonc properties tf tfvars toml yaml yml".split()
-DOC_TEXT_NAMES = "changelog contributing readme".split()
+    ".cache", ".git", ".gradle", ".hg", ".next", ".nuxt", ".parcel-cache", ".svn", ".turbo", ".venv",
+    "DerivedData", "Pods", "__pycache__", "bower_components", "build", "coverage", "dist", "node_modules",
+    "out", "target", "vendor", "venv",
+)
+DOC_EXTENSIONS = ("adoc", "markdown", "md", "mdx", "rst")
+CONFIG_EXTENSIONS = (
+    "cfg", "conf", "hcl", "ini", "json", "jsonc", "properties", "tf", "tfvars", "toml", "yaml", "yml",
+)
+DOC_TEXT_NAMES = ("changelog", "contributing", "readme")
 # Several names may stand for one language; suffixes carry no dot.
 LANGUAGE_SUFFIXES = {
-    "ruby": "rb rake gemspec", "rb": "rb rake gemspec",
-    "javascript": "js cjs mjs jsx vue", "js": "js cjs mjs jsx vue",
-    "typescript": "ts mts cts tsx vue", "ts": "ts mts cts tsx vue",
-    "python": "py pyi pyw", "py": "py pyi pyw",
-    "go": "go",
-    "rust": "rs", "rs": "rs",
-    "java": "java",
-    "kotlin": "kt kts", "kt": "kt kts",
-    "scala": "scala sc sbt",
-    "c": "c h",
-    "cpp": "cc cpp cxx h hpp hxx hh",
-    "csharp": "cs", "cs": "cs",
-    "fsharp": "fs fsi fsx", "fs": "fs fsi fsx",
-    "elixir": "ex exs", "ex": "ex exs",
-    "erl": "erl hrl",
-    "hcl": "hcl tf tfvars",
-    "json": "json jsonc",
-    "yaml": "yaml yml", "yml": "yaml yml",
-    "toml": "toml",
-    "html": "html htm",
-    "css": "css scss sass less",
-    "markdown": "md mdx markdown", "md": "md mdx",
-    "shell": "sh bash zsh fish", "sh": "sh bash zsh fish",
-    "sql": "sql",
-    "swift": "swift",
+    "ruby": ("rb", "rake", "gemspec"),
+    "rb": ("rb", "rake", "gemspec"),
+    "javascript": ("js", "cjs", "mjs", "jsx", "vue"),
+    "js": ("js", "cjs", "mjs", "jsx", "vue"),
+    "typescript": ("ts", "mts", "cts", "tsx", "vue"),
+    "ts": ("ts", "mts", "cts", "tsx", "vue"),
+    "python": ("py", "pyi", "pyw"),
+    "py": ("py", "pyi", "pyw"),
+    "go": ("go",),
+    "rust": ("rs",),
+    "rs": ("rs",),
+    "java": ("java",),
+    "kotlin": ("kt", "kts"),
+    "kt": ("kt", "kts"),
+    "scala": ("scala", "sc", "sbt"),
+    "c": ("c", "h"),
+    "cpp": ("cc", "cpp", "cxx", "h", "hpp", "hxx", "hh"),
+    "csharp": ("cs",),
+    "cs": ("cs",),
+    "fsharp": ("fs", "fsi", "fsx"),
+    "fs": ("fs", "fsi", "fsx"),
+    "elixir": ("ex", "exs"),
+    "ex": ("ex", "exs"),
+    "erl": ("erl", "hrl"),
+    "hcl": ("hcl", "tf", "tfvars"),
+    "json": ("json", "jsonc"),
+    "yaml": ("yaml", "yml"),
+    "yml": ("yaml", "yml"),
+    "toml": ("toml",),
+    "html": ("html", "htm"),
+    "css": ("css", "scss", "sass", "less"),
+    "markdown": ("md", "mdx", "markdown"),
+    "md": ("md", "mdx"),
+    "shell": ("sh", "bash", "zsh", "fish"),
+    "sh": ("sh", "bash", "zsh", "fish"),
+    "sql": ("sql",),
+    "swift": ("swift",),
 }
 PATH_FAMILIES = {
-    "ruby": "rb rake rbi".split(),
-    "tsish": "cjs js jsx mjs svelte ts tsx vue".split(),
-    "webstyle": "css less sass scss".split(),
+    "ruby": ("rb", "rake", "rbi"),
+    "tsish": ("cjs", "js", "jsx", "mjs", "svelte", "ts", "tsx", "vue"),
+    "webstyle": ("css", "less", "sass", "scss"),
 }
 CHUNK_LANGUAGES = {
-    "javascript": "cjs js jsx mjs ts tsx".split(),
-    "python": ["py"],
-    "go": ["go"],
-    "java": ["java"],
-    "rust": ["rs"],
-    "ruby": "gemspec rake rb rbi".split(),
-    "yaml": ["yml"],
+    "javascript": ("cjs", "js", "jsx", "mjs", "ts", "tsx"),
+    "python": ("py",),
+    "go": ("go",),
+    "java": ("java",),
+    "rust": ("rs",),
+    "ruby": ("gemspec", "rake", "rb", "rbi"),
+    "yaml": ("yml",),
 }
 GRAMMARS = {
-    "ts": ["ts"], "tsx": ["tsx"], "js": "cjs js jsx mjs".split(), "py": ["py"],
-    "rb": "rake rb rbi".split(), "go": ["go"], "java": ["java"], "rs": ["rs"],
+    "ts": ("ts",),
+    "tsx": ("tsx",),
+    "js": ("cjs", "js", "jsx", "mjs"),
+    "py": ("py",),
+    "rb": ("rake", "rb", "rbi"),
+    "go": ("go",),
+    "java": ("java",),
+    "rs": ("rs",),
 }
 # -------------------------------------------------------------------------------------------------
 
@@ -124,10 +149,10 @@ def is_indexable(path: Column) -> Column:
     """Extension allow-list: well-known names always, binary never, text types, few bare names."""
     name, ext = F.lower(basename(path)), extension(path)
     return (
-        F.when(name.isin(ALWAYS_INDEXED_NAMES), True)
-        .when(ext.isin(BINARY_EXTENSIONS), False)
-        .when(ext.isin(TEXT_EXTENSIONS), True)
-        .when(ext == "", name.isin(EXTENSIONLESS_NAMES))
+        F.when(name.isin(*ALWAYS_INDEXED_NAMES), True)
+        .when(ext.isin(*BINARY_EXTENSIONS), False)
+        .when(ext.isin(*TEXT_EXTENSIONS), True)
+        .when(ext == "", name.isin(*EXTENSIONLESS_NAMES))
         .otherwise(False)
     )
 
@@ -181,7 +206,7 @@ def language_suffixes(lang: str) -> list[str]:
     key = lang.strip().lower()
     if key not in LANGUAGE_SUFFIXES:
         raise ConfigError(f"unknown lang {lang.strip()!r}; use a known language name or ext")
-    return ["." + s for s in LANGUAGE_SUFFIXES[key].split()]
+    return ["." + s for s in LANGUAGE_SUFFIXES[key]]
 
 
 def suffix_predicate(path: Column, suffixes: Sequence[str]) -> Column:
@@ -231,15 +256,15 @@ def content_bucket(path: Column, working_docs: Sequence[str] = ()) -> Column:
     env_like = name.startswith(".env") | (name == "env") | name.endswith(".env")
     return (
         F.when(is_covered_by(path, working_docs), "docs")
-        .when(ext.isin(CONFIG_EXTENSIONS) | env_like, "config")
-        .when(ext.isin(DOC_EXTENSIONS), "docs")
-        .when((ext == "txt") & name.isin(DOC_TEXT_NAMES), "docs")
+        .when(ext.isin(*CONFIG_EXTENSIONS) | env_like, "config")
+        .when(ext.isin(*DOC_EXTENSIONS), "docs")
+        .when((ext == "txt") & name.isin(*DOC_TEXT_NAMES), "docs")
         .otherwise("code")
     )
 
 
 def has_config_extension(path: Column) -> Column:
-    return extension(posix(path)).isin(CONFIG_EXTENSIONS)
+    return extension(posix(path)).isin(*CONFIG_EXTENSIONS)
 
 
 def chunk_language(path: Column) -> Column:

@@ -17,6 +17,8 @@ FRONTEND_PARTS = (
     "/components/", "/ui/", "app/javascript", "/frontend/", "/client/", "/web/", "packages/ui", "src/packs",
 )
 ASSET_PARTS = ("/fixtures/", "/locales/", "/assets/")
+TEST_PREFIXES = ("spec/", "test/")
+TEST_PARTS = ("/spec/", "/test/", "__tests__")
 MAX_DEMOTION = 0.4
 # (focus, bucket) -> prior
 CLASSIFIER_PRIORS = {
@@ -26,21 +28,19 @@ CLASSIFIER_PRIORS = {
 }
 
 
-def is_test_path(path: Column) -> Column:
-    return (
-        path.contains("/spec/") | path.startswith("spec/")
-        | path.contains("/test/") | path.startswith("test/")
-        | path.contains("__tests__")
+def _placed(path: Column, prefixes: Sequence[str], parts: Sequence[str], suffixes: Sequence[str] = ()) -> Column:
+    """The path begins with one of the prefixes, holds one of the parts or ends with one of the suffixes."""
+    return paths._any(
+        [path.startswith(s) for s in prefixes] + [path.contains(s) for s in parts] + [path.endswith(s) for s in suffixes]
     )
 
 
+def is_test_path(path: Column) -> Column:
+    return _placed(path, TEST_PREFIXES, TEST_PARTS)
+
+
 def is_frontend_path(path: Column) -> Column:
-    low = F.lower(path)
-    return paths._any(
-        [low.endswith(s) for s in FRONTEND_SUFFIXES]
-        + [low.startswith(s) for s in FRONTEND_PREFIXES]
-        + [low.contains(s) for s in FRONTEND_PARTS]
-    )
+    return _placed(F.lower(path), FRONTEND_PREFIXES, FRONTEND_PARTS, FRONTEND_SUFFIXES)
 
 
 def code_path_prior(

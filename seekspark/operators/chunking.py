@@ -1,16 +1,14 @@
-"""The chunker: picks config sections, declaration chunks, symbol chunks or plain windows per file."""
+"""The chunker: picks config sections, symbol chunks or plain windows per file."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.config import MAX_EMBED_CHARS, EngineConfig
+from seekspark.config import EngineConfig
 from seekspark.functions import paths
-from seekspark.operators.declarations import declarations
-from seekspark.operators.hierarchy import chunk_struct, hierarchy_chunks, window_chunks
-from seekspark.operators.lines import line_slice, piece_starts, split_lines
-from seekspark.operators.symbols import json_keys, last_per_line, merge_spans, rank_spans, regex_spans, yaml_keys
+from seekspark.operators.lines import line_slice, piece_starts, split_lines, windows
+from seekspark.operators.symbols import json_keys, last_per_line, rank_spans, regex_spans, yaml_keys
 from seekspark.schemas import CHUNK_FIELDS
 
 FIELDS = [f.split(":")[0] for f in CHUNK_FIELDS.split()]
@@ -18,6 +16,24 @@ FIELDS = [f.split(":")[0] for f in CHUNK_FIELDS.split()]
 HEADER_SEPARATOR = "\n␞\n"
 
 
+def chunk_struct(start: Column, end: Column, body: Column, language: Column, mode: str | Column, **fields: Column) -> Column:
+    """One chunk with the full set of fields, absent ones null."""
+    optional = ("symbol_name", "symbol_kind", "scope_path", "definition_of")
+    trailing = ("config_file", "config_env")
+    pick = lambda n: fields.get(n, F.lit(None)).cast("string").alias(n)
+    return F.struct(
+        start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), body.alias("body"),
+        language.alias("language"), *[pick(n) for n in optional],
+        (F.lit(mode) if isinstance(mode, str) else mode).alias("chunk_mode"), *[pick(n) for n in trailing],
+    )
+
+
+def window_chunks(lines: Column, first: Column, last: Column, size: int, overlap: int, language: Column, mode: str | None) -> Column:
+    cut = windows(lines, first, last, size, overlap)
+    mode_column = F.lit(mode).cast("string")
+    return F.transform(cut, lambda w: chunk_struct(w["start_line"], w["end_line"], w["body"], language, mode_column))
+
+
 def section_chunks(keys: Column, lines: Column, language: Column, path: Column) -> Column:
     """One chunk per top-level key of a config file."""
 
@@ -69,26 +85,20 @@ def _ddl() -> str:
 def chunk_files(files: DataFrame, cfg: EngineConfig) -> DataFrame:
     """(path, text, ...) -> one row per chunk: path, ordinal and the chunk fields.
 
-    Narrow throughout: files are never shuffled. Only source files of a known grammar cross into
-    Python, and only their spans come back; JSON files do when config sections are on.
+    Narrow throughout: files are never shuffled. Only JSON files cross into Python, and only when config sections are on.
     """
     path, text = F.col("path"), F.col("text")
     keep = [c for c in files.columns if c != "text"]
     base = files.select(
         *keep, "text", split_lines(text).alias("lines"), paths.chunk_language(path).alias("language"),
-        paths.grammar(path).alias("grammar"),
     )
-    lines, language, grammar = F.col("lines"), F.col("language"), F.col("grammar")
+    lines, language = F.col("lines"), F.col("language")
     window, overlap = cfg.fallback_window
     if not cfg.code_aware_chunking:
         none = F.lit(None).cast("string")
         chunks = window_chunks(lines, F.lit(1), F.size(lines), cfg.chunk_lines, cfg.chunk_overlap, none, None)
         return _explode(base, keep, chunks)
 
-    parsed = cfg.definition_engine != "regex"
-    if parsed:
-        readable = grammar.isNotNull() & (F.length(text) <= cfg.parser_max_chars)
-        base = base.withColumn("spans", declarations(F.when(readable, text), grammar))
     if cfg.config_aware_chunking:
         base = base.withColumn("json_keys", json_keys(F.when(language == "json", text)))
     choice, pending = None, F.lit(True)
@@ -103,17 +113,8 @@ def chunk_files(files: DataFrame, cfg: EngineConfig) -> DataFrame:
         for name in ("json_keys", "yaml_keys"):
             use(F.size(name) > 0, section_chunks(F.col(name), lines, language, path))
             pending = pending & (F.size(name) == 0)
-    if parsed:
-        base = hierarchy_chunks(base, cfg.chunk_lines, cfg.fallback_window, cfg.cover_gaps)
-        use(F.size("parsed_chunks") > 0, F.col("parsed_chunks"))
-        pending = pending & (F.size("parsed_chunks") == 0)
-    # Sections and parsed files need no symbols; the condition keeps the line regexes off them.
+    # Files with sections need no symbols; the condition keeps the line regexes off them.
     base = base.withColumn("matched", F.when(pending, regex_spans(lines, language)))
-    if parsed:
-        flat = F.transform("spans", lambda s: F.struct(
-            *[s[n].alias(n) for n in ("name", "kind", "start_line", "scope_path")]
-        ))
-        base = base.withColumn("matched", merge_spans(flat, F.col("matched")))
     base = base.withColumn("ranked", rank_spans(F.col("matched")))
     base = base.withColumn("symbols", last_per_line(F.col("ranked")))
     use(F.size("symbols") > 0, symbol_chunks(F.col("symbols"), lines, language, cfg))
@@ -151,7 +152,7 @@ def body_of_storage_text(stored: Column) -> Column:
 
 
 def embedding_text(with_definition: bool = True) -> Column:
-    """What the embedder reads: bracketed tags, a line break, the body; at most 12,000 characters."""
+    """What the embedder reads: bracketed tags, a line break, the whole body."""
     tag = lambda name, value: F.concat(F.lit(name + "="), F.nullif(value, F.lit("")))
     symbol = F.nullif(F.col("symbol_name"), F.lit(""))
     is_key = F.col("language").isin("json", "yaml") & (F.col("symbol_kind") == "config_key") & symbol.isNotNull()
@@ -165,5 +166,4 @@ def embedding_text(with_definition: bool = True) -> Column:
         F.when(symbol.isNotNull(), tag("scope", F.col("scope_path"))),
         *([tag("def", F.col("definition_of"))] if with_definition else []),
     ))
-    full = F.concat(F.lit("["), F.array_join(tags, "]["), F.lit("]\n"), F.col("body"))
-    return F.substr(full, F.lit(1), F.lit(MAX_EMBED_CHARS))
+    return F.concat(F.lit("["), F.array_join(tags, "]["), F.lit("]\n"), F.col("body"))

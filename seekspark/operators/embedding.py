@@ -6,9 +6,7 @@ A backend is built once per Python worker and called with small batches of texts
 from __future__ import annotations
 
 import hashlib
-import json
 import re
-import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -69,90 +67,27 @@ def rows_of_tensor(data: np.ndarray, dim: int) -> np.ndarray:
     return data.reshape(-1, dim)
 
 
-def onnx_embedder(folder: str, dim: int, max_tokens: int = 512) -> Embed:
-    """A local sentence encoder: ``tokenizer.json`` and ``model.onnx`` in one folder."""
-    import onnxruntime
-    import tokenizers
+def embed_column(text: Column, cfg: EngineConfig, make_embedder: Callable[[], Embed] | None = None) -> Column:
+    """The vector of a whole text, computed in batches inside the tasks.
 
-    tokenizer = tokenizers.Tokenizer.from_file(f"{folder}/tokenizer.json")
-    tokenizer.enable_truncation(max_tokens)
-    tokenizer.enable_padding()
-    options = onnxruntime.SessionOptions()
-    options.intra_op_num_threads = options.inter_op_num_threads = 1
-    session = onnxruntime.InferenceSession(f"{folder}/model.onnx", options)
-    wanted = {i.name for i in session.get_inputs()}
-
-    def embed(texts: Sequence[str]) -> np.ndarray:
-        encoded = tokenizer.encode_batch(list(texts))
-        feed = {
-            "input_ids": np.array([e.ids for e in encoded], dtype=np.int64),
-            "attention_mask": np.array([e.attention_mask for e in encoded], dtype=np.int64),
-            "token_type_ids": np.array([e.type_ids for e in encoded], dtype=np.int64),
-        }
-        states = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
-        return rows_of_tensor(mean_pool(states, feed["attention_mask"]), dim)
-
-    return embed
-
-
-def http_embedder(url: str, model: str, dim: int, api_key: str | None = None) -> Embed:
-    """An embedding service: POST {input, model}; three common response shapes are understood."""
-
-    def embed(texts: Sequence[str]) -> np.ndarray:
-        headers = {"content-type": "application/json"}
-        if api_key:
-            headers["authorization"] = f"Bearer {api_key}"
-        body = json.dumps({"input": list(texts), "model": model}).encode()
-        request = urllib.request.Request(url.rstrip("/"), data=body, headers=headers)
-        with urllib.request.urlopen(request) as response:
-            return parse_embeddings(json.load(response), len(texts), dim)
-
-    return embed
-
-
-def parse_embeddings(payload: object, count: int, dim: int) -> np.ndarray:
-    """A list of vectors, {"embeddings": [...]}, or {"data": [{"embedding": ...}]}."""
-    rows = payload
-    if isinstance(payload, dict):
-        rows = payload.get("embeddings")
-        if not isinstance(rows, list):
-            data = payload.get("data")
-            rows = [d["embedding"] for d in data if isinstance(d, dict) and isinstance(d.get("embedding"), list)] if isinstance(data, list) else None
-            rows = rows or None
-    if not isinstance(rows, list) or not all(isinstance(r, list) for r in rows):
-        raise ValueError("the embedding service answered in an unknown format")
-    if len(rows) != count:
-        raise ValueError(f"the embedding service returned {len(rows)} vectors for {count} texts")
-    if any(len(r) != dim for r in rows):
-        raise ValueError(f"the embedding service returned vectors of another length than {dim}")
-    return np.asarray(rows, dtype=float).reshape(count, dim)
-
-
-def make_embedder(cfg: EngineConfig) -> Embed:
-    if cfg.embed_backend == "http":
-        return http_embedder(cfg.embed_http_url, cfg.embedding_model, cfg.embedding_dim, cfg.embed_http_api_key)
-    if cfg.embedding_model == "hashing":
-        return hashing_embedder(cfg.embedding_dim)
-    return onnx_embedder(cfg.embedding_model, cfg.embedding_dim)
-
-
-def embed_column(text: Column, cfg: EngineConfig) -> Column:
-    """The vector of a text, computed in batches inside the tasks."""
-    if cfg.embed_backend == "http" and not cfg.embed_http_url:
-        raise ConfigError("the http embedding backend needs embed_http_url")
+    Without a function that makes an embedder, the stand-in is used; the configuration must then name it.
+    """
+    if make_embedder is None and cfg.embedding_model != "hashing":
+        raise ConfigError(f"the embedding model {cfg.embedding_model!r} needs a function that makes its embedder")
     # The stand-in has no model call to size batches for.
-    batch = 1024 if cfg.embed_backend == "local" and cfg.embedding_model == "hashing" else cfg.embed_batch_size
+    batch = 1024 if make_embedder is None else cfg.embed_batch_size
+    dim = cfg.embedding_dim
 
     @F.pandas_udf(VECTOR)
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = make_embedder(cfg)
+        embed = make_embedder() if make_embedder else hashing_embedder(dim)
         for texts in series:
             values = texts.fillna("").tolist()
             out: list = []
             for at in range(0, len(values), batch):
                 part = values[at : at + batch]
                 vectors = np.asarray(embed(part))
-                if vectors.shape != (len(part), cfg.embedding_dim):
+                if vectors.shape != (len(part), dim):
                     raise ValueError(f"embedder returned shape {vectors.shape} for {len(part)} texts")
                 out.extend(vectors.astype(np.float32))
             yield pd.Series(out)

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from seekspark.operators.topk import best_per_query
 
-MAX_DEPTH = 800
-
 
 def leg_depth(hybrid_depth: int, limit: int, narrowing: bool) -> int:
-    return min(MAX_DEPTH, max(hybrid_depth, limit, 1) * (4 if narrowing else 1))
+    return max(hybrid_depth, limit, 1) * (4 if narrowing else 1)
 
 
 def reciprocal_rank(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:

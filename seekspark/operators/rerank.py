@@ -94,35 +94,6 @@ def sort_by_definition(hits: DataFrame, features: DataFrame, cfg: EngineConfig)
     return ordered.withColumn("ord", keep).select(*hits.columns)
 
 
-def cross_encoder_pool(ranked: int, limit: int, top_k: int) -> int:
-    return min(ranked, max(limit, top_k)) if ranked > 0 and limit > 0 else 0
-
-
-def onnx_pair_scorer(folder: str, max_tokens: int = 512) -> PairScorer:
-    """A cross-encoder: ``tokenizer.json`` and ``model.onnx``; the last logit of a row is its score."""
-    import onnxruntime
-    import tokenizers
-
-    tokenizer = tokenizers.Tokenizer.from_file(f"{folder}/tokenizer.json")
-    tokenizer.enable_truncation(max_tokens)
-    tokenizer.enable_padding()
-    options = onnxruntime.SessionOptions()
-    options.intra_op_num_threads = options.inter_op_num_threads = 1
-    session = onnxruntime.InferenceSession(f"{folder}/model.onnx", options)
-    wanted = {i.name for i in session.get_inputs()}
-
-    def score(queries: Sequence[str], passages: Sequence[str]) -> np.ndarray:
-        encoded = tokenizer.encode_batch(list(zip(queries, passages)))
-        feed = {
-            "input_ids": np.array([e.ids for e in encoded], dtype=np.int64),
-            "attention_mask": np.array([e.attention_mask for e in encoded], dtype=np.int64),
-            "token_type_ids": np.array([e.type_ids for e in encoded], dtype=np.int64),
-        }
-        return last_logits(session.run(None, {k: v for k, v in feed.items() if k in wanted})[0])
-
-    return score
-
-
 def last_logits(logits: np.ndarray) -> np.ndarray:
     logits = np.asarray(logits)
     return logits if logits.ndim <= 1 else logits.reshape(len(logits), -1)[:, -1]

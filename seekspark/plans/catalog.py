@@ -32,16 +32,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
 CFG = EngineConfig(watch_root="/corpus", embedding_dim=64, cross_encoder_enabled=False)
 WORKING_DOCS = CFG.working_docs
+YAML_FORM, JSON_FORM = 6, 7
 EXT, LANG, PREFIX = "rb, .TSX\nd.ts", "yaml", "lib\\"
 GLOBS = {"g_name": "*.rb", "g_deep": "src/**/*.ts", "g_braces": "**/d*[0-4].{md,json}", "g_dot": ".claude/**"}
 IGNORE_LINES = ["# built", "build/", "*.lock", "!d1*.lock", "/vendor", "docs/**/README.txt", "img/*.PNG", "!img/d1*"]
 DEMOTED = ("fixtures", "docs\\src1", " SPEC ")
 # Question forms, one per word of the corpus; {w} the word, {W} capitalised.
 QUESTIONS = (
-    "where is the {W} class defined?", "definition of {w}", "find {W}", "find the {w} service base class",
+    "where is the {W} class defined?", "definition of {w}", "find {W}", "find the {w} module root class",
     "{W}", "{w}_{w}", "show {w}_id", "{W} definition", "define `{w}`", "where are {w} defined",
     "find the {w} definition", "the {w}", "how does {w} work", "definitions of the {w} module",
-    "go to {W}", "locate {w} user core base class!",
+    "go to {W}", "locate {w} account root parent class!",
 )
 
 
@@ -163,8 +164,9 @@ def storage_texts(spark, sf):
     return rows.select("path", "ordinal", storage_text(F.col("path"), F.col("body")).alias("stored"))
 
 
-def _sections(spark, sf, suffix, keys):
-    rows = source_files(spark, sf).filter(F.col("path").endswith(suffix))
+def _sections(spark, sf, form, keys):
+    """Sections of every document, written in the config form of that number."""
+    rows = source_files(spark, sf, form)
     rows = rows.withColumns({
         "lines": split_lines(F.col("text")), "language": paths.chunk_language(F.col("path")), "keys": keys(rows),
     })
@@ -174,19 +176,19 @@ def _sections(spark, sf, suffix, keys):
 
 @register
 def yaml_sections(spark, sf):
-    out = _sections(spark, sf, ".yml", lambda rows: yaml_keys(split_lines(F.col("text"))))
+    out = _sections(spark, sf, YAML_FORM, lambda rows: yaml_keys(split_lines(F.col("text"))))
     return out.select("path", "start_line", "end_line", "symbol_name", "definition_of", "config_file", "body")
 
 
 @register
 def json_sections(spark, sf):
-    out = _sections(spark, sf, ".json", lambda rows: json_keys(F.col("text")))
+    out = _sections(spark, sf, JSON_FORM, lambda rows: json_keys(F.col("text")))
     return out.select("path", "start_line", "end_line", "symbol_name", "definition_of", "config_file", "body")
 
 
 @register
 def embed_texts(spark, sf):
-    out = _sections(spark, sf, ".yml", lambda rows: yaml_keys(split_lines(F.col("text"))))
+    out = _sections(spark, sf, YAML_FORM, lambda rows: yaml_keys(split_lines(F.col("text"))))
     return out.select("path", "start_line", embedding_text().alias("embedded"))
 
 
@@ -243,12 +245,7 @@ _CHUNK_COLUMNS = [
 
 @register
 def symbol_chunks(spark, sf):
-    return chunk_files(source_files(spark, sf), CFG.with_(definition_engine="regex")).select(*_CHUNK_COLUMNS)
-
-
-@register
-def ast_chunks(spark, sf):
-    return chunk_files(source_files(spark, sf), CFG.with_(config_aware_chunking=True)).select(*_CHUNK_COLUMNS)
+    return chunk_files(source_files(spark, sf), CFG).select(*_CHUNK_COLUMNS)
 
 
 # ---- change detection -------------------------------------------------------------------------------
@@ -356,7 +353,7 @@ def benchmark_queries(spark, sf) -> DataFrame:
     """Every benchmark text as a query, with the vector of the same number."""
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return asked.join(vectors, "query_id").withColumn("query_classifier", F.lit("auto"))
+    return asked.join(vectors, "query_id", "left").withColumn("query_classifier", F.lit("auto"))
 
 
 @register
@@ -429,7 +426,7 @@ def retrieval_quality(spark, sf):
     labels = table(spark, sf, "labels")
     hits = bm25_hits(spark, sf, 10)
     owner = files(spark, sf).select(chunk_id(F.col("path"), F.lit(0)).alias("chunk_id"), "doc_id")
-    judged = owner.join(F.broadcast(hits), "chunk_id").join(labels, "doc_id")
+    judged = owner.join(hits, "chunk_id").join(labels, "doc_id")
     return judged.groupBy("query_id").agg(
         F.count("*").alias("judged"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("precision")
     )
@@ -631,9 +628,9 @@ def match_confidence_words(spark, sf):
 
 
 # ---- end to end ---------------------------------------------------------------------------------------
-def chunk_tables(spark, sf, cfg: EngineConfig) -> SearchTables:
-    """Chunks, vectors and postings of all documents, written as an index would write them."""
-    cut = chunk_files(files(spark, sf).select("path", "text"), cfg)
+def chunk_tables(corpus: DataFrame, cfg: EngineConfig) -> SearchTables:
+    """Chunks, vectors and postings of (path, text), written as an index would write them."""
+    cut = chunk_files(corpus.select("path", "text"), cfg)
     chunks = cut.withColumns({
         "chunk_id": chunk_id(F.col("path"), F.col("ordinal")),
         "vector": embed_column(embedding_text(cfg.embed_definition_tag), cfg),
@@ -647,16 +644,16 @@ def chunk_tables(spark, sf, cfg: EngineConfig) -> SearchTables:
 
 @register
 def search_e2e(spark, sf):
-    """Chunk, embed, retrieve, fuse, rerank and assess: every benchmark text against all documents."""
-    return _end_to_end(spark, sf, CFG.with_(config_aware_chunking=True))
+    """Chunk, embed, retrieve, fuse, rerank and assess: every benchmark text against all documents as source files."""
+    return _end_to_end(spark, sf, source_files(spark, sf), CFG)
 
 
-def _end_to_end(spark, sf, cfg: EngineConfig) -> DataFrame:
+def _end_to_end(spark, sf, corpus: DataFrame, cfg: EngineConfig) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("auto").alias("query_classifier"),
         embed_column(F.col("text"), cfg).alias("vector"),
     )
-    hits, levels = search_plan(asked, chunk_tables(spark, sf, cfg), cfg, SearchRequest("x", limit=10))
+    hits, levels = search_plan(asked, chunk_tables(corpus, cfg), cfg, SearchRequest("x", limit=10))
     joined = hits.join(levels, "query_id")
     return joined.select(
         "query_id", "ord", "path", "start_line", "end_line", F.round("score", 6).alias("score"),
@@ -667,7 +664,7 @@ def _end_to_end(spark, sf, cfg: EngineConfig) -> DataFrame:
 @register
 def search_chunks(spark, sf):
     """The same search over plain line windows."""
-    return _end_to_end(spark, sf, CFG.with_(code_aware_chunking=False))
+    return _end_to_end(spark, sf, files(spark, sf), CFG.with_(code_aware_chunking=False))
 
 
 def everything() -> dict[str, Query]:

@@ -47,6 +47,13 @@ SOURCE_FILES = f"""src AS (SELECT doc_id, {_case('doc_id', [_literal(p).replace(
   FROM (SELECT doc_id, {LINES} AS ls FROM documents))"""
 
 
+def config_form(number: int) -> str:
+    """CTE src with every document in one form."""
+    path, *rest = SOURCES[number]
+    where = _literal(path).replace("{d}", "'||doc_id||'")
+    return f"src AS (SELECT doc_id, {where} AS path, {_source_text(*rest)} AS text, len(ls) AS n_src FROM (SELECT doc_id, {LINES} AS ls FROM documents))"
+
+
 def add(name: str, sql: str) -> None:
     ORACLE[name] = sql
 
@@ -61,6 +68,7 @@ add("glob_filter", f"""WITH {PATHS} SELECT doc_id, path, {BASE} LIKE '%.rb' AS g
   regexp_matches({BASE}, '^d.*[0-4]\\.(md|json)$') AS g_braces, path LIKE '.claude/%' AS g_dot FROM paths""")
 add("combined_filter", f"""WITH {PATHS} SELECT doc_id, path FROM paths
   WHERE regexp_matches(lower(path), '\\.(rb|ts|mts|cts|tsx|vue)$') AND regexp_matches({BASE}, '^d.*[02468]\\..*$')""")
+# Fixed values.
 TEXT_EXT = """'adoc','bash','c','cc','cfg','cjs','conf','cpp','css','csv','cxx','dockerfile','feature','go','graphql','gql','h','hpp',
  'htm','html','ini','java','js','jsx','json','kt','md','mdx','mjs','plist','prisma','proto','py','rb','rake','gemspec','rs','rst',
  'scss','sh','sql','svelte','swift','toml','ts','tsx','tsv','txt','vue','xml','yaml','yml','zsh'"""
@@ -107,20 +115,21 @@ for size, overlap in ((60, 12), (36, 9), (10, 3)):
     add(f"line_chunks_{size}_{overlap}", f"WITH {CORPUS} SELECT * FROM {windows('corpus', size, overlap)}")
 add("storage_texts", f"""WITH {CORPUS} SELECT path, ordinal, path||' '||{BASE}||' '||replace({BASE},'-',' ')||' '||replace(path,'/',' ')
   ||chr(10)||chr(9246)||chr(10)||body AS stored FROM {windows('corpus', 36, 9)}""")
-YAML = f"""{SOURCE_FILES}, ylines AS (SELECT path, ls, i, regexp_extract(ls[i], '^["'']?([A-Za-z0-9_.-]+)["'']?\\s*:', 1) AS k FROM
-   (SELECT path, {LINES} AS ls, unnest(generate_series(1, len({LINES}))) AS i FROM src WHERE path LIKE '%.yml')),
+YAML = f"""{config_form(6)}, ylines AS (SELECT path, ls, i, regexp_extract(ls[i], '^["'']?([A-Za-z0-9_.-]+)["'']?\\s*:', 1) AS k FROM
+   (SELECT path, {LINES} AS ls, unnest(generate_series(1, len({LINES}))) AS i FROM src)),
   ysec AS (SELECT path, ls, k, i AS s, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, len(ls)) AS e FROM ylines WHERE k <> '')"""
 add("yaml_sections", f"""WITH {YAML} SELECT path, s::INT AS start_line, e::INT AS end_line, k AS symbol_name, k AS definition_of,
   regexp_extract(path, '([^/]+)\\.yml$', 1) AS config_file, array_to_string(ls[s:e], chr(10)) AS body FROM ysec""")
-add("embed_texts", f"""WITH {YAML} SELECT path, s::INT AS start_line, substr('[path='||path||'][lang=yaml][symbol='||k||'][kind=config_key][file_kind=config][config_file='
-  ||regexp_extract(path, '([^/]+)\\.yml$', 1)||'][config_key='||k||'][def='||k||']'||chr(10)||array_to_string(ls[s:e], chr(10)), 1, 12000) AS embedded FROM ysec""")
-add("json_sections", f"""WITH {SOURCE_FILES}, j AS (SELECT path, {LINES} AS ls, n_src FROM src WHERE path LIKE '%.json'),
+add("embed_texts", f"""WITH {YAML} SELECT path, s::INT AS start_line, '[path='||path||'][lang=yaml][symbol='||k||'][kind=config_key][file_kind=config][config_file='
+  ||regexp_extract(path, '([^/]+)\\.yml$', 1)||'][config_key='||k||'][def='||k||']'||chr(10)||array_to_string(ls[s:e], chr(10)) AS embedded FROM ysec""")
+add("json_sections", f"""WITH {config_form(7)}, j AS (SELECT path, {LINES} AS ls, n_src FROM src),
   x AS (SELECT path, ls, n_src, unnest(generate_series(1, n_src)) AS i FROM j)
   SELECT path, (i+1)::INT AS start_line, CASE WHEN i = n_src THEN i+2 ELSE i+1 END::INT AS end_line,
    string_split(ls[i+1], '"')[2] AS symbol_name, string_split(ls[i+1], '"')[2] AS definition_of, regexp_extract(path, '([^/]+)\\.json$', 1) AS config_file,
    array_to_string(ls[i+1 : CASE WHEN i = n_src THEN i+2 ELSE i+1 END], chr(10)) AS body FROM x""")
 ID = "([A-Za-z_][A-Za-z0-9_]*)"
 JS = "([A-Za-z_$][A-Za-z0-9_$]*)"
+# Fixed values.
 PATTERNS = [
     ("javascript", "function", rf"^(?:export\s+)?(?:async\s+)?function\s+{JS}\s*\("),
     ("javascript", "class", rf"^(?:export\s+)?class\s+{JS}\b"), ("javascript", "interface", rf"^(?:export\s+)?interface\s+{JS}\b"),
@@ -160,7 +169,7 @@ add("one_symbol_per_line", f"""SELECT doc_id, i::INT AS start_line, name, CASE W
 add("ast_regex_merge", f"""SELECT doc_id, i::INT AS start_line, regexp_extract(x, '([A-Za-z]+)', 1) AS name, CASE WHEN i % 2 = 1 THEN 'class' ELSE 'function' END AS kind
   FROM (SELECT doc_id, unnest({LINES}) AS x, generate_subscripts({LINES}, 1) AS i FROM documents) WHERE regexp_matches(x, '[A-Za-z]')""")
 # Sections from each symbol to the next, cut into pieces of 60; preamble before; windows without symbols.
-add("symbol_chunks", f"""WITH {SOURCE_FILES}, code AS (SELECT path, text FROM src), {SYMBOLS},
+SYMBOL_PARTS = f"""{SOURCE_FILES}, code AS (SELECT path, text FROM src), {SYMBOLS},
   lined AS (SELECT path, text, {LINES} AS ls, len({LINES}) AS n FROM src),
   sec AS (SELECT path, i AS s, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, n) AS e, name, kind FROM syms WHERE kind IS NOT NULL),
   first_of AS (SELECT path, min(s) AS f FROM sec GROUP BY path),
@@ -168,27 +177,10 @@ add("symbol_chunks", f"""WITH {SOURCE_FILES}, code AS (SELECT path, text FROM sr
      (SELECT *, unnest(generate_series(0, (e - s) // 60)) AS k FROM sec)),
   parts AS (SELECT path, a, b, name, kind, CASE WHEN k = 0 THEN name END AS def, CASE WHEN split THEN 'symbol_split' ELSE 'symbol' END AS mode FROM pieces
     UNION ALL SELECT path, 1, f - 1, NULL, NULL, NULL, 'preamble' FROM first_of WHERE f > 1
-    UNION ALL SELECT path, start_line, end_line, NULL, NULL, NULL, 'fallback_lexical' FROM {windows('src', 36, 9, 'WHERE path NOT IN (SELECT path FROM first_of)')})
+    UNION ALL SELECT path, start_line, end_line, NULL, NULL, NULL, 'fallback_lexical' FROM {windows('src', 36, 9, 'WHERE path NOT IN (SELECT path FROM first_of)')})"""
+add("symbol_chunks", f"""WITH {SYMBOL_PARTS}
   SELECT path, (row_number() OVER (PARTITION BY path ORDER BY a) - 1)::INT AS ordinal, a::INT AS start_line, b::INT AS end_line, name AS symbol_name, kind AS symbol_kind,
    NULL::VARCHAR AS scope_path, def AS definition_of, mode AS chunk_mode, array_to_string(ls[a:b], chr(10)) AS body FROM parts JOIN lined USING (path)""")
-# The source files have a fixed shape, so their chunks follow from the number of text lines n.
-_LINE_NAME = "lower(regexp_extract(x, '([A-Za-z]+)', 1)) || '_' || (i - 1)"
-add("ast_chunks", f"""WITH {SOURCE_FILES},
-  shape AS (SELECT doc_id, doc_id % 8 AS f, src.path, n_src AS n, string_split_regex(src.text, '\n') AS ls, {LINES.replace('text', 'documents.text')} AS orig
-     FROM src JOIN documents USING (doc_id)),
-  unit AS (SELECT *, CASE WHEN f = 1 THEN 2 ELSE 3 END AS u, len(ls) AS total FROM shape WHERE f < 6),
-  memb AS (SELECT *, {_LINE_NAME} AS w, 2 + u*(i-1) AS a, 1 + u*i AS b FROM (SELECT *, unnest(orig) AS x, unnest(generate_series(1, n)) AS i FROM unit)),
-  parts AS (
-   SELECT path, ls, 1 AS a, total AS b, 'D'||doc_id AS name, 'class' AS kind, NULL AS scope, 'D'||doc_id AS def, 'symbol' AS mode FROM unit WHERE f IN (0,1,2,4) AND total <= 60
-   UNION ALL SELECT path, ls, CASE WHEN i = 1 THEN 1 ELSE a END, b, CASE WHEN f = 2 THEN 'D'||doc_id||'#'||w ELSE w END, 'function',
-      CASE WHEN f = 2 THEN 'D'||doc_id END, CASE WHEN f = 0 AND i = 1 THEN 'D'||doc_id ELSE w END, 'symbol' FROM memb WHERE f IN (0,1,2,4) AND total > 60
-   UNION ALL SELECT path, ls, total, total, 'D'||doc_id, 'class', NULL, 'D'||doc_id, 'symbol' FROM unit WHERE f IN (0,2,4) AND total > 60
-   UNION ALL SELECT path, ls, CASE WHEN i = 1 AND f = 3 THEN 1 ELSE a END, b, w, 'function', NULL, w, 'symbol' FROM memb WHERE f IN (3,5)
-   UNION ALL SELECT path, ls, 1, 1, NULL, NULL, NULL, NULL, 'fallback_lexical' FROM unit WHERE f = 5
-   UNION ALL SELECT path, ls, CASE WHEN f = 6 THEN 2*i ELSE i + 1 END, CASE WHEN f = 6 THEN 2*i + 1 WHEN i = n THEN i + 2 ELSE i + 1 END,
-      {_LINE_NAME}, 'config_key', NULL, {_LINE_NAME}, 'symbol' FROM (SELECT *, unnest(orig) AS x, unnest(generate_series(1, n)) AS i FROM shape WHERE f > 5))
-  SELECT path, (row_number() OVER (PARTITION BY path ORDER BY a) - 1)::INT AS ordinal, a::INT AS start_line, b::INT AS end_line, name AS symbol_name, kind AS symbol_kind,
-   scope AS scope_path, def AS definition_of, mode AS chunk_mode, array_to_string(ls[a:b], chr(10)) AS body FROM parts""")
 KNOWN = f"""{FILES}, known AS (SELECT CASE WHEN doc_id % 7 = 6 THEN path||'.old' ELSE path END AS path,
   CASE WHEN doc_id % 5 = 2 THEN sha256(text||'!') ELSE sha256(text) END AS sha, CASE WHEN doc_id % 5 = 2 THEN size + 1 ELSE size END AS ksize,
   CASE WHEN doc_id % 5 = 1 THEN mtime_ms - 5 ELSE mtime_ms END AS kmtime FROM files WHERE doc_id % 5 <> 3),
@@ -289,6 +281,7 @@ def questions() -> str:
     return f"""w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents), questions AS (SELECT word, {filled} AS query FROM w)"""
 
 
+# Fixed values.
 TESTS = r"(?i)\b(test|spec|rspec|minitest|pytest|jest|vitest|examples?|shoulda|factory_bot|capybara|vcr)\b"
 FRONTEND = (
     r"(?i)\b(react|usestate|useeffect|usecallback|usememo|redux|zustand|next\.js|nextjs|jsbundle|components?|userouter|stimulus|webpack|vite|hotwire|turbo|"
@@ -297,6 +290,7 @@ FRONTEND = (
 add("query_context", f"""WITH {questions()}, c AS (SELECT word, ['rspec for ','React components of ','next.js and ','client side ','latest '][length(word) % 5 + 1]||query AS q FROM questions)
   SELECT word, regexp_matches(q, '{TESTS}') AS tests, regexp_matches(q, '{FRONTEND}') AS frontend FROM c""")
 NAME = r"`?([A-Za-z_][A-Za-z0-9_$]*)`?"
+# Fixed values.
 INTENTS = [
     rf"where\s+(?:is|are)\s+(?:the\s+)?{NAME}\s+(?:class|interface|type|enum|struct|trait|record|method|module)\s+defined\b",
     rf"\bdefinitions?\s+of\s+(?:the\s+)?{NAME}\s+(?:class|interface|type|enum|method|module)\b",
@@ -431,10 +425,11 @@ def hashed(source: str, key: str, text: str) -> str:
 
 
 _HEADER = f"path||' '||{BASE}||' '||replace({BASE},'-',' ')||' '||replace(path,'/',' ')"
-add("search_chunks", f"""WITH {FILES}, {ASKED.format(query='text', focus="'auto'")},
-  dl AS (SELECT path||'#'||ordinal AS chunk_id, path, start_line, end_line, body AS text, {_HEADER}||' '||body AS stored, '[path='||path||']'||chr(10)||body AS embedded
-     FROM {windows('files', 60, 12)}),
-  cut AS (SELECT chunk_id, substr(embedded, 1, 12000) AS embedded FROM dl), vec AS {hashed('cut', 'chunk_id', 'embedded')},
+
+
+def searched(chunks: str) -> str:
+    """The whole search over dl(chunk_id, path, start_line, end_line, text, stored, embedded, def), the last CTE of `chunks`."""
+    return f"""WITH {chunks}, {ASKED.format(query='text', focus="'auto'")}, vec AS {hashed('dl', 'chunk_id', 'embedded')},
   q AS (SELECT query_id, v AS q FROM {hashed('asked', 'query_id', 'query')}),
   post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({TERMS.format('stored')}) AS term FROM dl) GROUP BY ALL),
   lens AS (SELECT chunk_id, sum(tf) AS dl FROM post GROUP BY chunk_id), st AS (SELECT (SELECT count(*) FROM dl) AS n, (SELECT sum(dl) FROM lens) / (SELECT count(*) FROM dl) AS a),
@@ -455,4 +450,15 @@ add("search_chunks", f"""WITH {FILES}, {ASKED.format(query='text', focus="'auto'
   x AS (SELECT query_id, asked.query, t0, t1, p0, p1, {SEPARATION} AS sep FROM asked JOIN two USING (query_id)),
   conf AS (SELECT query_id, {confidence(AMBIGUOUS.format(q='query'), DIVERGE)} FROM x)
   SELECT query_id, ord::INT AS ord, rr.path, start_line, end_line, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score,
-   NULL::VARCHAR AS definition_of, match_confidence FROM rr JOIN dl USING (chunk_id) JOIN conf USING (query_id)""")
+   dl.def AS definition_of, match_confidence FROM rr JOIN dl USING (chunk_id) JOIN conf USING (query_id)"""
+
+
+add("search_chunks", searched(f"""{FILES}, dl AS (SELECT path||'#'||ordinal AS chunk_id, path, start_line, end_line, body AS text, {_HEADER}||' '||body AS stored,
+  '[path='||path||']'||chr(10)||body AS embedded, NULL::VARCHAR AS def FROM {windows('files', 60, 12)})"""))
+# The language label of each form of source file.
+FORM_LANGUAGE = """CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'ts' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'rb' THEN 'ruby' WHEN 'rs' THEN 'rust'
+  WHEN 'yml' THEN 'yaml' ELSE regexp_extract(path, '\\.([a-z]+)$', 1) END"""
+add("search_e2e", searched(f"""{SYMBOL_PARTS}, numbered AS (SELECT path, (row_number() OVER (PARTITION BY path ORDER BY a) - 1) AS ordinal, a::INT AS start_line, b::INT AS end_line,
+    name, kind, def, array_to_string(ls[a:b], chr(10)) AS body FROM parts JOIN lined USING (path)),
+  dl AS (SELECT path||'#'||ordinal AS chunk_id, path, start_line, end_line, body AS text, {_HEADER}||' '||body AS stored, '[path='||path||'][lang='||{FORM_LANGUAGE}||']'
+    ||coalesce('[symbol='||name||']', '')||coalesce('[kind='||kind||']', '')||coalesce('[def='||def||']', '')||chr(10)||body AS embedded, def FROM numbered)"""))

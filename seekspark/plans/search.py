@@ -22,7 +22,7 @@ from seekspark.operators.fulltext import bm25
 from seekspark.operators.fusion import leg_depth, reciprocal_rank
 from seekspark.operators.nearest import nearest, over_fetch, similarity
 from seekspark.operators.rerank import (
-    PairScorer, cross_encode, onnx_pair_scorer, query_features, rerank, sort_by_definition, sort_by_focus,
+    PairScorer, cross_encode, query_features, rerank, sort_by_definition, sort_by_focus,
 )
 from seekspark.operators.topk import best_per_query
 
@@ -180,8 +180,6 @@ def search_plan(
             ranked = sort_by_definition(ranked, features, cfg)
         ranked = ranked.withColumn("rerank_score", F.lit(None).cast("double"))
     ranked = ranked.withColumn("cross_encoder_logit", F.lit(None).cast("double"))
-    if make_scorer is None and cfg.cross_encoder_model:
-        make_scorer = lambda: onnx_pair_scorer(cfg.cross_encoder_model)
     if cfg.cross_encoder_enabled and make_scorer is not None:
         top = cross_encode(ranked, queries, make_scorer, request.limit, cfg)
     else:

@@ -15,10 +15,6 @@ def struct(spec: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split(":") for f in spec.split())])
 
 
-DECLARATIONS = T.ArrayType(struct(
-    "name:string kind:string definition_of:string scope_path:string start_line:int end_line:int "
-    "parent:int root:int member:boolean holder:boolean members:int members_end:int"
-))
 KEYS = T.ArrayType(struct("key:string line:int"))
 CHUNK_FIELDS = (
     "start_line:int end_line:int body:string language:string symbol_name:string symbol_kind:string "

@@ -87,8 +87,11 @@ SOURCES = (
 )
 
 
-def source_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, path, text: each document rewritten as a source or config file, line by line."""
+def source_files(spark: SparkSession, folder: str, form: int | None = None) -> DataFrame:
+    """doc_id, path, text: each document rewritten as a source or config file, line by line.
+
+    Each eighth of the documents takes one form; a number gives all of them that form.
+    """
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     docs = docs.select("doc_id", F.split("text", r"\r?\n").alias("_lines"))
     number = F.col("doc_id").cast("string")
@@ -113,7 +116,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
         parts = [F.array(fill(first, none, none)), body(template)] + ([F.array(F.lit(last))] if last else [])
         return F.array_join(F.concat(*parts), "\n")
 
-    key = F.col("doc_id")
+    key = F.col("doc_id") if form is None else F.lit(form)
     return docs.select(
         "doc_id",
         _pick(key, [fill(p, F.lit(""), F.lit("")) for p, *_ in SOURCES]).alias("path"),

@@ -57,13 +57,3 @@ def start_watching(
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{index.cfg.poll_interval_ms} milliseconds").start()
-
-
-def start_reconciling(index: CodeIndex, checkpoint: str) -> StreamingQuery:
-    """Repairs missed events now and then. Micro-batches never overlap, so neither do the scans."""
-    ticks = index.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return (
-        ticks.writeStream.foreachBatch(lambda batch, number: index.reconcile() and None)
-        .option("checkpointLocation", checkpoint)
-        .trigger(processingTime=f"{index.cfg.reconcile_interval_ms} milliseconds").start()
-    )
