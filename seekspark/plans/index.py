@@ -28,7 +28,7 @@ from seekspark.operators.rerank import PairScorer
 from seekspark.plans.search import (
     SearchRequest, SearchTables, bucket_of, error_json, hit_payload, queries_frame, result_json, search_plan, with_vectors,
 )
-from seekspark.sources.files import accepted, read_texts, stat_files, walk_files
+from seekspark.sources.files import accepted, not_below, read_texts, stat_files, walk_files
 from seekspark.session import shared_folder
 
 log = logging.getLogger(__name__)
@@ -131,7 +131,12 @@ class CodeIndex:
         """Brings the tables up to the listed files (path, size, mtime_ms) and drops the removed paths."""
         staging = f"{shared_folder(self.spark)}/staging-{uuid.uuid4().hex}"
         known = changes.with_known_state(listed, self.table("file_manifest"))
-        pending = known.filter(~changes.stat_unchanged() & (F.col("size") <= self.cfg.max_file_bytes))
+        too_large = F.col("size") > self.cfg.max_file_bytes
+        # Counted now: the manifest is rewritten below.
+        left = known.agg(
+            F.count_if(changes.stat_unchanged() & ~too_large).alias("stat_skipped"), F.count_if(too_large).alias("too_large")
+        ).first().asDict()
+        pending = known.filter(~changes.stat_unchanged() & ~too_large)
         read = read_texts(pending, self.cfg).withColumn("sha256", changes.content_hash(F.col("text")))
         # Staged once: reading files again for every table could see other contents.
         self._bucket(read).write.parquet(f"{staging}/files")
@@ -161,7 +166,10 @@ class CodeIndex:
         ).first().asDict()
         if counts["failed"]:
             log.warning("%s files could not be read; they are tried again next time", counts["failed"])
-        return {**counts, "removed": gone.count()}
+        if left["too_large"]:
+            kept = "are taken out of the index" if self.cfg.strict_size else "keep what the index held of them"
+            log.warning("%s files are larger than max_file_bytes and %s", left["too_large"], kept)
+        return {**counts, **left, "removed": gone.count()}
 
     def _rewrite(self, fresh: DataFrame, touched: DataFrame, buckets: list[int]) -> None:
         chunks = changes.upsert(self.table("chunks", buckets), fresh, touched)
@@ -179,14 +187,23 @@ class CodeIndex:
     def full_scan(self) -> dict[str, int]:
         """Indexes new and changed files; nothing is removed."""
         nothing = self.spark.createDataFrame([], "path string")
-        result = self._index(walk_files(self.spark, self.cfg), nothing)
+        listed, failed = walk_files(self.spark, self.cfg)
+        result = {**self._index(listed, nothing), "unlisted": self._unlisted(failed)}
         self._write_meta(scanned=True)
         return result
 
+    def _unlisted(self, failed: DataFrame) -> int:
+        count = failed.count()
+        if count:
+            log.warning("%s paths could not be listed; what is indexed below them stays", count)
+        return count
+
     def reconcile(self) -> dict[str, int]:
-        """A full scan that also drops known paths no longer on disk."""
-        listed = walk_files(self.spark, self.cfg)
-        result = self._index(listed, changes.removed_paths(self.table("file_manifest"), listed))
+        """A full scan that also drops known paths no longer on disk. What lies below a directory that could not be listed
+        is unknown, not gone."""
+        listed, failed = walk_files(self.spark, self.cfg)
+        gone = not_below(changes.removed_paths(self.table("file_manifest"), listed), failed)
+        result = {**self._index(listed, gone), "unlisted": self._unlisted(failed)}
         self._write_meta(scanned=True)
         return result
 
@@ -194,16 +211,26 @@ class CodeIndex:
         """One file, absolute or relative to the root, or everything."""
         if not path:
             return {"ok": True, "mode": "reconcile", **self.reconcile()}
-        relative = os.path.relpath(path, self.cfg.watch_root) if os.path.isabs(path) else path
-        rows = [(0, relative.replace(os.sep, "/"), "change")]
-        return {"scheduled": path, **self.apply_changes(self.spark.createDataFrame(rows, schemas.CHANGES))}
+        return {"scheduled": path, **self.apply_changes(self.spark.createDataFrame([(0, self._inside(path), "change")], schemas.CHANGES))}
+
+    def _inside(self, path: str) -> str:
+        """The path relative to the root; one that leaves the root is an error."""
+        relative = os.path.relpath(path, self.cfg.watch_root) if os.path.isabs(path) else os.path.normpath(path)
+        relative = relative.replace(os.sep, "/")
+        if relative == ".." or relative.startswith("../"):
+            raise ConfigError(f"{path!r} lies outside the watched root")
+        return relative
 
     def remove(self, path: str) -> dict[str, int]:
-        return self.apply_changes(self.spark.createDataFrame([(0, path, "unlink")], schemas.CHANGES))
+        return self.apply_changes(self.spark.createDataFrame([(0, self._inside(path), "unlink")], schemas.CHANGES))
 
     def apply_changes(self, events: DataFrame) -> dict[str, int]:
-        """(seq, path, event): the last event of each path decides; a changed file that is gone is removed."""
-        last = changes.last_event_per_path(events)
+        """(seq, path, event): the last event of each path decides; a changed file that is gone is removed.
+
+        Events whose path is absolute or has a `..` step name nothing inside the root and are left out.
+        """
+        leaves = F.col("path").startswith("/") | F.concat(F.lit("/"), F.col("path"), F.lit("/")).contains("/../")
+        last = changes.last_event_per_path(events.filter(~leaves))
         named = last.filter("event <> 'unlink'").select("path").filter(accepted(self.cfg))
         found = stat_files(named, self.cfg)
         missing = found.filter("size IS NULL").select("path")

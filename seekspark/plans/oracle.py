@@ -215,6 +215,16 @@ ASKED_VECTORS = "q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM
 add("knn_topk", knn(center("0"), 10))
 add("label_centroid_topk", knn(center("label"), 5))
 add("knn_batch", knn(ASKED_VECTORS, 10))
+
+
+def _far(column: str) -> str:
+    return f"list_transform({column}::DOUBLE[], lambda x: x * 0.5::DOUBLE + 100000)"
+
+
+add("knn_large_norms", f"""WITH q AS (SELECT item_id AS query_id, {_far('embedding')} AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+   vec AS (SELECT vec_id AS chunk_id, {_far('embedding')} AS v FROM embeddings), d AS (SELECT query_id, chunk_id, {DISTANCE} AS distance FROM q, vec),
+   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS ord FROM d)
+   SELECT query_id, ord::INT AS ord, chunk_id, round(distance, 6) AS distance, round(1/(1+distance), 6) AS score FROM r WHERE ord <= 10""")
 add("knn_prefix_overfetch", f"""WITH {FILES}, {ASKED_VECTORS}, vec AS (SELECT path||'#0' AS chunk_id, path, embedding::DOUBLE[] AS v FROM files JOIN embeddings ON vec_id = doc_id),
    d AS (SELECT query_id, chunk_id, path, {DISTANCE} AS distance FROM q, vec), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rn FROM d),
    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn) AS ord FROM r WHERE rn <= 80 AND path LIKE 'lib/%')

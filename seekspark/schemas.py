@@ -25,7 +25,7 @@ CHUNKS = struct(
     "definition_of:string path_bucket:int"
 )
 POSTINGS = struct("term:string chunk_id:string path:string tf:bigint dl:bigint path_bucket:int")
-LISTING = struct("path:string size:bigint mtime_ms:double is_dir:boolean")
+LISTING = struct("path:string size:bigint mtime_ms:double is_dir:boolean error:string")
 MANIFEST = struct("path:string sha256:string size:bigint mtime_ms:double path_bucket:int")
 META = struct("embedding_model:string embedding_dim:int watch_root:string last_full_scan_at:timestamp")
 CHANGES = struct("seq:bigint path:string event:string")

@@ -39,9 +39,8 @@ def accepted(cfg: EngineConfig, is_dir: bool = False, patterns: list[str] | None
     patterns = ignore_patterns(cfg) if patterns is None else patterns
     keep = ~paths.is_safety_ignored(path, check_parents=True) & ~ignored(path, cfg.index_exclude, is_dir)
     keep = keep & (~ignored(path, patterns, is_dir) | paths.is_covered_by(path, cfg.working_docs))
-    inside = os.path.relpath(cfg.index_dir, cfg.watch_root)
-    if not inside.startswith(".."):
-        keep = keep & ~paths.is_under(path, inside.replace(os.sep, "/"))
+    if cfg.index_dir.startswith(cfg.watch_root + "/"):
+        keep = keep & ~paths.is_under(path, cfg.index_dir[len(cfg.watch_root) + 1 :])
     return keep if is_dir else keep & paths.is_indexable(path)
 
 
@@ -54,8 +53,8 @@ def _entries(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
                     with os.scandir(os.path.join(root, relative)) as found:
                         for entry in found:
                             rows.append(_row(f"{relative}/{entry.name}" if relative else entry.name, entry))
-                except OSError:
-                    continue
+                except OSError as failure:
+                    rows.append((relative, 0, 0.0, True, str(failure)))
                 yield pd.DataFrame([r for r in rows if r], columns=LISTING.names)
 
     return run
@@ -64,31 +63,45 @@ def _entries(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
 def _row(relative: str, entry: os.DirEntry) -> tuple | None:
     try:
         if entry.is_dir(follow_symlinks=False):
-            return relative, 0, 0.0, True
+            return relative, 0, 0.0, True, None
         if not entry.is_file():
             return None
         state = entry.stat()
-        return relative, state.st_size, state.st_mtime_ns / 1e6, False
-    except OSError:
-        return None
+        return relative, state.st_size, state.st_mtime_ns / 1e6, False, None
+    except OSError as failure:
+        return relative, 0, 0.0, False, str(failure)
 
 
-def walk_files(spark: SparkSession, cfg: EngineConfig) -> DataFrame:
-    """path, size, mtime_ms of every file that takes part in the index."""
+def walk_files(spark: SparkSession, cfg: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """(path, size, mtime_ms) of every file that takes part in the index, and (path, error) of what could not be listed.
+
+    Nothing is known of a failed path and what lies below it. If the root itself cannot be listed, the walk fails.
+    """
     folder = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
     patterns = ignore_patterns(cfg)
     level, depth = spark.createDataFrame([("",)], "path string"), 0
-    keep = (F.col("is_dir") & accepted(cfg, True, patterns)) | (~F.col("is_dir") & accepted(cfg, False, patterns))
+    keep = F.col("error").isNotNull() | (F.col("is_dir") & accepted(cfg, True, patterns)) | (~F.col("is_dir") & accepted(cfg, False, patterns))
     while True:
         target = f"{folder}/depth={depth}"
         level.mapInPandas(_entries(cfg.watch_root), LISTING).filter(keep).write.parquet(target)
         listed = spark.read.schema(LISTING).parquet(target)
-        directories = listed.filter("is_dir").select("path")
+        if depth == 0 and (failed := listed.filter("path = '' AND error IS NOT NULL").first()):
+            raise OSError(f"the root cannot be listed: {failed['error']}")
+        directories = listed.filter("is_dir AND error IS NULL").select("path")
         if directories.isEmpty():
             break
         # Listing is latency bound: spread the directories over all tasks.
         level, depth = directories.repartition(spark.sparkContext.defaultParallelism, "path"), depth + 1
-    return spark.read.schema(LISTING).parquet(*[f"{folder}/depth={d}" for d in range(depth + 1)]).filter("NOT is_dir").drop("is_dir")
+    everything = spark.read.schema(LISTING).parquet(*[f"{folder}/depth={d}" for d in range(depth + 1)])
+    return everything.filter("NOT is_dir AND error IS NULL").drop("is_dir", "error"), everything.filter("error IS NOT NULL").select("path", "error")
+
+
+def not_below(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """The rows whose path is none of the failed ones and lies below none. Joins on the paths' ancestors."""
+    parts = F.split("path", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    unknown = rows.select("path", F.explode(ancestors).alias("_above")).join(failed.select(F.col("path").alias("_above")), "_above", "left_semi")
+    return rows.join(unknown.select("path").distinct(), "path", "left_anti")
 
 
 def stat_files(named: DataFrame, cfg: EngineConfig) -> DataFrame:

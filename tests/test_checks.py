@@ -5,21 +5,16 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from seekspark.plans.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
-QUICK = [
-    "scan_stats", "ext_filter", "glob_filter", "safety_filter", "ignore_filter", "content_bucket", "line_chunks_10_3", "yaml_sections",
-    "json_sections", "regex_symbols", "ast_chunks", "hash_skip", "upsert_result", "events_replay_upsert", "knn_batch", "bm25_topk",
-    "query_tokens", "definition_intent", "code_path_prior", "rerank_natural", "match_confidence",
-]
-
 
 def test_every_check_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -6,8 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seekspark.config import EngineConfig
-from seekspark.operators.chunking import body_of_storage_text, chunk_files, storage_text
-from seekspark.operators.declarations import scan_declarations
+from seekspark.operators.chunking import body_of_storage_text, chunk_files, embedding_text, storage_text
 from seekspark.operators.lines import line_windows
 from seekspark.operators.symbols import scan_json_keys
 
@@ -79,32 +78,7 @@ def chunks(spark, path, text, **options):
     return [(r.start_line, r.end_line, r.symbol_name, r.definition_of, r.chunk_mode) for r in rows], rows
 
 
-def test_class_opens_into_members(spark):
-    got, rows = chunks(spark, "a.ts", TS, chunk_lines=5)
-    assert got == [
-        (1, 3, "a", "Foo", "symbol"), (5, 7, "constructor", "constructor", "symbol"), (8, 10, "run", "run", "symbol"),
-        (11, 11, "Foo", "Foo", "symbol"), (12, 14, "top", "top", "symbol"), (15, 15, None, None, "fallback_lexical"),
-    ]
-    assert rows[0].body == "\n".join(TS.split("\n")[:3])
-    lossy, _ = chunks(spark, "a.ts", TS, chunk_lines=5, cover_gaps=False)
-    assert lossy == got[:-1]
-
-
-def test_ruby_names_scopes_and_pieces(spark):
-    got, rows = chunks(spark, "a.rb", RB, chunk_lines=6)
-    assert got == [
-        (1, 9, "A::B#foo", "foo", "symbol_split"), (10, 11, "A::B#foo", None, "symbol_split"), (12, 12, "A::B#bar", "bar", "symbol"),
-        (13, 13, "A::B", "A::B", "symbol"), (14, 14, "A", "A", "symbol"),
-    ]
-    assert [r.scope_path for r in rows] == ["A::B", "A::B", "A::B", "A", None]
-
-
-def test_python_decorated_members_stay_with_the_class(spark):
-    got, _ = chunks(spark, "a.py", PY, chunk_lines=4)
-    assert got == [(1, 6, "f", "f", "symbol"), (7, 9, "A", "A", "symbol"), (10, 11, "top", "top", "symbol")]
-
-
-def test_broken_source_falls_back_to_line_patterns(spark):
+def test_symbols_follow_line_patterns(spark):
     got, _ = chunks(spark, "a.py", "x = (\ndef f():\n  pass\n")
     assert got == [(1, 1, None, None, "preamble"), (2, 4, "f", "f", "symbol")]
 
@@ -125,16 +99,6 @@ def test_json_keys_of_pretty_documents(document):
     assert [k for k in found if k in plain] == plain
 
 
-def test_spans_nest_and_stay_inside_the_file():
-    for text, grammar in ((TS, "ts"), (RB, "rb"), (PY, "py")):
-        spans = scan_declarations(text, grammar)
-        for span in spans:
-            assert 1 <= span["start_line"] <= span["end_line"] <= text.count("\n") + 1
-            if span["parent"] >= 0:
-                up = spans[span["parent"]]
-                assert up["start_line"] <= span["start_line"] and span["end_line"] <= up["end_line"]
-
-
 def test_covered_chunks_hold_every_line_with_text(spark):
     for path, text in (("a.ts", TS), ("a.rb", RB), ("a.py", PY), ("a.go", "package a\n\nvar x = 1\nfunc f() {\n}\n// end\n")):
         got, _ = chunks(spark, path, text, chunk_lines=4)
@@ -147,3 +111,9 @@ def test_storage_text_round_trip(spark):
     stored = storage_text(F.col("path"), F.col("body"))
     rows = frame.select("body", stored.alias("s"), body_of_storage_text(stored).alias("b")).collect()
     assert rows[0].s.startswith("a/b-c.rb b-c.rb b c.rb a b-c.rb\n") and all(r.b == r.body for r in rows)
+
+
+def test_embedded_text_is_whole(spark):
+    body = "word " * 5_000
+    got = chunk_files(spark.createDataFrame([("a.md", body)], "path string, text string"), EngineConfig()).select(embedding_text().alias("t")).first().t
+    assert got == "[path=a.md][lang=md]\n" + body

@@ -4,9 +4,9 @@ from seekspark.config import ConfigError, EngineConfig, check_request, parse_lis
 
 
 def test_defaults_and_clamps():
-    cfg = EngineConfig(rrf_k=999, embed_batch_size=0, cross_encoder_top_k=0, chunk_overlap=0, rerank_candidates=0, parser_max_chars=5)
+    cfg = EngineConfig(rrf_k=999, embed_batch_size=0, cross_encoder_top_k=0, chunk_overlap=0, rerank_candidates=0)
     assert (cfg.rrf_k, cfg.embed_batch_size, cfg.cross_encoder_top_k, cfg.chunk_overlap) == (200, 1, 1, 12)
-    assert (cfg.rerank_candidates, cfg.hybrid_depth, cfg.parser_max_chars) == (100, 100, 2_097_152)
+    assert (cfg.rerank_candidates, cfg.hybrid_depth) == (100, 100)
     assert cfg.fallback_window == (36, 9)
 
 
@@ -34,3 +34,11 @@ def test_request_checks():
     for query, limit in (("", 1), ("x", 0), ("x", 51), ("x", True)):
         with pytest.raises(ConfigError):
             check_request(query, limit)
+
+
+def test_places_and_engines():
+    cfg = EngineConfig(watch_root="/data/repo", index_dir="s3a://bucket/index/")
+    assert (cfg.watch_root, cfg.index_dir) == ("/data/repo", "s3a://bucket/index")
+    assert EngineConfig(watch_root="hdfs://host/repo").index_dir == "hdfs://host/repo/.seekspark"
+    with pytest.raises(ConfigError):
+        EngineConfig(definition_engine="tree_sitter")

@@ -4,9 +4,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from seekspark.config import EngineConfig
+from seekspark.config import ConfigError, EngineConfig
 from seekspark.operators.changes import last_event_per_path
 from seekspark.plans.index import CodeIndex
+from seekspark.sources.files import not_below
 from seekspark.streaming.watch import change_events, diff_events, start_watching
 
 FILES = {
@@ -38,7 +39,8 @@ def contents(index):
 
 def test_scan_search_and_reconcile(index):
     assert index.search("user").collect() == []
-    assert index.full_scan() == {"indexed": 6, "hash_skipped": 0, "failed": 0, "removed": 0}
+    none = {"hash_skipped": 0, "failed": 0, "stat_skipped": 0, "too_large": 0, "unlisted": 0, "removed": 0}
+    assert index.full_scan() == {**none, "indexed": 6}
     before = contents(index)
     assert {p for p, _ in before} == {"src/user_service.py", "docs/guide.md", "lib/a.rb", ".claude/docs/w.md", "_p/__init__.py", "bad.txt"}
     assert ("bad.txt", "caf�") in before
@@ -52,10 +54,11 @@ def test_scan_search_and_reconcile(index):
     put(root, "lib/a.rb", "class Foo2\nend\n")
     os.utime(os.path.join(root, "bad.txt"), (1, 1))
     os.remove(os.path.join(root, "docs/guide.md"))
-    assert index.reconcile() == {"indexed": 1, "hash_skipped": 1, "failed": 0, "removed": 1}
+    put(root, "big.txt", "x" * (index.cfg.max_file_bytes + 1))
+    assert index.reconcile() == {**none, "indexed": 1, "hash_skipped": 1, "stat_skipped": 3, "too_large": 1, "removed": 1}
     assert index.reconcile()["indexed"] == 0
     after = contents(index)
-    assert ("lib/a.rb", "class Foo2\nend") in after and not any(p == "docs/guide.md" for p, _ in after)
+    assert ("lib/a.rb", "class Foo2\nend\n") in after and not any(p == "docs/guide.md" for p, _ in after)
     row = index.stats().first()
     assert (row.indexed_file_count, row.chunk_count) == (5, len(after))
     posted = index.table("postings").agg(F.sum("tf")).first()[0]
@@ -65,6 +68,30 @@ def test_scan_search_and_reconcile(index):
     assert contents(changed) == []
 
 
+def test_what_cannot_be_listed_is_not_removed(index, monkeypatch):
+    index.full_scan()
+    before, root = contents(index), index.cfg.watch_root
+    os.rename(root, root + ".away")
+    with pytest.raises(Exception, match="root cannot be listed"):
+        index.reconcile()
+    os.rename(root + ".away", root)
+    assert contents(index) == before
+    # A directory that is listed but fails: replaced in between by what scandir cannot read.
+    rows = index.spark.createDataFrame([("lib/a.rb",), ("lib2/b.rb",), ("x",)], "path string")
+    failed = index.spark.createDataFrame([("lib", "denied"), ("x", "denied")], "path string, error string")
+    assert [r.path for r in not_below(rows, failed).collect()] == ["lib2/b.rb"]
+
+
+def test_paths_outside_the_root_are_rejected(index):
+    put(os.path.dirname(index.cfg.watch_root), "outside.md", "secret")
+    for path in ("../outside.md", "src/../../outside.md", os.path.join(os.path.dirname(index.cfg.watch_root), "outside.md")):
+        with pytest.raises(ConfigError):
+            index.reindex(path)
+    events = index.spark.createDataFrame([(1, "../outside.md", "add"), (2, "src/../../outside.md", "change"), (3, "/outside.md", "add")], "seq bigint, path string, event string")
+    assert index.apply_changes(events)["indexed"] == 0 and contents(index) == []
+    assert index.reindex("src/./user_service.py")["indexed"] == 1
+
+
 @pytest.mark.parametrize("cuts", [[3], [1, 2]])
 def test_stream_in_any_batches_gives_the_same_table(index, tmp_path, cuts):
     root, folder = index.cfg.watch_root, tmp_path / "events"
@@ -81,7 +108,7 @@ def test_stream_in_any_batches_gives_the_same_table(index, tmp_path, cuts):
     stream = change_events(index.spark, str(folder), index.cfg, max_files=1)
     start_watching(index, stream, str(tmp_path / "cp"), available_now=True).awaitTermination()
     assert {p: b for p, b in contents(index)} == {
-        "n.txt": "new file", "lib/a.rb": "class Other\nend", "src/user_service.py": FILES["src/user_service.py"].rstrip("\n"),
+        "n.txt": "new file", "lib/a.rb": "class Other\nend\n", "src/user_service.py": "class UserService:",
         ".claude/docs/w.md": "working user notes", "_p/__init__.py": "x = 1\n",
     }
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seekspark.config import EngineConfig
+from seekspark.config import ConfigError, EngineConfig
 from seekspark.operators import embedding, fulltext, nearest
 from seekspark.operators.fusion import leg_depth, reciprocal_rank
 from seekspark.operators.rerank import cross_encode, last_logits
@@ -38,6 +38,23 @@ def test_nearest_is_exact_in_one_block_and_in_many(vectors, block, monkeypatch):
     assert got == best
 
 
+def test_nearest_far_from_the_origin(spark):
+    rng = np.random.default_rng(5)
+    data = 1e5 + rng.normal(size=(3000, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "chunk_id bigint, vector array<double>").repartition(2)
+    queries = spark.createDataFrame([(0, data[0].tolist())], "query_id bigint, vector array<double>")
+    d = ((data - data[0]) ** 2).sum(axis=1)
+    assert [r.chunk_id for r in nearest.nearest(queries, frame, 10).orderBy("ord").collect()] == np.lexsort((np.arange(3000), d))[:10].tolist()
+
+
+def test_vectors_of_unequal_length_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0])], "chunk_id bigint, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(0, [1.0, 2.0])], "query_id bigint, vector array<double>")
+    for held in (frame, frame.filter("chunk_id = 0")):
+        with pytest.raises(Exception, match="length"):
+            nearest.nearest(queries, held, 1).collect()
+
+
 def bm25_by_hand(docs, query, k1=1.2, b=0.75):
     terms = {d: re.findall("[a-z0-9_]+", t.lower()) for d, t in docs.items()}
     mean = sum(map(len, terms.values())) / len(terms)
@@ -72,7 +89,7 @@ def test_fusion_is_symmetric(spark):
     rows = lambda f: {r.chunk_id: r.score for r in f.select("chunk_id", "score").collect()}
     assert rows(reciprocal_rank(one, two)) == rows(reciprocal_rank(two, one))
     assert rows(reciprocal_rank(one, two))["b"] == pytest.approx(1 / 61 + 1 / 62)
-    assert (leg_depth(100, 10, False), leg_depth(100, 10, True), leg_depth(500, 10, True)) == (100, 400, 800)
+    assert (leg_depth(100, 10, False), leg_depth(100, 10, True), leg_depth(500, 10, True)) == (100, 400, 2000)
     assert (nearest.over_fetch(10, False, True), nearest.over_fetch(10, True, False), nearest.over_fetch(10, False, False)) == (200, 80, 10)
 
 
@@ -112,12 +129,14 @@ def test_cross_encoder_orders_by_logit_and_falls_back(spark):
     assert last_logits(np.array([[1, 2], [3, 4]])).tolist() == [2, 4]
 
 
-def test_embedding_answers():
-    assert embedding.parse_embeddings([[1, 2]], 1, 2).tolist() == [[1.0, 2.0]]
-    assert embedding.parse_embeddings({"data": [{"embedding": [1, 2]}]}, 1, 2).shape == (1, 2)
-    for bad, count in (({"data": []}, 0), ([[1, 2]], 2), ([[1]], 1), ("x", 1)):
-        with pytest.raises(ValueError):
-            embedding.parse_embeddings(bad, count, 2)
+def test_embedding_helpers(spark):
+    assert embedding.rows_of_tensor(np.arange(6), 3).shape == (2, 3)
+    with pytest.raises(ValueError):
+        embedding.rows_of_tensor(np.arange(5), 3)
+    with pytest.raises(ConfigError):
+        embedding.embed_column(F.col("t"), EngineConfig(embedding_model="other"))
+    made = embedding.embed_column(F.col("t"), EngineConfig(embedding_model="other", embedding_dim=2), lambda: lambda texts: np.array([[len(t), 1] for t in texts]))
+    assert spark.createDataFrame([("abc",)], "t string").select(made.alias("v")).first().v == [3.0, 1.0]
     pooled = embedding.mean_pool(np.array([[[3.0, 0.0], [9.0, 9.0]]]), np.array([[1, 0]]))
     assert pooled.tolist() == [[1.0, 0.0]]
     assert np.linalg.norm(embedding.hashing_embedder(16)(["a b c", ""]), axis=1).round(6).tolist() == [1.0, 0.0]
