@@ -1,8 +1,10 @@
 """BM25 over a postings table.
 
-Postings are one row per (chunk, term). A term every chunk holds is a large group, so nothing here
-ever gathers the rows of one term: counts are partially aggregated, and the join that fans query
-terms out over their postings is a broadcast of the query side, or salted when that side is large.
+Postings are one row per (chunk, term), made inside the chunk's row without a shuffle. A term every chunk holds is a large
+group, so nothing here ever gathers the rows of one term: counts are partially aggregated, and the join that fans query
+terms out over their postings is a broadcast of the query side, or salted when that side is large. The postings of the
+query terms are dealt out by chunk before the join, so the scores of a (query, chunk) pair meet where they arise and
+only the best of each task go further.
 """
 
 from __future__ import annotations
@@ -17,10 +19,20 @@ SALTS = 32
 
 
 def postings(chunks: DataFrame, text: Column, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
-    """(keys, term, tf, dl) of every chunk; dl counts all terms of the chunk."""
-    terms = chunks.select(*keys, index_terms(text).alias("_terms"))
-    rows = terms.select(*keys, F.size("_terms").cast("bigint").alias("dl"), F.explode("_terms").alias("term"))
-    return rows.groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
+    """(keys, term, tf, dl) of every chunk; dl counts all terms of the chunk.
+
+    The terms of a row are sorted; a run of equal ones is a posting. Each step is held by a generator, which keeps the
+    optimizer from copying it into the lambdas of the next.
+    """
+    held = lambda frame, name, column: frame.select("*", F.explode(F.array(column)).alias(name))
+    rows = held(chunks.select(*keys, text.alias("_text")), "_terms", F.sort_array(index_terms(F.col("_text")))).drop("_text")
+    t = F.col("_terms")
+    first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    rows = held(rows, "_first", F.when(F.size(t) > 0, first))
+    runs = F.transform("_first", lambda i, n: F.struct(
+        F.get(t, i).alias("term"), (F.coalesce(F.get(F.col("_first"), n + 1), F.size(t)) - i).cast("bigint").alias("tf")))
+    rows = rows.select(*keys, F.size(t).cast("bigint").alias("dl"), F.explode_outer(runs).alias("_run")).filter("_run IS NOT NULL")
+    return rows.select(*keys, "_run.term", "dl", "_run.tf")
 
 
 def corpus_stats(chunks: DataFrame, posted: DataFrame) -> DataFrame:
@@ -54,25 +66,27 @@ def has_few_terms(queries: DataFrame) -> bool:
 
 def bm25(
     queries: DataFrame, posted: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75,
-    allowed: Column | None = None, few_terms: bool | None = None,
+    allowed: Column | None = None, few_terms: bool | None = None, frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk sharing a term with the query.
 
-    ``stats`` is one row. ``allowed`` restricts the results, the statistics stay those of the corpus.
+    ``stats`` is one row. ``allowed`` restricts the results, the statistics stay those of the corpus. ``frequencies`` is a
+    stored (term, df) table; without one the postings are counted.
     """
     few_terms = has_few_terms(queries) if few_terms is None else few_terms
     wanted = query_terms(queries)
-    if few_terms:
-        counted = posted.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-    else:
-        counted = posted
+    terms = wanted.select("term").distinct()
+    if frequencies is None:
+        frequencies = term_frequencies(posted.join(F.broadcast(terms), "term", "left_semi") if few_terms else posted)
     n_docs, avg_dl = (stats.select(c).scalar() for c in ("n_docs", "avg_dl"))
-    weighted = wanted.join(term_frequencies(counted), "term").select(
+    weighted = wanted.join(frequencies, "term").select(
         "query_id", "term", (F.col("qtf") * inverse_frequency(F.col("df"), n_docs)).alias("weight")
     )
     pool = (posted if allowed is None else posted.filter(allowed)).select("chunk_id", "term", "tf", "dl")
     if few_terms:
-        matched = pool.join(F.broadcast(weighted), "term")
+        # One exchange, of the postings of the query terms; the aggregation below needs none.
+        dealt = pool.join(F.broadcast(terms), "term", "left_semi").repartition("chunk_id")
+        matched = dealt.join(F.broadcast(weighted), "term")
     else:
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")
         spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

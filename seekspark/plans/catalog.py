@@ -383,7 +383,8 @@ def document_tables(spark, sf) -> SearchTables:
     )
     keyed = corpus.select(chunk_id(F.col("path"), F.lit(0)).alias("chunk_id"), "path", "text")
     posted = written(fulltext.postings(keyed, F.col("text"), ("chunk_id", "path")), "postings")
-    return SearchTables(chunks, posted, fulltext.corpus_stats(keyed, posted))
+    frequencies = written(fulltext.term_frequencies(posted), "term-df")
+    return SearchTables(chunks, posted, fulltext.corpus_stats(keyed, posted), frequencies=frequencies)
 
 
 @register
@@ -405,7 +406,7 @@ def postings_stats(spark, sf):
 def bm25_hits(spark, sf, k: int, queries: DataFrame | None = None, tables: SearchTables | None = None) -> DataFrame:
     tables = tables or document_tables(spark, sf)
     asked = benchmark_queries(spark, sf) if queries is None else queries
-    scored = fulltext.bm25(asked, tables.postings, tables.stats)
+    scored = fulltext.bm25(asked, tables.postings, tables.stats, frequencies=tables.frequencies)
     return best_per_query(scored, k, F.col("score").desc(), F.col("chunk_id"))
 
 
@@ -649,7 +650,8 @@ def chunk_tables(corpus: DataFrame, cfg: EngineConfig) -> SearchTables:
     columns = ("chunk_id", "path", "start_line", "end_line", "header", "body", "vector", "definition_of")
     chunks = written(chunks.select(*columns), "chunks")
     posted = written(fulltext.postings(chunks, F.concat_ws(" ", "header", "body"), ("chunk_id", "path")), "postings")
-    return SearchTables(chunks, posted, fulltext.corpus_stats(chunks, posted))
+    frequencies = written(fulltext.term_frequencies(posted), "term-df")
+    return SearchTables(chunks, posted, fulltext.corpus_stats(chunks, posted), frequencies=frequencies)
 
 
 @register

@@ -87,6 +87,7 @@ class SearchTables:
     postings: DataFrame | None
     stats: DataFrame | None
     path_buckets: int | None = None
+    frequencies: DataFrame | None = None
 
 
 def retrieve(queries: DataFrame, tables: SearchTables, scope: PathScope, limit: int, cfg: EngineConfig) -> DataFrame:
@@ -105,7 +106,7 @@ def retrieve(queries: DataFrame, tables: SearchTables, scope: PathScope, limit:
     if not hybrid:
         return alone.filter(F.col("ord") <= limit).withColumn("retrieval_mode", F.lit("vector"))
     is_blank = trim(F.col("query")) == ""
-    scored = bm25(queries.filter(~is_blank), tables.postings, tables.stats, cfg.bm25_k1, cfg.bm25_b, allowed)
+    scored = bm25(queries.filter(~is_blank), tables.postings, tables.stats, cfg.bm25_k1, cfg.bm25_b, allowed, frequencies=tables.frequencies)
     by_text = best_per_query(scored, depth, F.col("score").desc(), F.col("chunk_id"))
     # A blank query has no text leg: its hits keep the score of the vector leg.
     by_vector = by_vector.join(queries.select("query_id", is_blank.alias("_blank")), "query_id")
