@@ -10,10 +10,12 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Words whose ids are remembered, per Python worker and generation. It bounds memory and changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
-#: How the tokenizer's own pattern divides lower-cased ASCII.
-ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\x20\t-\ra-z0-9]+")
+#: How the tokenizer's own pattern divides lower-cased text of the first 256 code points: letters, single numbers, marks.
+PARTS = re.compile(
+    r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)"
+    r"|[^\x20\t-\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 #: Closing marks that follow a letter are a part of their own.
 TAIL = ".,;:!?)]}|&$#*%\""
 
@@ -28,21 +30,32 @@ def tokenizer_text(path: str | None = None) -> str:
         return file.read()
 
 
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def words_of(text: str) -> list[str]:
     """Parts of a text whose ids, in a row, are the text's ids.
 
-    The tokenizer drops white space, lower-cases and splits into letters, single digits and other marks. Spaces, tabs and
-    line ends never lie inside a part, nor do normal forms reach over them. ASCII can be divided fully; other texts are
-    divided at white space and before closing marks behind a letter. Special tokens stand in words of their own kind.
+    The tokenizer drops white space, lower-cases and splits into letters, single numbers and other marks. Text of the first
+    256 code points has no other normal form, keeps within them in lower case and can be divided fully. Other texts are
+    divided at spaces, tabs and line ends, over which neither parts nor normal forms reach, and before closing marks behind
+    a letter. Special tokens stand in words of their own kind.
     """
-    if text.isascii() and "<|" not in text:
-        return ASCII_PARTS.findall(text.lower())
+    if "<|" not in text and _is_latin(text):
+        return PARTS.findall(text.lower())
     out = []
     for word in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
         if "<|" in word:
             out.append(word)
         elif word.isascii():
-            out += ASCII_PARTS.findall(word.lower())
+            out += PARTS.findall(word.lower())
         else:
             core = word.rstrip(TAIL)
             if len(core) < len(word) and core[-1].lower().isalpha():

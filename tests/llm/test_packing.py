@@ -29,6 +29,13 @@ def test_ids_equal_the_library(maker):
         assert np.frombuffer(maker.ids([text])[0], maker.type).tolist() == library(maker, text), repr(text)
 
 
+def test_ids_of_latin_texts_equal_the_library(maker):
+    rng = random.Random(12)
+    for _ in range(4000):
+        text = "".join(chr(rng.randint(0, 255)) if rng.random() < 0.6 else rng.choice("abcST'  .") for _ in range(rng.randint(0, 25)))
+        assert np.frombuffer(maker.ids([text])[0], maker.type).tolist() == library(maker, text), repr(text)
+
+
 def test_forgetting_changes_nothing(maker, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 10)
     texts = [f"word{i} and some{i % 7} more words" for i in range(50)]
