@@ -39,14 +39,18 @@ def query_features(queries: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 
 def hit_features(hits: DataFrame, features: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Hits (query_id, path, text, score, definition_of, ...) with the features of the formula."""
+    """Hits (query_id, path, text, score, definition_of, ...) with the features of the formula.
+
+    A column ``terms`` with the index terms of the text spares dividing the text for each of its queries.
+    """
+    known = F.col("terms") if "terms" in hits.columns else None
     low = hits.join(features, "query_id").withColumns({
         "_text": F.lower("text"), "_path": F.lower("path"),
     })
     body, path, tokens, patterns = (F.col(c) for c in ("_text", "_path", "tokens", "patterns"))
     return low.withColumns({
         "lexical": text.share_contained(tokens, body),
-        "exact": text.share_whole_words(tokens, patterns, body),
+        "exact": text.share_whole_words(tokens, patterns, body, known),
         "exact_path": text.share_whole_words(tokens, patterns, path),
         "path_hint": text.share_contained(tokens, path),
         "symbol": text.share_contained_in_either(F.col("symbols"), body, path),
@@ -71,7 +75,8 @@ def with_rerank_score(featured: DataFrame) -> DataFrame:
 
 def rerank(hits: DataFrame, features: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Hits in their new order; the retrieval order breaks ties."""
-    scored = with_rerank_score(hit_features(hits, features, cfg)).select(*hits.columns, "rerank_score")
+    kept = [c for c in hits.columns if c != "terms"]
+    scored = with_rerank_score(hit_features(hits, features, cfg)).select(*kept, "rerank_score")
     return renumber(scored, F.col("rerank_score").desc(), F.col("ord"))
 
 

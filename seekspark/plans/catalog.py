@@ -542,7 +542,8 @@ def classifier_prior(spark, sf):
 
 def _text_candidates(spark, sf, queries: DataFrame) -> DataFrame:
     tables = document_tables(spark, sf)
-    return with_chunk_columns(bm25_hits(spark, sf, 100, queries, tables), tables, is_small_batch(queries))
+    found = written(bm25_hits(spark, sf, 100, queries, tables), "hits")
+    return with_chunk_columns(found, tables, is_small_batch(queries))
 
 
 @register
@@ -555,7 +556,7 @@ def lexical_features(spark, sf):
 
 def _candidates(spark, sf, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
     tables = document_tables(spark, sf)
-    found = retrieve(queries, tables, path_scope(SearchRequest("x"), cfg), cfg.rerank_candidates, cfg)
+    found = written(retrieve(queries, tables, path_scope(SearchRequest("x"), cfg), cfg.rerank_candidates, cfg), "hits")
     return with_chunk_columns(found, tables, is_small_batch(queries))
 
 

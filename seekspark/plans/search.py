@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from seekspark.config import MAX_SNIPPET_CHARS, ConfigError, EngineConfig, check_request, resolve_classifier
 from seekspark.functions import confidence, paths
 from seekspark.functions.globs import all_of
-from seekspark.functions.text import trim
+from seekspark.functions.text import index_terms, trim
 from seekspark.operators.embedding import embed_column
 from seekspark.operators.fulltext import bm25
 from seekspark.operators.fusion import leg_depth, reciprocal_rank
@@ -25,6 +25,7 @@ from seekspark.operators.rerank import (
     PairScorer, cross_encode, query_features, rerank, sort_by_definition, sort_by_focus,
 )
 from seekspark.operators.topk import best_per_query
+from seekspark.session import written
 
 SMALL_BATCH = 2_000
 HIT_COLUMNS = [
@@ -138,10 +139,10 @@ def is_small_batch(queries: DataFrame) -> bool:
 
 
 def with_chunk_columns(found: DataFrame, tables: SearchTables, small: bool) -> DataFrame:
-    """Looks the hits up in the chunk table, reading only the buckets they lie in.
+    """Looks the hits up in the chunk table, reading only the buckets they lie in; adds the index terms of the texts.
 
-    The hits of a small batch are broadcast: at most SMALL_BATCH x 100 short rows, and the chunk table
-    is not shuffled for them.
+    ``found`` is read twice and should be a table. The hits of a small batch are broadcast: at most SMALL_BATCH x 100
+    short rows, and the chunk table is not shuffled for them. Terms are made once per chunk, not per hit.
     """
     columns = ["chunk_id", "path", "start_line", "end_line", F.col("body").alias("text"), "definition_of"]
     keys = ["chunk_id"]
@@ -149,7 +150,10 @@ def with_chunk_columns(found: DataFrame, tables: SearchTables, small: bool) -> D
         columns.append("path_bucket")
         keys = ["path_bucket", "chunk_id"]
         found = found.withColumn("path_bucket", bucket_of(path_of_chunk(F.col("chunk_id")), tables.path_buckets))
-    details = tables.chunks.select(*columns)
+    wanted = found.select(*keys).distinct()
+    details = tables.chunks.select(*columns).join(F.broadcast(wanted) if small else wanted, keys, "left_semi")
+    # The generator holds the terms; as a plain column they would be made anew above the join, for every hit.
+    details = details.select("*", F.explode(F.array(F.array_distinct(index_terms(F.col("text"))))).alias("terms"))
     joined = details.join(F.broadcast(found) if small else found, keys)
     definition = F.nullif(trim(F.col("definition_of")), F.lit(""))
     return joined.withColumn("definition_of", definition).drop("path_bucket")
@@ -168,7 +172,8 @@ def search_plan(
     ``request`` gives the limit and the path filters of the whole batch.
     """
     candidates = max(request.limit, cfg.rerank_candidates)
-    found = retrieve(queries, tables, path_scope(request, cfg), candidates, cfg)
+    # Hits and assessment both start here; the hits are retrieved once.
+    found = written(retrieve(queries, tables, path_scope(request, cfg), candidates, cfg), "hits")
     # Wide candidate lists of many queries are joined by shuffle instead.
     small = is_small_batch(queries) if small is None else small
     hits = with_chunk_columns(found, tables, small and candidates <= 200)
