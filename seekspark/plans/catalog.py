@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -24,8 +25,9 @@ from seekspark.operators.rerank import (
 )
 from seekspark.operators.symbols import json_keys, last_per_line, merge_spans, rank_spans, regex_spans, yaml_keys
 from seekspark.operators.topk import best_per_query
+from seekspark.plans.index import CodeIndex
 from seekspark.plans.search import SearchRequest, SearchTables, is_small_batch, path_scope, retrieve, search_plan, with_chunk_columns
-from seekspark.session import written
+from seekspark.session import shared_folder, written
 from seekspark.sources.corpus import files, page_files, source_files, table, varied_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -680,5 +682,60 @@ def search_chunks(spark, sf):
     return _end_to_end(spark, sf, files(spark, sf), CFG.with_(code_aware_chunking=False))
 
 
+# ---- the index itself -----------------------------------------------------------------------------------
+def _index(spark) -> CodeIndex:
+    """An empty index in the shared folder."""
+    place = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    return CodeIndex(spark, CFG.with_(index_dir=place, path_buckets=4)).open()
+
+
+def _indexed(index: CodeIndex) -> DataFrame:
+    return index.table("chunks").select("path", "start_line", "end_line", "body", F.nullif("definition_of", F.lit("")).alias("definition_of"))
+
+
+@register
+def index_build(spark, sf):
+    index = _index(spark)
+    index.index_table(source_files(spark, sf).select("path", "text"))
+    return _indexed(index)
+
+
+@register
+def index_upsert(spark, sf):
+    """Built from older texts of some files, then brought up to date; unchanged files are left alone."""
+    index, now = _index(spark), source_files(spark, sf)
+    older = now.filter("doc_id % 7 <> 1").select("path", F.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("old\n"), "text")).otherwise(F.col("text")).alias("text"))
+    index.index_table(older)
+    index.index_table(now.select("path", "text"))
+    return _indexed(index)
+
+
+@register
+def index_remove(spark, sf):
+    """Some paths are removed by name, others because a later table lacks them."""
+    index, now = _index(spark), source_files(spark, sf)
+    index.index_table(now.select("path", "text"))
+    index.remove_table(now.filter("doc_id % 3 = 0").select("path"))
+    index.index_table(now.filter("doc_id % 3 = 1").select("path", "text"), remove_missing=True)
+    return _indexed(index)
+
+
+@register
+def index_wipe(spark, sf):
+    """Another model empties the index when it is opened."""
+    index = _index(spark)
+    index.index_table(source_files(spark, sf).select("path", "text"))
+    CodeIndex(spark, index.cfg.with_(embedding_dim=32)).open()
+    return index.table("chunks").agg(F.count("*").alias("n_chunks")).withColumn("dim", F.lit(index.read_meta()["embedding_dim"]))
+
+
+@register
+def index_stats(spark, sf):
+    index = _index(spark)
+    index.index_table(source_files(spark, sf).select("path", "text"))
+    terms = index.table("term_df").groupBy("term").agg(F.sum("df").alias("df")).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return index.stats().select("indexed_file_count", "chunk_count", *[terms.select(c).scalar().alias(c) for c in terms.columns])
+
+
 def everything() -> dict[str, Query]:
     return dict(CATALOG)

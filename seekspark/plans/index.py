@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from seekspark import schemas
 from seekspark.config import ConfigError, EngineConfig
+from seekspark.functions.globs import root_ignore_patterns
 from seekspark.operators import changes, fulltext
 from seekspark.operators.chunking import chunk_files, chunk_id, embedding_text, storage_header
 from seekspark.operators.embedding import embed_column
@@ -33,7 +34,8 @@ from seekspark.session import shared_folder
 
 log = logging.getLogger(__name__)
 BUCKET_STATS = schemas.struct("path_bucket:int n_chunks:bigint n_terms:bigint path:string")
-STAGED = {"chunks": schemas.CHUNKS, "postings": schemas.POSTINGS, "file_manifest": schemas.MANIFEST, "bucket_stats": BUCKET_STATS}
+TERM_DF = schemas.struct("term:string df:bigint path:string path_bucket:int")
+STAGED = {"chunks": schemas.CHUNKS, "term_df": TERM_DF, "postings": schemas.POSTINGS, "file_manifest": schemas.MANIFEST, "bucket_stats": BUCKET_STATS}
 
 
 class CodeIndex:
@@ -127,8 +129,11 @@ class CodeIndex:
         })
         return self._bucket(rows).select(*schemas.CHUNKS.names)
 
-    def _index(self, listed: DataFrame, removed: DataFrame) -> dict[str, int]:
-        """Brings the tables up to the listed files (path, size, mtime_ms) and drops the removed paths."""
+    def _index(self, listed: DataFrame, removed: DataFrame, read: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
+        """Brings the tables up to the listed files (path, size, mtime_ms) and drops the removed paths.
+
+        read: adds text and error to the files that need it; by default they are opened below the root.
+        """
         staging = f"{shared_folder(self.spark)}/staging-{uuid.uuid4().hex}"
         known = changes.with_known_state(listed, self.table("file_manifest"))
         too_large = F.col("size") > self.cfg.max_file_bytes
@@ -137,9 +142,10 @@ class CodeIndex:
             F.count_if(changes.stat_unchanged() & ~too_large).alias("stat_skipped"), F.count_if(too_large).alias("too_large")
         ).first().asDict()
         pending = known.filter(~changes.stat_unchanged() & ~too_large)
-        read = read_texts(pending, self.cfg).withColumn("sha256", changes.content_hash(F.col("text")))
+        texts = read(pending) if read else read_texts(pending, self.cfg)
+        read_once = texts.withColumn("sha256", changes.content_hash(F.col("text")))
         # Staged once: reading files again for every table could see other contents.
-        self._bucket(read).write.parquet(f"{staging}/files")
+        self._bucket(read_once).write.parquet(f"{staging}/files")
         staged = self.spark.read.parquet(f"{staging}/files")
         good = staged.filter("error IS NULL")
         changed = good.filter(~changes.hash_unchanged())
@@ -178,11 +184,40 @@ class CodeIndex:
         posted = fulltext.postings(fresh, searchable, ("chunk_id", "path", "path_bucket"))
         kept = changes.upsert(self.table("postings", buckets), posted, touched)
         self._overwrite(kept, "postings", buckets, "term")
+        counted = self.table("postings", buckets).groupBy("path_bucket", "term").agg(F.count("*").alias("df"))
+        self._overwrite(counted.withColumn("path", F.lit("*")), "term_df", buckets, "term")
         # The lengths come from the chunk table, which also counts chunks without any term.
         now = self.table("chunks", buckets).select("path_bucket", F.size(fulltext.index_terms(searchable)).cast("bigint").alias("dl"))
         sums = now.groupBy("path_bucket").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_terms"))
         self._overwrite(sums.withColumn("path", F.lit("*")), "bucket_stats", buckets)
 
+    # ---- tables as input ---------------------------------------------------------------------------
+    def index_table(self, texts: DataFrame, remove_missing: bool = False) -> dict[str, int]:
+        """Indexes (path, text [, mtime_ms]) rows of any source instead of files below the root.
+
+        Paths are repo-relative and unique. The path rules of a file scan hold, without an ignore file. Without mtime_ms a
+        text counts as changed unless its hash is known. With ``remove_missing``, indexed paths that the table lacks go.
+        """
+        mtime = F.col("mtime_ms").cast("double") if "mtime_ms" in texts.columns else F.lit(None).cast("double")
+        rows = texts.select("path", F.coalesce("text", F.lit("")).alias("text"), mtime.alias("mtime_ms")).filter(
+            accepted(self.cfg, patterns=root_ignore_patterns(None)))
+        listed = rows.select("path", F.octet_length("text").cast("bigint").alias("size"), "mtime_ms")
+        gone = self.spark.createDataFrame([], "path string")
+        if remove_missing:
+            gone = changes.removed_paths(self.table("file_manifest"), listed)
+
+        def read(pending: DataFrame) -> DataFrame:
+            return pending.join(rows.select("path", "text"), "path").withColumn("error", F.lit(None).cast("string"))
+
+        result = self._index(listed, gone, read)
+        self._write_meta(scanned=True)
+        return result
+
+    def remove_table(self, named: DataFrame) -> dict[str, int]:
+        """Drops the paths of (path) from the index."""
+        nothing = self.spark.createDataFrame([], "path string, size bigint, mtime_ms double")
+        return self._index(nothing, named.select("path"))
+
     # ---- scans, reconcile, events ------------------------------------------------------------------
     def full_scan(self) -> dict[str, int]:
         """Indexes new and changed files; nothing is removed."""
@@ -245,7 +280,8 @@ class CodeIndex:
             return None
         totals = self.table("bucket_stats").agg(F.sum("n_chunks").alias("n_docs"), F.sum("n_terms").alias("_terms"))
         stats = totals.select("n_docs", (F.col("_terms") / F.col("n_docs")).alias("avg_dl"))
-        return SearchTables(self.table("chunks"), self.table("postings"), stats, self.cfg.path_buckets)
+        frequencies = self.table("term_df").groupBy("term").agg(F.sum("df").alias("df"))
+        return SearchTables(self.table("chunks"), self.table("postings"), stats, self.cfg.path_buckets, frequencies)
 
     def search_batch(self, queries: DataFrame, request: SearchRequest | None = None) -> tuple[DataFrame, DataFrame]:
         """(query_id, query [, query_classifier]) -> (hits, assessment). The request filters the whole batch."""

@@ -472,3 +472,13 @@ add("search_e2e", searched(f"""{SYMBOL_PARTS}, numbered AS (SELECT path, (row_nu
     name, kind, def, array_to_string(ls[a:b], chr(10)) AS body FROM parts JOIN lined USING (path)),
   dl AS (SELECT path||'#'||ordinal AS chunk_id, path, start_line, end_line, body AS text, {_HEADER}||' '||body AS stored, '[path='||path||'][lang='||{FORM_LANGUAGE}||']'
     ||coalesce('[symbol='||name||']', '')||coalesce('[kind='||kind||']', '')||coalesce('[def='||def||']', '')||chr(10)||body AS embedded, def FROM numbered)"""))
+
+INDEXED = "SELECT path, a::INT AS start_line, b::INT AS end_line, array_to_string(ls[a:b], chr(10)) AS body, def AS definition_of FROM parts JOIN lined USING (path)"
+add("index_build", f"WITH {SYMBOL_PARTS} {INDEXED}")
+add("index_upsert", f"WITH {SYMBOL_PARTS} {INDEXED}")
+add("index_remove", f"WITH {SYMBOL_PARTS} {INDEXED} WHERE path IN (SELECT path FROM src WHERE doc_id % 3 = 1)")
+add("index_wipe", "SELECT 0::BIGINT AS n_chunks, 32 AS dim")
+add("index_stats", f"""WITH {SYMBOL_PARTS}, numbered AS (SELECT path, a, {_HEADER}||' '||array_to_string(ls[a:b], chr(10)) AS stored FROM parts JOIN lined USING (path)),
+  post AS (SELECT DISTINCT path, a, unnest({TERMS.format('stored')}) AS term FROM numbered)
+  SELECT (SELECT count(*) FROM src) AS indexed_file_count, (SELECT count(*) FROM numbered) AS chunk_count,
+   (SELECT count(DISTINCT term) FROM post) AS n_terms, (SELECT count(*) FROM post) AS n_postings""")
