@@ -26,7 +26,7 @@ from seekspark.operators.rerank import (
 from seekspark.operators.symbols import json_keys, last_per_line, merge_spans, rank_spans, regex_spans, yaml_keys
 from seekspark.operators.topk import best_per_query
 from seekspark.plans.index import CodeIndex
-from seekspark.plans.search import SearchRequest, SearchTables, is_small_batch, path_scope, retrieve, search_plan, with_chunk_columns
+from seekspark.plans.search import SearchRequest, SearchTables, is_small_batch, path_scope, retrieve, search_plan, snippet, with_chunk_columns
 from seekspark.session import shared_folder, written
 from seekspark.sources.corpus import files, page_files, source_files, table, varied_paths
 
@@ -104,6 +104,22 @@ def safety_filter(spark, sf):
     )
 
 
+@register
+def safety_parents(spark, sf):
+    """The form of the walk, which also tests every directory on the way."""
+    inner = F.concat("path", F.lit("/inner.txt"))
+    return all_paths(spark, sf).select("doc_id", inner.alias("path"), paths.is_safety_ignored(inner, check_parents=True).alias("unsafe"))
+
+
+@register
+def cover_ancestors(spark, sf):
+    """Every directory and file: inside a forced tree, or leading to one."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    distinct = all_paths(spark, sf).select(F.explode(above).alias("path")).distinct()
+    return distinct.select("path", paths.is_covered_by(F.col("path"), WORKING_DOCS).alias("covered"))
+
+
 @register
 def ignore_filter(spark, sf):
     verdict = globs.ignored(F.col("path"), globs.root_ignore_patterns("\n".join(IGNORE_LINES)))
@@ -194,6 +210,20 @@ def embed_texts(spark, sf):
     return out.select("path", "start_line", embedding_text().alias("embedded"))
 
 
+@register
+def snippets(spark, sf):
+    return files(spark, sf).select("doc_id", snippet(F.col("text")).alias("snippet"))
+
+
+@register
+def env_sections(spark, sf):
+    """First words of the lines as section names, every third one replaced by an environment's name."""
+    lines = files(spark, sf).select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line", "x"))
+    names = F.array(*[F.lit(x) for x in ("development", " TEST", "Production ", "staging")])
+    key = F.when(F.col("line") % 3 == 0, F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int"))).otherwise(F.regexp_extract("x", "([A-Za-z]+)", 1))
+    return lines.select("doc_id", "line", paths.env_section(key).alias("section"))
+
+
 @register
 def regex_symbols(spark, sf):
     both = files(spark, sf).select("path", "text").unionByName(source_files(spark, sf).select("path", "text"))
@@ -426,6 +456,14 @@ def rrf_fusion(spark, sf):
     return fuse(by_vector, by_text, 100).select("query_id", "ord", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@register
+def blank_queries(spark, sf):
+    """Every other query is blank: its hits come from the vectors alone, with their score."""
+    asked = benchmark_queries(spark, sf).withColumn("query", F.when(F.col("query_id") % 2 == 0, " \t").otherwise(F.col("query")))
+    found = retrieve(asked, document_tables(spark, sf), path_scope(SearchRequest("x", include_docs=True), CFG), 10, CFG)
+    return found.select("query_id", "ord", "chunk_id", "retrieval_mode", F.round("score", 6).alias("score"))
+
+
 @register
 def hybrid_filtered(spark, sf):
     request = SearchRequest("x", lang="ruby", glob="**/d*[02468]*.rb")
@@ -624,8 +662,7 @@ def match_confidence(spark, sf):
     )
 
 
-@register
-def match_confidence_words(spark, sf):
+def _word_confidence(spark, sf) -> DataFrame:
     """Identifier questions over scores spread across all levels; hits are the documents of each word."""
     w = F.col("word")
     asked = questions(spark, sf).select((F.xxhash64("word")).alias("query_id"), "word", "query")
@@ -634,13 +671,22 @@ def match_confidence_words(spark, sf):
     first = asked.select("query_id", F.lit(1).alias("ord"), F.concat(F.lit("a."), extension(1)).alias("path"), F.greatest(score(3), score(5)).alias("score"))
     second = asked.filter(F.length(w) % 7 != 0).select("query_id", F.lit(2).alias("ord"), F.concat(F.lit("b."), extension(3)).alias("path"), F.least(score(3), score(5)).alias("score"))
     hits = first.unionByName(second).filter(F.col("query_id").isNotNull())
-    out = confidence.assess(asked.select("query_id", "query"), hits, CFG).join(asked.select("query_id", "word"), "query_id")
-    return out.select(
+    return confidence.assess(asked.select("query_id", "query"), hits, CFG).join(asked.select("query_id", "word"), "query_id")
+
+
+@register
+def match_confidence_words(spark, sf):
+    return _word_confidence(spark, sf).select(
         "word", "match_confidence", F.array_join("match_confidence_reasons", ",").alias("reasons"),
         F.round("top_primary_score", 6).alias("t0"), F.round("top_relative_separation", 6).alias("separation"),
     )
 
 
+@register
+def confidence_hints(spark, sf):
+    return _word_confidence(spark, sf).select("word", "match_confidence", F.col("match_confidence_hint").alias("hint"))
+
+
 # ---- end to end ---------------------------------------------------------------------------------------
 def chunk_tables(corpus: DataFrame, cfg: EngineConfig) -> SearchTables:
     """Chunks, vectors and postings of (path, text), written as an index would write them."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from seekspark.functions.confidence import HINTS
 from seekspark.sources.corpus import FILE_PATHS, SOURCES, VARIED_PATHS
 
 ORACLE: dict[str, str] = {}
@@ -482,3 +483,19 @@ add("index_stats", f"""WITH {SYMBOL_PARTS}, numbered AS (SELECT path, a, {_HEADE
   post AS (SELECT DISTINCT path, a, unnest({TERMS.format('stored')}) AS term FROM numbered)
   SELECT (SELECT count(*) FROM src) AS indexed_file_count, (SELECT count(*) FROM numbered) AS chunk_count,
    (SELECT count(DISTINCT term) FROM post) AS n_terms, (SELECT count(*) FROM post) AS n_postings""")
+add("safety_parents", f"""WITH {PATHS} SELECT doc_id, path||'/inner.txt' AS path, list_contains(string_split(path,'/'),'.git') OR list_contains(string_split(path,'/'),'node_modules')
+   OR regexp_matches(lower(path), '\\.(pem|key|p12|pfx|env|env\\.local|env\\.production)(/|$)') AS unsafe FROM paths""")
+add("cover_ancestors", f"""WITH {PATHS}, above AS (SELECT DISTINCT array_to_string(parts[1:n], '/') AS path FROM (
+    SELECT parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT string_split(path, '/') AS parts FROM paths)))
+  SELECT path, path = '.claude/docs' OR starts_with(path, '.claude/docs/') OR starts_with('.claude/docs', path||'/') AS covered FROM above""")
+add("snippets", "SELECT doc_id, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000)||'…' ELSE text END AS snippet FROM documents")
+add("env_sections", f"""WITH l AS (SELECT doc_id, unnest({LINES}) AS x, generate_subscripts({LINES}, 1) - 1 AS line FROM documents),
+   k AS (SELECT doc_id, line, CASE WHEN line % 3 = 0 THEN ['development', ' TEST', 'Production ', 'staging'][doc_id % 4 + 1] ELSE regexp_extract(x, '([A-Za-z]+)', 1) END AS key FROM l)
+   SELECT doc_id, line::INT AS line, CASE WHEN lower(trim(key)) IN ('development', 'test', 'production') THEN lower(trim(key)) END AS section FROM k""")
+_SOME_BLANK = "CASE WHEN item_id % 2 = 0 THEN ' ' ELSE text END"
+add("blank_queries", f"""WITH {hybrid(_SOME_BLANK, limit=10)} SELECT query_id, ord::INT AS ord, chunk_id, 'hybrid' AS retrieval_mode, round(score, 6) AS score FROM fused WHERE query_id % 2 = 1
+  UNION ALL SELECT query_id, ord::INT, chunk_id, 'vector', round(1/(1+distance), 6) FROM vleg WHERE query_id % 2 = 0 AND ord <= 10""")
+_HINT = {k: "'" + v.replace("'", "''") + "'" for k, v in HINTS.items()}
+add("confidence_hints", f"""SELECT word, match_confidence, CASE match_confidence WHEN 'low' THEN {_HINT['low']} WHEN 'high' THEN {_HINT['high']} ELSE
+   CASE WHEN contains(reasons, 'possible_ambiguous_literal_query') THEN {_HINT['possible_ambiguous_literal_query']}
+   WHEN contains(reasons, 'top_hits_different_path_families') THEN {_HINT['top_hits_different_path_families']} ELSE {_HINT['medium']} END END AS hint FROM ({ORACLE['match_confidence_words']})""")
