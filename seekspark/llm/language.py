@@ -22,7 +22,9 @@ from seekspark.llm.common import batch_of, narrow, slices
 
 UNDETERMINED = "und"
 MAX_LANGUAGES = 512
-_PIECE = 1 << 20
+_PIECE = 1 << 18
+#: Bytes of text scored at once; the arrays made of them take some hundred times as much.
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,7 @@ def _count(config: LanguageConfig):
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
                 sums = held.setdefault(lang, np.zeros(1 << config.bits, np.int64))
                 for codes in _pieces(text, max(config.orders) - 1):
@@ -161,7 +163,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     schema = rows.select(*[f"`{c}`" for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
-        for part in slices(batches, read):
+        for part in slices(batches, read, SLICE):
             langs, scores = score_texts(part.column(read).to_pylist(), handle.value)
             kept = [part.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])

@@ -139,11 +139,12 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, columns: list[str], seed: str = "mix") -> DataFrame:
-    """The documents, each as often as the mix takes it; `docs` should be a table. Wordless documents stay once."""
+    """The documents, each as often as the mix takes it. Wordless documents stay once."""
     own = {"size": "_size", "u": "_u", "w": "_w", "source_size": "_ss", "target": "_t", "copies": "_n"}
     clash = {c: f"_kept_{c}" for c in columns if c in own}
     renamed = docs.select(*[F.col(f"`{c}`").alias(clash.get(c, c)) for c in columns])
-    rows = sampled(measured(renamed, renamed.columns, seed))
+    # Written with their sizes: the passes below read narrow columns, and words are counted once.
+    rows = sampled(written(measured(renamed, renamed.columns, seed), "mix-documents"))
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int")
     repeated = rows.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
     return repeated.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in columns])

@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", confi
     schema = rows.select("key", F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 18):
             made = fingerprints_of(part.column("text").to_pylist(), config).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(made)], names=["key", "fp"])
 

@@ -10,7 +10,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Words whose ids are remembered, per Python worker and generation. It bounds memory and changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 #: How the tokenizer's own pattern divides lower-cased text of the first 256 code points: letters, single numbers, marks.
 PARTS = re.compile(
