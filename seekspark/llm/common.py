@@ -44,6 +44,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 20, r
             yield batch.slice(start)
 
 
+_ROWS_KEY, _SPARKS_OWN, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """Has Spark send whole texts to Python in batches of 1,024 rows, unless the session says otherwise than by default.
+
+    Ten thousand texts at once take tens of megabytes on either side; results do not depend on it.
+    """
+    if frame.sparkSession.conf.get(_ROWS_KEY) == _SPARKS_OWN:
+        frame.sparkSession.conf.set(_ROWS_KEY, _ROWS)
+    return frame
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, schema, strict=True)], schema=schema)

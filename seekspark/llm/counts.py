@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import batch_of, slices, whole_text
+from seekspark.llm.common import batch_of, slices, small_batches, whole_text
 from seekspark.llm.tokens import byte_letters
 
 LEAF, FAN = 32, 16
@@ -217,7 +217,7 @@ def trees(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = N
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *(pa.array(x, pa.list_(pa.int32())) for x in (lengths, counts))], names=["doc_id", "lengths", "counts"])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def count_edits(docs: DataFrame, edits: Column, kept: bool = False, tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def count_edits(docs: DataFrame, edits: Column, kept: bool = False, tokenizer: s
             schema = pa.schema([part.schema.field("doc_id"), *[(n, pa.int64()) for n in names]])
             yield batch_of(schema, [part.column("doc_id"), *map(list, zip(*out, strict=True))])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def sample_edits() -> Column:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import batch_of, shuffle_width, slices, whole_text
+from seekspark.llm.common import batch_of, shuffle_width, slices, small_batches, whole_text
 from seekspark.session import written
 
 LONG = 24
@@ -191,7 +191,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", config: F
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(i) for i in range(len(keep))], pa.array([m.tobytes().hex() for m in made], pa.string())], names=[*keep, "fingerprint"])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 # ---- a document, its edited text and its neighbour -------------------------------------------------------
@@ -231,7 +231,7 @@ def with_neighbours(docs: DataFrame, config: FingerprintConfig = FingerprintConf
     rows = docs.select("doc_id", whole_text("text").alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc()]
     tasks = max(shuffle_width(spark), 1)
-    in_order = rows.repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
+    in_order = small_batches(rows).repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
     key_type = rows.schema["doc_id"]
     schema = rows.select("doc_id").schema.add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add(
         "edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double").add("role", "string").add("task", "integer").add("text", "string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import batch_of, narrow, slices
+from seekspark.llm.common import batch_of, narrow, slices, small_batches
 
 UNDETERMINED = "und"
 MAX_LANGUAGES = 512
@@ -99,7 +99,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     What reaches the driver is one number per language and one per (language, bucket).
     """
-    rows = narrow(labelled, text=text, lang=lang, key=key).filter("text IS NOT NULL AND lang IS NOT NULL")
+    rows = small_batches(narrow(labelled, text=text, lang=lang, key=key)).filter("text IS NOT NULL AND lang IS NOT NULL")
     known = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(known) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the broadcast matrix would have no fixed bound")
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
             kept = [part.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def is_held_out(key: str = "doc_id"):

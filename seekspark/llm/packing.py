@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import batch_of, slices, whole_text
+from seekspark.llm.common import batch_of, slices, small_batches, whole_text
 from seekspark.llm.hilbert import hilbert_keys, projection, to_cells
 from seekspark.llm.tokens import tokenizer_text, word_tokenizer
 from seekspark.session import written
@@ -69,7 +69,7 @@ def tokenised(docs: DataFrame, config: PackingConfig = PackingConfig(), tokenize
                 [part.column("doc_id"), pa.array(curve_keys(ids, config)), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())],
                 names=["doc_id", "curve", "n", "ids"])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def powers_of_two(n: int) -> list[int]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import batch_of, narrow, shuffle_width, slices
+from seekspark.llm.common import batch_of, narrow, shuffle_width, slices, small_batches
 from seekspark.llm.graph import components
 from seekspark.session import written
 
@@ -98,7 +98,7 @@ def fingerprints_of(texts: list[str | None], config: SimhashConfig) -> np.ndarra
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SimhashConfig = SimhashConfig()) -> DataFrame:
     """key, fp (as a signed long) for every row."""
-    rows = narrow(docs, key=key, text=text)
+    rows = small_batches(narrow(docs, key=key, text=text))
     schema = rows.select("key", F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches):

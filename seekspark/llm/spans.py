@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import slices, whole_text
+from seekspark.llm.common import slices, small_batches, whole_text
 
 SPANS_DDL = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -32,7 +32,7 @@ def with_spans(docs: DataFrame, finder: Callable[[str], Found], keep: list[str],
             kept = [part.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, _SPANS)], names=[*keep, "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def base_spans() -> Column:
