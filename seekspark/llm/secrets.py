@@ -3,6 +3,9 @@
 A layer is a text whose characters know the span of the document they were made of, so a secret found three layers down
 still has a place in the document. Layers seen before (by digest and place) are not unwrapped again, which ends cycles.
 
+Base64 is decoded whatever it holds; what comes out is a layer if it has a match or a further layer in it, as text with any
+bad bytes or as UTF-16.
+
 Defined cases: null text is empty; repeated rows are scanned each on its own; extra columns are not read; texts are scanned
 whole. Compressed data is inflated in pieces of PIECE bytes that overlap by OVERLAP, so a bomb costs time, not memory; a
 secret or a nested layer longer than the overlap may be cut where two pieces meet.
@@ -39,8 +42,9 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ESCAPED_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPED_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 UNICODE_UNIT = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-# The shortest secret, AKIA and twelve more, takes 22 base64 digits.
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
+# The shortest secret, token= and eight more, takes 14 bytes: 19 base64 digits.
+SHORTEST = 19
+ENCODED = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 
 
 @dataclass
@@ -168,8 +172,38 @@ def _pieces(unpacker, raw: bytes) -> Iterator[bytes]:
         data = unpacker.unconsumed_tail if hasattr(unpacker, "unconsumed_tail") else b""
 
 
-def _is_text(plain: str) -> bool:
-    return bool(plain) and all(c.isprintable() or c in "\t\n\r\f\v" for c in plain)
+def _worth(text: str) -> bool:
+    """Whether a text holds a match or something to unwrap; decoded bytes that hold neither are no layer."""
+    return bool(ENCODED.search(text) or ESCAPED_URL.search(text) or ESCAPED_UNICODE.search(text) or next(matches(text), None))
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The bytes read as text, with the bytes (first, behind the last) of each character. A byte that is not UTF-8 becomes a
+    character of its own. With NUL bytes they are read as UTF-16 as well, in either order and from either byte on."""
+    plain = raw.decode("utf-8", "surrogateescape")
+    if _worth(plain):
+        codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+        widths = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        widths[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+        last = np.cumsum(widths)
+        yield plain, last - widths, last
+    if b"\0" not in raw:
+        return
+    for ways in ((("<u2", 0), (">u2", 1)), ((">u2", 0), ("<u2", 1))):  # both of a pair read much the same characters
+        best = max((_utf16(raw, *way) for way in ways), key=lambda x: x[0])
+        if best[0]:
+            first = best[2] + 2 * np.arange(len(best[1]), dtype=np.int64)
+            yield best[1], first, first + 2
+
+
+def _utf16(raw: bytes, order: str, skip: int) -> tuple[int, str, int]:
+    """The characters of matches and further layers in it, the text and the bytes before it."""
+    units = np.frombuffer(raw, order, max(0, len(raw) - skip) // 2, min(skip, len(raw) - 1))
+    plain = units.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    if not _worth(plain):
+        return 0, plain, skip
+    inner = [m.span() for p in (ENCODED, ESCAPED_URL, ESCAPED_UNICODE) for m in p.finditer(plain)]
+    return sum(e - s for s, e in inner) + sum(e - s for _, s, e in matches(plain)), plain, skip
 
 
 def _from_bytes(raw: bytes, place: tuple[int, int]) -> Iterator[Layer]:
@@ -183,9 +217,9 @@ def _from_bytes(raw: bytes, place: tuple[int, int]) -> Iterator[Layer]:
         if _inflated(piece) is not None:
             yield from _from_bytes(piece, place)
             continue
-        plain = piece.decode("utf-8", "replace")
-        n = len(plain)
-        yield Layer(plain, np.full(n, place[0], np.int64), np.full(n, place[1], np.int64))
+        for plain, _, _ in _texts(piece):
+            n = len(plain)
+            yield Layer(plain, np.broadcast_to(np.int64(place[0]), n), np.broadcast_to(np.int64(place[1]), n))
 
 
 def _from_base64(layer: Layer) -> Iterator[Layer]:
@@ -194,28 +228,18 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
         for skip in range(4):  # the run may begin before the encoded part does
             body = digits[skip:]
             body = body[:len(body) - (len(body) % 4 == 1)]
-            if len(body) < 22:
+            if len(body) < SHORTEST:
                 break
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
             if _inflated(raw) is not None:
                 yield from _from_bytes(raw, layer.place(m.start() + skip, m.end()))
-                break
-            try:
-                plain = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if not _is_text(plain):
-                continue
-            widths = np.array([len(c.encode("utf-8")) for c in plain])
-            last = np.cumsum(widths)
-            first = last - widths
-            starts, ends = layer.arrays()
-            base = m.start() + skip
-            begin, stop = base + first * 8 // 6, base + -(-last * 8 // 6)
-            behind = ends[np.minimum(stop, base + len(body)) - 1]
-            behind[-1] = ends[m.end() - 1]  # the padding belongs to the last character
-            yield Layer(plain, starts[begin], behind)
-            break
+            for plain, first, last in _texts(raw):
+                starts, ends = layer.arrays()
+                base = m.start() + skip
+                begin, stop = base + first * 8 // 6, base + -(-last * 8 // 6)
+                behind = ends[np.minimum(stop, base + len(body)) - 1]
+                behind[-1] = ends[m.end() - 1]  # the padding belongs to the last character
+                yield Layer(plain, starts[begin], behind)
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:

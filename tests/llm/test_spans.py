@@ -113,6 +113,29 @@ def test_long_words_are_no_layers():
     assert secrets.find_secrets("Donaudampfschifffahrtsgesellschaftskapitaen " * 20 + "abcdefghijklmnopqrstuvwxyz") == []
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u202f", "\ufeff", "\u200b", "\u3000", "\x1b", "\0", "\udcff"])
+def test_base64_that_is_not_all_printable_is_scanned(odd):
+    raw = f"mot de passe{odd}: {SECRET} {odd}".encode("utf-8", "surrogateescape")
+    blob = base64.b64encode(raw).decode()
+    found = [x[:3] for x in secrets.find_secrets("see " + blob + " end")]
+    at = raw.index(SECRET.encode())
+    assert ("assign", 4 + at * 8 // 6, 4 - (-(at + len(SECRET)) * 8 // 6), ) in found
+
+
+@pytest.mark.parametrize("coding", ["utf-16", "utf-16-le", "utf-16-be"])
+def test_base64_of_utf16_is_scanned(coding):
+    for text in (SECRET, "é " + SECRET + " fin"):
+        found = secrets.find_secrets(base64.b64encode(text.encode(coding)).decode())
+        assert [x[0] for x in found] == ["assign"]
+        assert "assign" in [x[0] for x in secrets.find_secrets(base64.b64encode(gzip.compress(text.encode(coding))).decode())]
+
+
+@pytest.mark.parametrize("short", ["token=abcdefgh", "secret=12345678", "passwd=12345678", "apikey=12345678"])
+def test_the_shortest_assignments_are_decoded(short):
+    for blob in (_b64(short), _b64(short).rstrip("=")):
+        assert secrets.find_secrets(f"a {blob} b") == [("assign", 2, 2 + len(blob), False)]
+
+
 def test_added_personal_kinds():
     kinds = {k for k, *_ in personal.find_personal(
         "see https://me:pw@host.example/x IBAN: DE89 3704 0044 0532 0130 00, account no. 12345678, SSN 123-45-6789")}
