@@ -4,9 +4,11 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import pytest
 
@@ -136,6 +138,62 @@ def test_the_shortest_assignments_are_decoded(short):
         assert secrets.find_secrets(f"a {blob} b") == [("assign", 2, 2 + len(blob), False)]
 
 
+def _noise(n):
+    return "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\\n"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_base64_over_line_ends(end, pack):
+    raw = pack((_noise(200) + " " + SECRET + " " + _noise(200)).encode())
+    lines = re.findall(".{1,76}", base64.b64encode(raw).decode())
+    text = f"-----BEGIN X-----{end}" + end.join(lines) + f"{end}-----END X-----"
+    assert "assign" in [x[0] for x in secrets.find_secrets(text)]
+    if pack is bytes:
+        (_, start, stop, _), = secrets.find_secrets(text)
+        at = raw.index(SECRET.encode())
+        assert text[start:stop].replace(end, "") == base64.b64encode(raw).decode()[at * 8 // 6:-(-(at + len(SECRET)) * 8 // 6)]
+
+
+@pytest.mark.parametrize("glue", ["com/cb/{}", "id_{}", "{}-suffix", "xy{}z", "a/{}/b_c"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_base64_glued_to_other_characters(glue, pack):
+    blob = base64.b64encode(pack((SECRET + " ").encode())).decode().rstrip("=")
+    assert "assign" in [x[0] for x in secrets.find_secrets("at " + glue.format(blob) + " end")]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_compressed_bytes_behind_escapes(pack):
+    raw = pack((_noise(50) + SECRET).encode())
+    for blob in ("".join(f"%{b:02X}" for b in raw), urllib.parse.quote_plus(raw), "".join(f"\\x{b:02x}" for b in raw), "".join(f"\\u{b:04x}" for b in raw), repr(raw)[2:-1]):
+        text = f"a = b'{blob}' + other"
+        assert ("assign", 6, 6 + len(blob), False) in secrets.find_secrets(text) or blob == urllib.parse.quote_plus(raw)
+        assert [x[0] for x in secrets.find_secrets(text)] == ["assign"]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_every_member_is_unpacked_and_what_precedes_damage(pack):
+    def b64(raw):
+        return base64.b64encode(raw).decode()
+
+    assert secrets.find_secrets(b64(pack(b"first") + pack(SECRET.encode())))
+    assert secrets.find_secrets(b64(pack(pack(b"first") + pack(b"pass") + pack(SECRET[4:].encode()))))
+    assert secrets.find_secrets(b64(pack(pack(b"first") + SECRET.encode())))
+    if pack is not bz2.compress:  # its blocks come whole
+        whole = pack((SECRET + " " + _noise(3000)).encode())
+        assert secrets.find_secrets(b64(whole[:len(whole) // 2]))
+        assert secrets.find_secrets(b64(whole[:len(whole) // 2] + b"\xff" * 40))
+    assert secrets.find_secrets(b64(pack((SECRET + " ").encode())[:-2] + b"??"))
+
+
+def test_a_stream_in_a_stream_is_read_over_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 512)
+    inner = bytes(random.Random(1).choices(range(256), k=20000))
+    raw = gzip.compress(gzip.compress(base64.b16encode(inner) + b" " + SECRET.encode()))
+    assert "assign" in [x[0] for x in secrets.find_secrets(base64.b64encode(raw).decode())]
+
+
 def test_added_personal_kinds():
     kinds = {k for k, *_ in personal.find_personal(
         "see https://me:pw@host.example/x IBAN: DE89 3704 0044 0532 0130 00, account no. 12345678, SSN 123-45-6789")}
