@@ -132,11 +132,12 @@ class CodeIndex:
     def _index(self, listed: DataFrame, removed: DataFrame, read: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
         """Brings the tables up to the listed files (path, size, mtime_ms) and drops the removed paths.
 
-        read: adds text and error to the files that need it; by default they are opened below the root.
+        read: adds text and error to the files that need it; by default they are opened below the root. max_file_bytes holds
+        for files only, not for texts that `read` has at hand.
         """
         staging = f"{shared_folder(self.spark)}/staging-{uuid.uuid4().hex}"
         known = changes.with_known_state(listed, self.table("file_manifest"))
-        too_large = F.col("size") > self.cfg.max_file_bytes
+        too_large = F.lit(False) if read else F.col("size") > self.cfg.max_file_bytes
         # Counted now: the manifest is rewritten below.
         left = known.agg(
             F.count_if(changes.stat_unchanged() & ~too_large).alias("stat_skipped"), F.count_if(too_large).alias("too_large")
@@ -149,7 +150,7 @@ class CodeIndex:
         staged = self.spark.read.parquet(f"{staging}/files")
         good = staged.filter("error IS NULL")
         changed = good.filter(~changes.hash_unchanged())
-        if self.cfg.strict_size:
+        if self.cfg.strict_size and not read:
             removed = removed.unionByName(listed.filter(F.col("size") > self.cfg.max_file_bytes).select("path"))
         self._bucket(removed.select("path").distinct()).write.parquet(f"{staging}/removed")
         gone = self.spark.read.parquet(f"{staging}/removed")
@@ -196,7 +197,7 @@ class CodeIndex:
         """Indexes (path, text [, mtime_ms]) rows of any source instead of files below the root.
 
         Paths are repo-relative and unique. The path rules of a file scan hold, without an ignore file. Without mtime_ms a
-        text counts as changed unless its hash is known. With ``remove_missing``, indexed paths that the table lacks go.
+        text counts as changed unless its hash is known. Texts may have any length. With ``remove_missing``, indexed paths that the table lacks go.
         """
         mtime = F.col("mtime_ms").cast("double") if "mtime_ms" in texts.columns else F.lit(None).cast("double")
         rows = texts.select("path", F.coalesce("text", F.lit("")).alias("text"), mtime.alias("mtime_ms")).filter(

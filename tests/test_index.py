@@ -119,3 +119,16 @@ def test_events_fold_and_polling_diff(spark):
     now = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0), ("c", 1, 1.0)], "path string, size bigint, mtime_ms double")
     known = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 1.0), ("d", 1, 1.0)], "path string, size bigint, mtime_ms double")
     assert {(r.path, r.event) for r in diff_events(now, known).collect()} == {("b", "change"), ("c", "add"), ("d", "unlink")}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_a_table_may_hold_texts_of_any_length(spark, tmp_path, strict):
+    cfg = EngineConfig(watch_root=str(tmp_path), index_dir=str(tmp_path / "index"), max_file_bytes=1000, strict_size=strict)
+    index = CodeIndex(spark, cfg).open()
+    for word in ("first", "second"):
+        long = "\n".join(f"{word} {i}" for i in range(500))
+        done = index.index_table(spark.createDataFrame([("a.txt", long), ("b.txt", "short")], "path string, text string"))
+        assert done["too_large"] == 0 and done["failed"] == 0
+        bodies = [r.body for r in index.table("chunks").filter("path = 'a.txt'").collect()]
+        assert any(f"{word} 499" in b for b in bodies) and (word == "first" or not any("first" in b for b in bodies))
+        assert {r.path for r in index.table("file_manifest").collect()} == {"a.txt", "b.txt"}
