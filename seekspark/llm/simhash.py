@@ -396,25 +396,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 # ---- classes -----------------------------------------------------------------------------------------
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SimhashConfig = SimhashConfig()) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id: the least id of the documents reachable over links."""
+def _classes(docs: DataFrame, key: str, text: str, config: SimhashConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """key, fp of every row; fp, root of every fingerprint; root, component_id (the least key) of every component."""
     table = written(fingerprints(docs, key, text, config), "simhash")
     distinct = written(table.groupBy("fp").agg(F.min("key").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), config)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return table, rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SimhashConfig = SimhashConfig()) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id: the least id of the documents reachable over links."""
+    table, rooted, named = _classes(docs, key, text, config)
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return table.join(by_fp, "fp").select(F.col("key").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, columns: list[str], config: SimhashConfig = SimhashConfig()) -> DataFrame:
-    """The documents without those that are near another with a smaller id. Rows that repeat an id stay once; rows with a
-    null id stay as they are."""
-    classes = written(near_duplicates(docs, config=config).select("doc_id", "component_id"), "simhash-classes")
-    dropped = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*[f"`{c}`" for c in columns]).join(dropped, "doc_id", "left_anti")
-    repeated = classes.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
+def _row_key(columns: list[str]) -> Column:
+    """Equal for equal rows only; sorts by id, null ids last. Nulls are told apart from values, as the hash passes them over."""
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    marks = [f(F.col(f"`{c}`")) for c in rest for f in (lambda x: x, F.isnull)]
+    return F.struct(
+        F.isnull("doc_id").alias("unnamed"), F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("text"),
+        F.xxhash64(F.lit(0), *marks).alias("rest"))
+
+
+def one_of_each(docs: DataFrame, columns: list[str], config: SimhashConfig = SimhashConfig(), unnamed_apart: bool = True) -> DataFrame:
+    """One row of each group of linked documents: the one with the smallest id, of several those the first by a hash of the
+    text and of the other columns. Rows that are equal in all columns stay once. Null ids come last; with `unnamed_apart` one
+    of a group's rows without an id stays beside the one with the smallest id."""
+    names = [f"`{c}`" for c in columns]
+    keyed = docs.select(*names, _row_key(columns).alias("_row"))
+    table, rooted, named = _classes(keyed, "_row", "text", config)
+    winners = named.select(F.col("component_id").alias("_row"))
+    if unnamed_apart:
+        unnamed = table.filter("key.unnamed").groupBy("fp").agg(F.min("key").alias("least")).join(rooted, "fp")
+        winners = winners.union(unnamed.groupBy("root").agg(F.min("least").alias("_row")).select("_row")).distinct()
+    winners = written(winners, "simhash-kept")
+    kept = _among(keyed, winners)
+    repeated = _among(table.groupBy(F.col("key").alias("_row")).count().filter("count > 1").select("_row"), winners)
+    repeated = written(repeated, "simhash-repeated")
     if not repeated.isEmpty():
-        null, rest = kept.filter("doc_id IS NULL"), kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = null.unionByName(rest)
-    return kept.select(*[f"`{c}`" for c in columns])
+        kept = _among(kept, repeated, "left_anti").unionByName(_among(kept, repeated).dropDuplicates(["_row"]))
+    return kept.select(*names)
+
+
+def _among(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    named = keys.select(F.col("_row").alias("_key"))
+    return rows.join(named, F.col("_row") == F.col("_key"), how)

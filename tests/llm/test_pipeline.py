@@ -58,6 +58,22 @@ def test_one_document_of_each_group_stays(steps):
     assert kept == Counter([*least.values(), None])
 
 
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [
+        (1, text("a"), "en", "s", 1), (2, text("a"), "en", "s", 1), (2, text("b"), "en", "s", 1), (3, text("c"), "en", "s", 1),
+        (3, text("d"), "en", "s", 1), (4, text("e"), "en", "s", 1), (4, text("e"), "en", "s", 1), (4, text("e"), None, "s", 1),
+        *[(None, text("f"), "en", "s", 1)] * 5, (None, text("a"), "en", "s", 1), (None, text("g"), None, "en", 1), (None, text("g"), "en", None, 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = rows_of(corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER))
+    assert Counter((r[0], r[1][0]) for r in got) == Counter([(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e"), (None, "f"), (None, "g")])
+    again = rows_of(corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), FOLDER))
+    assert Counter(got) == Counter(again)
+
+
 def test_secrets_are_masked_and_nothing_else_changes(steps):
     want = Counter()
     for key, text, lang, source, n in rows_of(steps[2]):
