@@ -25,6 +25,11 @@ def whole_text(column: Column | str = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")
 
 
+def once(frame: DataFrame, name: str, column: Column) -> DataFrame:
+    """Adds a column that is computed once per row: nothing is copied through a generator, into the lambdas above it."""
+    return frame.select("*", F.explode(F.array(column)).alias(name))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices of at most `rows` rows and about `chars` bytes of text, never inside a row."""
     for batch in batches:

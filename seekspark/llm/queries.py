@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspark.llm import (
-    counts, fingerprint, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, spans,
+    counts, fingerprint, language, leaks, licenses, mixing, neighbours, packing, personal, secrets, simhash, spans,
 )
 from seekspark.llm.common import read_table
 
@@ -75,3 +75,11 @@ ORACLE["op10_license_scan"] = licenses.scan_sql()
 @query
 def op6_token_counts(spark, sf_dir):
     return counts.count_edits(read_table(spark, sf_dir, "documents"), counts.sample_edits())
+
+
+@query
+def op12_decontamination(spark, sf_dir):
+    return leaks.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_decontamination"] = leaks.report_sql()
