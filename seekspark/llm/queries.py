@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspark.llm import (
-    counts, fingerprint, language, leaks, licenses, mixing, neighbours, packing, personal, secrets, simhash, spans,
+    codes, counts, fingerprint, language, leaks, lexical, licenses, mixing, neighbours, packing, personal, secrets, simhash, spans,
 )
 from seekspark.llm.common import read_table
 
@@ -83,3 +83,19 @@ def op12_decontamination(spark, sf_dir):
 
 
 ORACLE["op12_decontamination"] = leaks.report_sql()
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_search"] = lexical.search_sql()
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    return codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op11_vector_codes"] = codes.compress_sql()
