@@ -18,6 +18,7 @@ DEFINITION_ENGINES = ("auto", "regex")
 CONFIDENCE_WITH_RERANK = (0.35, 0.55, 0.05)
 CONFIDENCE_WITHOUT_RERANK = (0.18, 0.40, 0.06)
 
+MAX_LIMIT = 50
 MAX_SNIPPET_CHARS = 4_000
 
 
@@ -149,8 +150,8 @@ def check_request(query: str, limit: int) -> None:
     """The range checks of the public search call."""
     if not isinstance(query, str) or len(query) < 1:
         raise ConfigError("query must be a non-empty string")
-    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= 50:
-        raise ConfigError("limit must be an integer between 1 and 50")
+    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_LIMIT:
+        raise ConfigError(f"limit must be an integer between 1 and {MAX_LIMIT}")
 
 
 def resolve_classifier(query_classifier: str | None = None, search_focus: str | None = None) -> str:

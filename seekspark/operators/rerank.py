@@ -74,8 +74,8 @@ def with_rerank_score(featured: DataFrame) -> DataFrame:
 
 
 def rerank(hits: DataFrame, features: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Hits in their new order; the retrieval order breaks ties."""
-    kept = [c for c in hits.columns if c != "terms"]
+    """Hits in their new order, without their texts; the retrieval order breaks ties."""
+    kept = [c for c in hits.columns if c not in ("terms", "text")]
     scored = with_rerank_score(hit_features(hits, features, cfg)).select(*kept, "rerank_score")
     return renumber(scored, F.col("rerank_score").desc(), F.col("ord"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seekspark.config import EngineConfig
 from seekspark.functions import confidence, globs, intent, paths, scoring
 from seekspark.functions import text as words
-from seekspark.operators import changes, fulltext
+from seekspark.operators import blockmax, changes, fulltext
 from seekspark.operators.chunking import (
     chunk_files, chunk_id, embedding_text, section_chunks, storage_header, storage_text,
 )
@@ -24,9 +24,10 @@ from seekspark.operators.rerank import (
     cross_encode, hit_features, query_features, rerank, sort_by_definition, sort_by_focus,
 )
 from seekspark.operators.symbols import json_keys, last_per_line, merge_spans, rank_spans, regex_spans, yaml_keys
-from seekspark.operators.topk import best_per_query
 from seekspark.plans.index import CodeIndex
-from seekspark.plans.search import SearchRequest, SearchTables, is_small_batch, path_scope, retrieve, search_plan, snippet, with_chunk_columns
+from seekspark.plans.search import (
+    SearchRequest, SearchTables, is_small_batch, path_scope, retrieve, search_plan, search_requests, snippet, with_bodies, with_chunk_columns,
+)
 from seekspark.session import shared_folder, written
 from seekspark.sources.corpus import files, page_files, source_files, table, varied_paths
 
@@ -415,8 +416,8 @@ def document_tables(spark, sf) -> SearchTables:
     )
     keyed = corpus.select(chunk_id(F.col("path"), F.lit(0)).alias("chunk_id"), "path", "text")
     posted = written(fulltext.postings(keyed, F.col("text"), ("chunk_id", "path")), "postings")
-    frequencies = written(fulltext.term_frequencies(posted), "term-df")
-    return SearchTables(chunks, posted, fulltext.corpus_stats(keyed, posted), frequencies=frequencies)
+    blocks = written(blockmax.term_blocks(posted), "term-blocks")
+    return SearchTables(chunks, posted, written(fulltext.corpus_stats(keyed, posted), "stats"), blocks=blocks)
 
 
 @register
@@ -438,8 +439,7 @@ def postings_stats(spark, sf):
 def bm25_hits(spark, sf, k: int, queries: DataFrame | None = None, tables: SearchTables | None = None) -> DataFrame:
     tables = tables or document_tables(spark, sf)
     asked = benchmark_queries(spark, sf) if queries is None else queries
-    scored = fulltext.bm25(asked, tables.postings, tables.stats, frequencies=tables.frequencies)
-    return best_per_query(scored, k, F.col("score").desc(), F.col("chunk_id"))
+    return blockmax.best_chunks(asked, tables.postings, tables.stats, tables.blocks, k)
 
 
 @register
@@ -471,6 +471,23 @@ def hybrid_filtered(spark, sf):
     return found.select("query_id", "ord", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _own_filters(queries: DataFrame) -> DataFrame:
+    """Five settings of filters, limit and focus, dealt out to the queries."""
+    n = F.col("query_id") % 5
+    return queries.withColumns({
+        "path_prefix": F.when(n == 1, PREFIX), "ext": F.when(n == 2, EXT), "lang": F.when(n == 3, LANG),
+        "glob": F.when(n == 4, GLOBS["g_braces"]), "include_docs": n == 3, "limit": F.element_at(F.array(*[F.lit(x) for x in (10, 3, 7, 5, 50)]), (n + 1).cast("int")),
+        "query_classifier": F.when(n == 4, "docs").otherwise(F.col("query_classifier")),
+    })
+
+
+@register
+def search_filtered_batch(spark, sf):
+    """Every query with its own filters, limit and focus, in one search."""
+    hits, _, _ = search_requests(_own_filters(benchmark_queries(spark, sf)), document_tables(spark, sf), CFG)
+    return _listed(hits, "score", "rerank_score")
+
+
 @register
 def retrieval_quality(spark, sf):
     """Share of labelled top-10 text hits that are labelled good, per query."""
@@ -594,10 +611,10 @@ def lexical_features(spark, sf):
     return rows.select("query_id", "ord", "chunk_id", *[F.round(n, 6).alias(n) for n in names])
 
 
-def _candidates(spark, sf, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
+def _candidates(spark, sf, queries: DataFrame, cfg: EngineConfig) -> tuple[DataFrame, SearchTables]:
     tables = document_tables(spark, sf)
     found = written(retrieve(queries, tables, path_scope(SearchRequest("x"), cfg), cfg.rerank_candidates, cfg), "hits")
-    return with_chunk_columns(found, tables, is_small_batch(queries))
+    return with_chunk_columns(found, tables, is_small_batch(queries)), tables
 
 
 def _focused(queries: DataFrame, prefix: str = "") -> DataFrame:
@@ -606,10 +623,10 @@ def _focused(queries: DataFrame, prefix: str = "") -> DataFrame:
     return queries.withColumn("query_classifier", focus).withColumn("query", F.concat(F.lit(prefix), "query"))
 
 
-def _reranked(spark, sf, prefix: str, k: int, cfg: EngineConfig = CFG) -> tuple[DataFrame, DataFrame]:
+def _reranked(spark, sf, prefix: str, k: int, cfg: EngineConfig = CFG) -> tuple[DataFrame, DataFrame, SearchTables]:
     asked = _focused(benchmark_queries(spark, sf), prefix)
-    ranked = rerank(_candidates(spark, sf, asked, cfg), query_features(asked, cfg), cfg)
-    return asked, ranked.filter(F.col("ord") <= k)
+    hits, tables = _candidates(spark, sf, asked, cfg)
+    return asked, rerank(hits, query_features(asked, cfg), cfg).filter(F.col("ord") <= k), tables
 
 
 def _listed(hits: DataFrame, *scores: str) -> DataFrame:
@@ -629,14 +646,14 @@ def rerank_symbol(spark, sf):
 @register
 def classifier_sort(spark, sf):
     asked = _focused(benchmark_queries(spark, sf))
-    ranked = sort_by_focus(_candidates(spark, sf, asked, CFG), query_features(asked, CFG), CFG)
+    ranked = sort_by_focus(_candidates(spark, sf, asked, CFG)[0].drop("text", "terms"), query_features(asked, CFG), CFG)
     return _listed(ranked.filter(F.col("ord") <= 10), "score")
 
 
 @register
 def definition_sort(spark, sf):
     asked = benchmark_queries(spark, sf).withColumn("query", F.concat(F.lit("define "), F.regexp_extract("query", "([A-Za-z]+)", 1)))
-    ranked = sort_by_definition(_candidates(spark, sf, asked, CFG), query_features(asked, CFG), CFG)
+    ranked = sort_by_definition(_candidates(spark, sf, asked, CFG)[0].drop("text", "terms"), query_features(asked, CFG), CFG)
     return _listed(ranked.filter(F.col("ord") <= 10), "score").withColumn("chunk_id", F.col("chunk_id"))
 
 
@@ -647,14 +664,14 @@ def _length_scorer():
 
 @register
 def cross_encoder(spark, sf):
-    asked, ranked = _reranked(spark, sf, "", 100)
-    ranked = ranked.withColumn("cross_encoder_logit", F.lit(None).cast("double"))
+    asked, ranked, tables = _reranked(spark, sf, "", CFG.cross_encoder_top_k)
+    ranked = with_bodies(ranked, tables, is_small_batch(asked)).withColumn("cross_encoder_logit", F.lit(None).cast("double"))
     return _listed(cross_encode(ranked, asked, _length_scorer, 10, CFG), "score", "rerank_score", "cross_encoder_logit")
 
 
 @register
 def match_confidence(spark, sf):
-    asked, top = _reranked(spark, sf, "", 10)
+    asked, top, _ = _reranked(spark, sf, "", 10)
     out = confidence.assess(asked, top, CFG)
     return out.select(
         "query_id", "match_confidence", F.array_join("match_confidence_reasons", ",").alias("reasons"),
@@ -699,8 +716,8 @@ def chunk_tables(corpus: DataFrame, cfg: EngineConfig) -> SearchTables:
     columns = ("chunk_id", "path", "start_line", "end_line", "header", "body", "vector", "definition_of")
     chunks = written(chunks.select(*columns), "chunks")
     posted = written(fulltext.postings(chunks, F.concat_ws(" ", "header", "body"), ("chunk_id", "path")), "postings")
-    frequencies = written(fulltext.term_frequencies(posted), "term-df")
-    return SearchTables(chunks, posted, fulltext.corpus_stats(chunks, posted), frequencies=frequencies)
+    blocks = written(blockmax.term_blocks(posted), "term-blocks")
+    return SearchTables(chunks, posted, written(fulltext.corpus_stats(chunks, posted), "stats"), blocks=blocks)
 
 
 @register

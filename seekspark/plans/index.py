@@ -22,19 +22,20 @@ from pyspark.sql import types as T
 from seekspark import schemas
 from seekspark.config import ConfigError, EngineConfig
 from seekspark.functions.globs import root_ignore_patterns
-from seekspark.operators import changes, fulltext
+from seekspark.operators import blockmax, changes, fulltext
 from seekspark.operators.chunking import chunk_files, chunk_id, embedding_text, storage_header
 from seekspark.operators.embedding import embed_column
 from seekspark.operators.rerank import PairScorer
 from seekspark.plans.search import (
-    SearchRequest, SearchTables, bucket_of, error_json, hit_payload, queries_frame, result_json, search_plan, with_vectors,
+    SearchRequest, SearchTables, bucket_of, error_json, hit_payload, queries_frame, result_json, search_plan, search_requests,
+    with_vectors,
 )
 from seekspark.sources.files import accepted, not_below, read_texts, stat_files, walk_files
 from seekspark.session import shared_folder
 
 log = logging.getLogger(__name__)
 BUCKET_STATS = schemas.struct("path_bucket:int n_chunks:bigint n_terms:bigint path:string")
-TERM_DF = schemas.struct("term:string df:bigint path:string path_bucket:int")
+TERM_DF = schemas.struct("term:string level:int df:bigint max_tf:bigint min_dl:bigint path:string path_bucket:int")
 STAGED = {"chunks": schemas.CHUNKS, "term_df": TERM_DF, "postings": schemas.POSTINGS, "file_manifest": schemas.MANIFEST, "bucket_stats": BUCKET_STATS}
 
 
@@ -185,7 +186,7 @@ class CodeIndex:
         posted = fulltext.postings(fresh, searchable, ("chunk_id", "path", "path_bucket"))
         kept = changes.upsert(self.table("postings", buckets), posted, touched)
         self._overwrite(kept, "postings", buckets, "term")
-        counted = self.table("postings", buckets).groupBy("path_bucket", "term").agg(F.count("*").alias("df"))
+        counted = blockmax.term_blocks(self.table("postings", buckets), "path_bucket")
         self._overwrite(counted.withColumn("path", F.lit("*")), "term_df", buckets, "term")
         # The lengths come from the chunk table, which also counts chunks without any term.
         now = self.table("chunks", buckets).select("path_bucket", F.size(fulltext.index_terms(searchable)).cast("bigint").alias("dl"))
@@ -281,8 +282,8 @@ class CodeIndex:
             return None
         totals = self.table("bucket_stats").agg(F.sum("n_chunks").alias("n_docs"), F.sum("n_terms").alias("_terms"))
         stats = totals.select("n_docs", (F.col("_terms") / F.col("n_docs")).alias("avg_dl"))
-        frequencies = self.table("term_df").groupBy("term").agg(F.sum("df").alias("df"))
-        return SearchTables(self.table("chunks"), self.table("postings"), stats, self.cfg.path_buckets, frequencies)
+        blocks = self.table("term_df").groupBy("term", "level").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        return SearchTables(self.table("chunks"), self.table("postings"), stats, self.cfg.path_buckets, blocks)
 
     def search_batch(self, queries: DataFrame, request: SearchRequest | None = None) -> tuple[DataFrame, DataFrame]:
         """(query_id, query [, query_classifier]) -> (hits, assessment). The request filters the whole batch."""
@@ -294,6 +295,12 @@ class CodeIndex:
             tables = SearchTables(self.table("chunks"), None, None)
         return search_plan(queries, tables, self.cfg, request, self.make_scorer, small)
 
+    def search_requests(self, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(query_id, query [, query_classifier, path_prefix, ext, lang, glob, include_docs, limit]) -> (hits, assessment,
+        rejected): searches of which each brings its own filters and limit."""
+        tables = self.search_tables() or SearchTables(self.table("chunks"), None, None)
+        return search_requests(with_vectors(requests, self.cfg), tables, self.cfg, self.make_scorer)
+
     def search(self, query: str, **arguments) -> DataFrame:
         """Hits of one query in order. Arguments are those of ``SearchRequest``."""
         request = SearchRequest(query, **arguments)

@@ -254,10 +254,10 @@ add("retrieval_quality", f"""WITH {bm25()} SELECT query_id, count(*) AS judged,
   FROM {ranked('bm', 'bm25 DESC, chunk_id', 10)} JOIN dl USING (chunk_id) JOIN labels USING (doc_id) GROUP BY query_id""")
 
 
-def hybrid(query: str = "text", focus: str = "'auto'", depth: int = 100, limit: int = 100, where: str = "true") -> str:
-    """CTE fused(query_id, chunk_id, score, ord)."""
-    return f"""{bm25(query, focus)}, vec AS (SELECT path||'#0' AS chunk_id, path, embedding::DOUBLE[] AS v FROM files JOIN embeddings ON vec_id = doc_id WHERE {where}),
-     d AS (SELECT query_id, chunk_id, {DISTANCE} AS distance FROM q, vec), vleg AS {ranked('d', 'distance, chunk_id', depth)},
+def hybrid(query: str = "text", focus: str = "'auto'", depth: int | str = 100, limit: int = 100, where: str = "true") -> str:
+    """CTE fused(query_id, chunk_id, score, ord). depth and where may depend on query_id."""
+    return f"""{bm25(query, focus)}, vec AS (SELECT path||'#0' AS chunk_id, path, embedding::DOUBLE[] AS v FROM files JOIN embeddings ON vec_id = doc_id),
+     d AS (SELECT query_id, chunk_id, {DISTANCE} AS distance FROM q, vec WHERE {where}), vleg AS {ranked('d', 'distance, chunk_id', depth)},
      tleg AS {ranked(f'(SELECT bm.* FROM bm JOIN dl USING (chunk_id) WHERE {where})', 'bm25 DESC, chunk_id', depth)},
      both_legs AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE/(60+v.ord), 0) + coalesce(1.0::DOUBLE/(60+t.ord), 0) AS score FROM vleg v FULL JOIN tleg t USING (query_id, chunk_id)),
      fused AS {ranked('both_legs', 'score DESC, chunk_id', limit)}"""
@@ -379,9 +379,9 @@ FOCUS_ITEM = FOCUS_OF.format("item_id")
 OUTSIDE = "NOT starts_with(path, '.claude/docs/')"
 
 
-def reranked(query: str, k: int, demoted: str = "0") -> str:
+def reranked(query: str, k: int | str, demoted: str = "0", focus: str = FOCUS_ITEM, depth: int | str = 400, where: str = OUTSIDE) -> str:
     """CTE rr(query_id, ord, chunk_id, score, rerank_score)."""
-    return f"""{hybrid(query, FOCUS_ITEM, 400, 100, OUTSIDE)}, {features('fused')},
+    return f"""{hybrid(query, focus, depth, 100, where)}, {features('fused')},
      pri AS (SELECT *, {path_prior('symq', 'tests', 'frontend', 'focus')} + {demoted} AS pp, {FILE_BUCKET} AS bucket FROM feat),
      sc AS (SELECT * EXCLUDE (ord), ord AS was, pp + {FOCUS_PRIOR} AS prior FROM pri),
      scored AS (SELECT *, CASE WHEN symq THEN score*0.35 + lexical*0.2 + exact*0.2 + exact_path*0.15 + symbol*0.15 + prior
@@ -390,6 +390,11 @@ def reranked(query: str, k: int, demoted: str = "0") -> str:
 
 
 add("rerank_natural", f"WITH {reranked('text', 10)} SELECT {LISTED}, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score FROM rr")
+OWN_FILTER = f"""CASE query_id % 5 WHEN 0 THEN {OUTSIDE} WHEN 1 THEN path = 'lib' OR path LIKE 'lib/%'
+  WHEN 2 THEN (lower(path) LIKE '%.rb' OR lower(path) LIKE '%.tsx' OR lower(path) LIKE '%.d.ts') AND {OUTSIDE}
+  WHEN 3 THEN regexp_matches(lower(path), '\\.(yaml|yml)$') ELSE regexp_matches({BASE}, '^d.*[0-4]\\.(md|json)$') AND {OUTSIDE} END"""
+_OWN = reranked("text", "[10, 3, 7, 5, 50][query_id % 5 + 1]", "0", "CASE WHEN item_id % 5 = 4 THEN 'docs' ELSE 'auto' END", "CASE WHEN query_id % 5 = 1 THEN 100 ELSE 400 END", OWN_FILTER)
+add("search_filtered_batch", f"WITH {_OWN} SELECT {LISTED}, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score FROM rr")
 FIND_USER = "'findUser '||text"
 add("rerank_symbol", f"WITH {reranked(FIND_USER, 10, demotion(0.1))} SELECT {LISTED}, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score FROM rr")
 add("classifier_sort", f"""WITH {hybrid('text', FOCUS_ITEM, 400, 100, OUTSIDE)}, c AS (SELECT fused.* EXCLUDE (ord), ord AS was, focus, {FILE_BUCKET} AS bucket FROM fused JOIN dl USING (chunk_id) JOIN asked USING (query_id)),

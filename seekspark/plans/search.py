@@ -9,21 +9,23 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.config import MAX_SNIPPET_CHARS, ConfigError, EngineConfig, check_request, resolve_classifier
+from seekspark.config import MAX_LIMIT, MAX_SNIPPET_CHARS, QUERY_CLASSIFIERS, ConfigError, EngineConfig, check_request, resolve_classifier
 from seekspark.functions import confidence, paths
 from seekspark.functions.globs import all_of
 from seekspark.functions.text import index_terms, trim
 from seekspark.operators.embedding import embed_column
-from seekspark.operators.fulltext import bm25
+from seekspark.operators.blockmax import best_chunks, term_blocks
 from seekspark.operators.fusion import leg_depth, reciprocal_rank
 from seekspark.operators.nearest import nearest, over_fetch, similarity
 from seekspark.operators.rerank import (
     PairScorer, cross_encode, query_features, rerank, sort_by_definition, sort_by_focus,
 )
+from seekspark.operators.scopes import Scope, accepting, compile_scopes
 from seekspark.operators.topk import best_per_query
 from seekspark.session import written
 
@@ -81,14 +83,14 @@ class SearchTables:
     """What a search reads. ``postings`` is None where no text index exists.
 
     chunks: chunk_id, path, start_line, end_line, body, vector, definition_of [, path_bucket]
-    postings: term, chunk_id, path, tf, dl; stats: one row n_docs, avg_dl
+    postings: term, chunk_id, path, tf, dl; stats: one row n_docs, avg_dl; blocks: term, level, df, max_tf, min_dl
     """
 
     chunks: DataFrame
     postings: DataFrame | None
     stats: DataFrame | None
     path_buckets: int | None = None
-    frequencies: DataFrame | None = None
+    blocks: DataFrame | None = None
 
 
 def retrieve(queries: DataFrame, tables: SearchTables, scope: PathScope, limit: int, cfg: EngineConfig) -> DataFrame:
@@ -103,21 +105,71 @@ def retrieve(queries: DataFrame, tables: SearchTables, scope: PathScope, limit:
         return _overfetched(queries, tables, scope, limit, cfg)
     depth = leg_depth(cfg.hybrid_depth, limit, scope.narrowing) if hybrid else limit
     by_vector = nearest(queries, vectors, max(depth, limit))
-    alone = by_vector.select("query_id", "chunk_id", similarity(F.col("distance")).alias("score"), "ord")
     if not hybrid:
-        return alone.filter(F.col("ord") <= limit).withColumn("retrieval_mode", F.lit("vector"))
-    is_blank = trim(F.col("query")) == ""
-    scored = bm25(queries.filter(~is_blank), tables.postings, tables.stats, cfg.bm25_k1, cfg.bm25_b, allowed, frequencies=tables.frequencies)
-    by_text = best_per_query(scored, depth, F.col("score").desc(), F.col("chunk_id"))
-    # A blank query has no text leg: its hits keep the score of the vector leg.
-    by_vector = by_vector.join(queries.select("query_id", is_blank.alias("_blank")), "query_id")
-    fused = reciprocal_rank(by_vector.filter(F.col("_blank") | (F.col("ord") <= depth)), by_text, cfg.rrf_k)
+        return _by_vector_alone(by_vector.filter(F.col("ord") <= limit))
+    asked = queries.select("query_id", is_blank().alias("_blank"), F.lit(depth).alias("_depth"), F.lit(limit).alias("_wanted"))
+    by_text = best_chunks(queries.filter(~is_blank()), tables.postings, tables.stats, blocks_of(tables), depth, cfg.bm25_k1, cfg.bm25_b, allowed)
+    return _blended(by_vector, by_text, asked, limit, cfg)
+
+
+def is_blank() -> Column:
+    return trim(F.col("query")) == ""
+
+
+def _by_vector_alone(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "chunk_id", similarity(F.col("distance")).alias("score"), "ord", F.lit("vector").alias("retrieval_mode"))
+
+
+def _blended(by_vector: DataFrame, by_text: DataFrame, asked: DataFrame, limit: int, cfg: EngineConfig) -> DataFrame:
+    """Both legs, each as deep as its query says (_depth), fused to the _wanted best, at most ``limit``.
+
+    A blank query has no text leg: its hits keep the score of the vector leg.
+    """
+    first = by_vector.join(asked, "query_id").filter(F.col("_blank") | (F.col("ord") <= F.col("_depth"))).drop("_depth", "_wanted")
+    second = by_text.join(asked.select("query_id", "_depth"), "query_id").filter(F.col("ord") <= F.col("_depth"))
     blank = F.coalesce(F.col("_blank"), F.lit(False))
-    scores = fused.select(
+    scores = reciprocal_rank(first, second, cfg.rrf_k).select(
         "query_id", "chunk_id", F.when(blank, similarity(F.col("distance"))).otherwise(F.col("score")).alias("score"),
         F.when(blank, "vector").otherwise("hybrid").alias("retrieval_mode"),
     )
-    return best_per_query(scores, limit, F.col("score").desc(), F.col("chunk_id"))
+    best = best_per_query(scores, limit, F.col("score").desc(), F.col("chunk_id"))
+    return best.join(asked.select("query_id", "_wanted"), "query_id").filter(F.col("ord") <= F.col("_wanted")).drop("_wanted")
+
+
+def retrieve_each(requests: DataFrame, blocks: list[list[tuple[int, Scope]]], tables: SearchTables, cfg: EngineConfig) -> DataFrame:
+    """The same for requests that bring their own filters and depth: (query_id, query, vector, scope_id, narrowing, candidates).
+
+    Each block of scopes is one search: its vectors and the postings of its terms are scanned once for all its queries.
+    The filters sit below the legs of every query, whatever compat_overfetch says.
+    """
+    hybrid = cfg.hybrid_search and tables.postings is not None
+    deep = F.greatest(F.lit(cfg.hybrid_depth), "candidates", F.lit(1)) * F.when(F.col("narrowing"), leg_depth(1, 1, True)).otherwise(1)
+    named = requests.withColumn("_depth", deep if hybrid else F.col("candidates"))
+    answers = []
+    for scopes in blocks:
+        mine = named.filter(F.col("scope_id").isin([i for i, _ in scopes]))
+        most = mine.agg(F.max("_depth").alias("depth"), F.max("candidates").alias("candidates")).first()
+        if most["depth"] is None:
+            continue
+        vectors = accepting(tables.chunks.select("chunk_id", "path", "vector"), scopes, cfg)
+        by_vector = nearest(mine, vectors, max(most["depth"], most["candidates"]))
+        if not hybrid:
+            found = by_vector.join(mine.select("query_id", "candidates"), "query_id").filter(F.col("ord") <= F.col("candidates"))
+            answers.append(_by_vector_alone(found))
+            continue
+        posted = accepting(tables.postings.select("chunk_id", "path", "term", "tf", "dl"), scopes, cfg)
+        by_text = best_chunks(mine.filter(~is_blank()), posted, tables.stats, blocks_of(tables), most["depth"], cfg.bm25_k1, cfg.bm25_b, scoped=True)
+        asked = mine.select("query_id", is_blank().alias("_blank"), "_depth", F.col("candidates").alias("_wanted"))
+        answers.append(_blended(by_vector, by_text, asked, most["candidates"], cfg).select("query_id", "chunk_id", "score", "ord", "retrieval_mode"))
+    if not answers:
+        kind = tables.chunks.schema["chunk_id"].dataType.simpleString()
+        return requests.sparkSession.createDataFrame([], f"query_id bigint, chunk_id {kind}, score double, ord int, retrieval_mode string")
+    return reduce(DataFrame.unionByName, answers)
+
+
+def blocks_of(tables: SearchTables) -> DataFrame:
+    """The stored blocks, or blocks counted from the postings."""
+    return term_blocks(tables.postings) if tables.blocks is None else tables.blocks
 
 
 def _overfetched(queries: DataFrame, tables: SearchTables, scope: PathScope, limit: int, cfg: EngineConfig) -> DataFrame:
@@ -163,6 +215,15 @@ def bucket_of(path: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
+def with_bodies(hits: DataFrame, tables: SearchTables, small: bool) -> DataFrame:
+    """Adds the text to the hits that are left after ranking."""
+    keys, columns = ["chunk_id"], ["chunk_id", F.col("body").alias("text")]
+    if tables.path_buckets and "path_bucket" in tables.chunks.columns:
+        keys, columns = ["path_bucket", "chunk_id"], [*columns, "path_bucket"]
+        hits = hits.withColumn("path_bucket", bucket_of(F.col("path"), tables.path_buckets))
+    return tables.chunks.select(*columns).join(F.broadcast(hits) if small else hits, keys).drop("path_bucket")
+
+
 def search_plan(
     queries: DataFrame, tables: SearchTables, cfg: EngineConfig, request: SearchRequest,
     make_scorer: Callable[[], PairScorer] | None = None, small: bool | None = None,
@@ -172,8 +233,37 @@ def search_plan(
     ``request`` gives the limit and the path filters of the whole batch.
     """
     candidates = max(request.limit, cfg.rerank_candidates)
-    # Hits and assessment both start here; the hits are retrieved once.
-    found = written(retrieve(queries, tables, path_scope(request, cfg), candidates, cfg), "hits")
+    found = retrieve(queries, tables, path_scope(request, cfg), candidates, cfg)
+    return _ranked(queries.withColumn("limit", F.lit(request.limit)), found, candidates, request.limit, tables, cfg, make_scorer, small)
+
+
+def search_requests(
+    requests: DataFrame, tables: SearchTables, cfg: EngineConfig, make_scorer: Callable[[], PairScorer] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Searches with filters of their own: (query_id, query, query_classifier, vector [, path_prefix, ext, lang, glob,
+    include_docs, limit]) -> (hits, assessment, rejected). Rejected requests, (query_id, error), have neither."""
+    if "limit" not in requests.columns:
+        requests = requests.withColumn("limit", F.lit(SearchRequest("*").limit))
+    named, blocks = compile_scopes(requests, cfg)
+    faults = [
+        F.when(F.coalesce(F.length("query"), F.lit(0)) < 1, "query must be a non-empty string"),
+        F.when(~F.coalesce(F.col("limit").between(1, MAX_LIMIT), F.lit(False)), f"limit must be an integer between 1 and {MAX_LIMIT}"),
+        F.when(~F.coalesce(F.col("query_classifier").isin(*QUERY_CLASSIFIERS), F.lit(False)), "unknown query_classifier"),
+    ]
+    named = written(named.withColumn("error", F.coalesce(*faults, "error")), "requests")
+    good = named.filter("error IS NULL").withColumn("candidates", F.greatest("limit", F.lit(cfg.rerank_candidates)))
+    found = retrieve_each(good, blocks, tables, cfg)
+    hits, assessment = _ranked(good, found, max(MAX_LIMIT, cfg.rerank_candidates), MAX_LIMIT, tables, cfg, make_scorer, None)
+    return hits, assessment, named.filter("error IS NOT NULL").select("query_id", "error")
+
+
+def _ranked(
+    queries: DataFrame, found: DataFrame, candidates: int, limit: int, tables: SearchTables, cfg: EngineConfig,
+    make_scorer: Callable[[], PairScorer] | None, small: bool | None,
+) -> tuple[DataFrame, DataFrame]:
+    """Hits of each query up to its own limit, and their assessment. Texts are read where the chunks lie, for the features;
+    what is ranked are numbers, and only final hits (or the pool of the pair model) get their text."""
+    found = written(found, "hits")
     # Wide candidate lists of many queries are joined by shuffle instead.
     small = is_small_batch(queries) if small is None else small
     hits = with_chunk_columns(found, tables, small and candidates <= 200)
@@ -181,19 +271,28 @@ def search_plan(
     if cfg.rerank_enabled:
         ranked = rerank(hits, features, cfg)
     else:
-        ranked = sort_by_focus(hits, features, cfg)
+        ranked = sort_by_focus(hits.drop("text", "terms"), features, cfg)
         if cfg.definition_boost_enabled and cfg.definition_boost > 0:
             ranked = sort_by_definition(ranked, features, cfg)
         ranked = ranked.withColumn("rerank_score", F.lit(None).cast("double"))
     ranked = ranked.withColumn("cross_encoder_logit", F.lit(None).cast("double"))
+    small = small and limit <= 200
     if cfg.cross_encoder_enabled and make_scorer is not None:
-        top = cross_encode(ranked, queries, make_scorer, request.limit, cfg)
+        pool = ranked.filter(F.col("ord") <= max(limit, cfg.cross_encoder_top_k))
+        top = cross_encode(with_bodies(pool, tables, small), queries, make_scorer, limit, cfg)
+        top = _within_limit(top, queries)
     else:
-        top = ranked.filter(F.col("ord") <= request.limit)
-    top = top.select(*HIT_COLUMNS, "retrieval_mode")
+        top = with_bodies(_within_limit(ranked.filter(F.col("ord") <= limit), queries), tables, small)
+    # Hits and assessment both read it; it is made once.
+    top = written(top.select(*HIT_COLUMNS, "retrieval_mode"), "top")
     return top, confidence.assess(queries, top, cfg)
 
 
+def _within_limit(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    own = queries.select("query_id", F.col("limit").alias("_limit"))
+    return hits.join(own, "query_id").filter(F.col("ord") <= F.col("_limit")).drop("_limit")
+
+
 def snippet(text: Column) -> Column:
     return F.when(
         F.length(text) > MAX_SNIPPET_CHARS, F.concat(F.substr(text, F.lit(1), F.lit(MAX_SNIPPET_CHARS)), F.lit("…"))
