@@ -23,6 +23,8 @@ from seekspark.llm.common import batch_of, narrow, slices, small_batches
 UNDETERMINED = "und"
 MAX_LANGUAGES = 512
 _PIECE = 1 << 18
+#: Scores held at once, of characters by languages.
+_CELLS = 1 << 22
 #: Bytes of text scored at once; the arrays made of them take some hundred times as much.
 SLICE = 1 << 18
 
@@ -65,10 +67,10 @@ def _buckets(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
     return ((mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def _pieces(text: str, overlap: int) -> Iterator[np.ndarray]:
+def _pieces(text: str, overlap: int, size: int = _PIECE) -> Iterator[np.ndarray]:
     """The text's codes in bounded pieces; each n-gram of the longest order lies in exactly one, shorter ones may in two."""
-    for start in range(0, max(1, len(text)), _PIECE):
-        yield _codes(text[max(0, start - overlap):start + _PIECE])
+    for start in range(0, max(1, len(text)), size):
+        yield _codes(text[max(0, start - overlap):start + size])
 
 
 def has_letter(text: str | None) -> bool:
@@ -121,31 +123,45 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return LanguageModel(langs, weights, config)
 
 
+def _add_up(parts: list[np.ndarray], owners: list[int], totals: np.ndarray, model: LanguageModel) -> None:
+    """Adds the log-probabilities of the n-grams of the parts to the totals of their texts."""
+    lengths = np.array([len(p) for p in parts])
+    codes = np.concatenate(parts)
+    ends = np.cumsum(lengths)
+    for order in model.config.orders:
+        buckets = _buckets(codes, order, model.config.bits)
+        for k in range(1, order):  # n-grams that reach into the next part count nothing
+            at = ends - k
+            buckets[at[(at >= 0) & (at < len(buckets))]] = 1 << model.config.bits
+        gathered = np.zeros((len(codes), len(model.langs)))
+        np.take(model.weights, buckets, axis=0, out=gathered[:len(buckets)])
+        np.add.at(totals, owners, np.add.reduceat(gathered, ends - lengths, axis=0))
+
+
 def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
-    """Predicted language and its posterior under equal priors, for a slice of texts."""
+    """Predicted language and its posterior under equal priors, for a slice of texts.
+
+    Pieces are added up as they come: what is held at once has a bound, however long a text is and however many languages.
+    """
     width, size = max(model.config.orders) - 1, len(texts)
-    parts, owners = [], []
+    piece = max(1024, min(_PIECE, _CELLS // max(1, len(model.langs))))
+    totals, seen = np.zeros((size, len(model.langs))), []
+    parts, owners, held = [], [], 0
     for i, text in enumerate(texts):
-        if model.langs and has_letter(text):
-            for codes in _pieces(text, width):
-                parts.append(codes)
-                owners.append(i)
-    totals = np.zeros((size, len(model.langs)))
+        if not model.langs or not has_letter(text):
+            continue
+        seen.append(i)
+        for codes in _pieces(text, width, piece):
+            parts.append(codes)
+            owners.append(i)
+            held += len(codes)
+            if held >= 2 * piece:
+                _add_up(parts, owners, totals, model)
+                parts, owners, held = [], [], 0
     if parts:
-        lengths = np.array([len(p) for p in parts])
-        codes = np.concatenate(parts)
-        ends = np.cumsum(lengths)
-        for order in model.config.orders:
-            buckets = _buckets(codes, order, model.config.bits)
-            for k in range(1, order):  # n-grams that reach into the next part count nothing
-                at = ends - k
-                buckets[at[(at >= 0) & (at < len(buckets))]] = 1 << model.config.bits
-            gathered = np.zeros((len(codes), len(model.langs)))
-            np.take(model.weights, buckets, axis=0, out=gathered[:len(buckets)])
-            np.add.at(totals, owners, np.add.reduceat(gathered, ends - lengths, axis=0))
+        _add_up(parts, owners, totals, model)
     langs, scores = [UNDETERMINED] * size, np.zeros(size)
-    if parts:
-        seen = np.unique(owners)
+    if seen:
         best = totals[seen].argmax(axis=1)
         likely = np.exp(totals[seen] - totals[seen].max(axis=1, keepdims=True))
         scores[seen] = 1.0 / likely.sum(axis=1)
@@ -185,8 +201,13 @@ def identify(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Data
 
 
 def keep_identified(docs: DataFrame, columns: list[str], config: LanguageConfig = LanguageConfig(), least: float = 0.5) -> DataFrame:
-    """The documents whose language is determined with a posterior of `least` or more; the others go."""
+    """The documents whose language is determined with a posterior of `least` or more; the others go.
+
+    Where no label says what a language is, none can be rejected: every text with a letter stays.
+    """
     model = fit(docs.filter(~is_held_out() & F.col("doc_id").isNotNull()), config=config)
+    if not model.langs:
+        return docs.select(*columns).filter(F.col("text").rlike(r"\p{L}"))
     # The predicted columns get names that no document column has.
     judged = predict(docs.select(*columns), model, columns)
     return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*columns)

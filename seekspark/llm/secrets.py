@@ -31,9 +31,10 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from seekspark.llm.common import slices, small_batches
 from seekspark.llm.spans import Found, with_spans
 
 KINDS = ("assign", "access", "hex")
@@ -78,6 +79,12 @@ class Layer:
             return start, end
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def starts_of(self, at: np.ndarray) -> np.ndarray:
+        return at if self.starts is None else self.starts[at]
+
+    def ends_of(self, at: np.ndarray) -> np.ndarray:
+        return at + 1 if self.ends is None else self.ends[at]
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         if self.starts is None:
             own = np.arange(len(self.text), dtype=np.int64)
@@ -332,11 +339,11 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
             yield from _from_bytes(raw, lambda i, n, skip=skip, at=at, stop_at=stop_at: layer.place(int(at[skip + i * 8 // 6]), stop_at))
             for plain, first, last in _texts(raw):
-                starts, ends = layer.arrays()
                 begin, stop = skip + first * 8 // 6, skip + -(-last * 8 // 6)
-                behind = ends[at[np.minimum(stop, skip + len(body)) - 1]]
-                behind[-1] = ends[stop_at - 1]  # the padding belongs to the last character
-                yield Layer(plain, starts[at[begin]], behind)
+                # Only the places of the run are made: arrays as long as the layer would cost its length for every run.
+                behind = layer.ends_of(at[np.minimum(stop, skip + len(body)) - 1])
+                behind[-1] = layer.ends_of(np.array([stop_at - 1]))[0]  # the padding belongs to the last character
+                yield Layer(plain, layer.starts_of(at[begin]), behind)
 
 
 def _from_escaped_bytes(layer: Layer) -> Iterator[Layer]:
@@ -400,21 +407,34 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return with_spans(docs, find_secrets, keep, text)
 
 
+def masked(text: str, mark: str) -> str:
+    """The text with every span replaced by the mark, overlapping spans as one."""
+    out, at = [], 0
+    for start, end in sorted({(s, e) for _, s, e, _ in find_secrets(text)}, key=lambda x: (x[0], -x[1])):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def mask(docs: DataFrame, columns: list[str], mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every span replaced by the mark, overlapping spans as one; n_chars follows the text."""
-    found = scan(docs.select(*[f"`{c}`" for c in columns]), columns)
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    ordered = F.array_sort(F.col("spans"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
-    body = F.col("text")
-
-    def step(done, s):
-        fresh = s["start"] >= done["at"]
-        return F.struct(
-            F.when(fresh, F.concat(done["out"], body.substr(done["at"] + 1, s["start"] - done["at"]), F.lit(mark))).otherwise(done["out"]).alias("out"),
-            F.greatest(done["at"], s["end"]).alias("at"),
-        )
-
-    masked = F.aggregate(ordered, zero, step, lambda d: F.concat(d["out"], body.substr(d["at"] + 1, F.length(body))))
-    changed = found.withColumn("_masked", F.when(F.size("spans") > 0, masked).otherwise(body))
-    replaced = {"text": F.col("_masked"), "n_chars": F.when(F.size("spans") > 0, F.length("_masked").cast("long")).otherwise(F.col("n_chars"))}
-    return changed.select(*[replaced.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
+    """The documents with every span replaced by the mark, overlapping spans as one; n_chars follows the text.
+
+    The text is put together where its spans are found, in time that grows with its length.
+    """
+    rows = docs.select(*[f"`{c}`" for c in columns])
+    place = columns.index("text")
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            texts = part.column("text").to_pylist()
+            fresh = [t if t is None else masked(t, mark) for t in texts]
+            arrays = [part.column(i) for i in range(len(columns))]
+            arrays[place] = pa.array(fresh, pa.string())
+            if "n_chars" in columns:
+                old = part.column("n_chars").to_pylist()
+                counts = [n if f == t else len(f) for n, t, f in zip(old, texts, fresh, strict=True)]
+                arrays[columns.index("n_chars")] = pa.array(counts, part.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return small_batches(rows).mapInArrow(run, rows.schema)

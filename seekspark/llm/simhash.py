@@ -48,7 +48,7 @@ class SimhashConfig:
 
 
 # ---- fingerprints ------------------------------------------------------------------------------------
-def _words(text: str, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+def _words(text: str, piece: int = 1 << 18) -> Iterator[list[bytes]]:
     """Lower-cased words (A-Z only; words end at ASCII white space), in bounded lists."""
     raw = text.encode("utf-8", "surrogatepass").lower()
     if len(raw) <= piece:
@@ -82,17 +82,25 @@ def shingle_hashes(text: str, shingle: int, seed: int) -> Iterator[np.ndarray]:
 
 def fingerprints_of(texts: list[str | None], config: SimhashConfig) -> np.ndarray:
     """Unsigned fingerprints: a bit is 1 if it is set in over half of the hashes."""
-    pieces, owners = [], []
-    for i, text in enumerate(texts):
-        for hashes in shingle_hashes(text or "", config.shingle, config.seed):
-            pieces.append(hashes)
-            owners.append(i)
     sums, sizes = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
-    if pieces:
+    pieces, owners, held = [], [], 0
+
+    def add_up() -> None:
         lengths = np.array([len(p) for p in pieces])
         bits = np.unpackbits(np.concatenate(pieces).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         np.add.at(sums, owners, np.add.reduceat(bits, np.cumsum(lengths) - lengths, axis=0, dtype=np.int64))
         np.add.at(sizes, owners, lengths)
+
+    for i, text in enumerate(texts):
+        for hashes in shingle_hashes(text or "", config.shingle, config.seed):
+            pieces.append(hashes)
+            owners.append(i)
+            held += len(hashes)
+            if held >= 1 << 16:
+                add_up()
+                pieces, owners, held = [], [], 0
+    if pieces:
+        add_up()
     return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 

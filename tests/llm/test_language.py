@@ -3,9 +3,11 @@
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seekspark.llm import language
 from seekspark.llm.language import LanguageConfig
@@ -74,3 +76,24 @@ def test_held_out_accuracy(spark):
     judged = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL")
     right, n = judged.filter("lang = lang_pred").count(), judged.count()
     assert n > 100 and right >= 0.98 * n
+
+
+def test_texts_of_any_length_are_scored_in_bounded_memory():
+    config = language.LanguageConfig()
+    rng = np.random.default_rng(1)
+    model = language.LanguageModel([f"l{i}" for i in range(64)], np.vstack([rng.normal(size=(1 << config.bits, 64)), np.zeros((1, 64))]), config)
+    long = "the quick brown fox " * 100_000
+    tracemalloc.start()
+    langs, scores = language.score_texts(["short text", long, None], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # all n-grams at once would take 1 GB
+    assert langs[1] != "und" and langs[2] == "und" and 0 < scores[1] <= 1
+    assert language.score_texts([long], model)[0] == langs[1:2]
+
+
+def test_without_labels_every_text_with_a_letter_stays(spark):
+    rows = [(1, "some words", None), (2, "", None), (3, None, None), (4, "12 !", None), (None, "été", None), (2, "x", "fr")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    unlabelled = frame.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.text for r in language.keep_identified(unlabelled, ["doc_id", "text"]).collect()) == ["some words", "x", "été"]

@@ -1,6 +1,7 @@
 """Fingerprints, links and components against brute force."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -92,3 +93,16 @@ def test_documents(spark):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
     kept = Counter(r.doc_id for r in simhash.one_of_each(frame, ["doc_id", "text"]).collect())
     assert kept[99] == 1 and 100 not in kept and kept[96] == 1 and kept[None] == 1
+
+
+def test_texts_of_any_length_are_hashed_in_bounded_memory():
+    config = simhash.SimhashConfig()
+    long = " ".join(f"w{i % 7919}" for i in range(2_000_000))
+    tracemalloc.start()
+    made = simhash.fingerprints_of(["a b c d e", long, None], config)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20  # the bits of all shingles at once would take as much again, in bytes
+    hashes = np.concatenate(list(simhash.shingle_hashes(long, config.shingle, config.seed)))
+    want = sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
+    assert int(made[1]) == want and made[2] == 0

@@ -7,6 +7,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -219,3 +220,20 @@ def test_masking(spark):
     got = {r["doc_id"]: r for r in secrets.mask(frame, ["doc_id", "text", "n_chars"]).collect()}
     assert got[1]["text"] == "a [SECRET] b [SECRET] c" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "clean" and got[2]["n_chars"] == 5 and got[3]["text"] is None
+
+
+def test_time_grows_with_the_text_not_with_its_square():
+    lines = [f"key {_b64(f'password=hunter{i:09d}')} end" for i in range(20_000)]
+    start = time.perf_counter()
+    found = secrets.find_secrets("\n".join(lines))
+    assert sum(not base for *_, base in found) >= 20_000
+    assert time.perf_counter() - start < 20
+    many = "token=abcdefgh1 x\n" * 20_000
+    start = time.perf_counter()
+    assert secrets.masked(many, "[SECRET]") == "[SECRET] x\n" * 20_000
+    assert time.perf_counter() - start < 10
+
+
+def test_masking_of_overlapping_and_adjacent_spans(monkeypatch):
+    monkeypatch.setattr(secrets, "find_secrets", lambda text: [("hex", 1, 4, True), ("assign", 2, 6, True), ("hex", 6, 8, True), ("hex", 1, 2, False)])
+    assert secrets.masked("0123456789", "#") == "0##89"
