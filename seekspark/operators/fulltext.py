@@ -66,12 +66,13 @@ def has_few_terms(queries: DataFrame) -> bool:
 
 def bm25(
     queries: DataFrame, posted: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75,
-    allowed: Column | None = None, few_terms: bool | None = None, frequencies: DataFrame | None = None,
+    allowed: Column | None = None, few_terms: bool | None = None, frequencies: DataFrame | None = None, scoped: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk sharing a term with the query.
 
     ``stats`` is one row. ``allowed`` restricts the results, the statistics stay those of the corpus. ``frequencies`` is a
-    stored (term, df) table; without one the postings are counted.
+    stored (term, df) table; without one the postings are counted. scoped: the postings have the array of `scopes` that accept
+    them, the queries a scope_id.
     """
     few_terms = has_few_terms(queries) if few_terms is None else few_terms
     wanted = query_terms(queries)
@@ -82,7 +83,9 @@ def bm25(
     weighted = wanted.join(frequencies, "term").select(
         "query_id", "term", (F.col("qtf") * inverse_frequency(F.col("df"), n_docs)).alias("weight")
     )
-    pool = (posted if allowed is None else posted.filter(allowed)).select("chunk_id", "term", "tf", "dl")
+    if scoped:
+        weighted = weighted.join(queries.select("query_id", "scope_id"), "query_id")
+    pool = (posted if allowed is None else posted.filter(allowed)).select("chunk_id", "term", "tf", "dl", *(["scopes"] if scoped else []))
     if few_terms:
         # One exchange, of the postings of the query terms; the aggregation below needs none.
         dealt = pool.join(F.broadcast(terms), "term", "left_semi").repartition("chunk_id")
@@ -91,6 +94,8 @@ def bm25(
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")
         spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         matched = pool.withColumn("_salt", salt).join(spread, ["term", "_salt"])
+    if scoped:
+        matched = matched.filter(F.array_contains("scopes", F.col("scope_id")))
     score = F.col("weight") * term_score(F.col("tf"), F.col("dl"), avg_dl, k1, b)
     # Rounding makes chunks of equal text tie, in whatever order their terms were added up.
     return matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), 9).alias("score"))

@@ -800,5 +800,35 @@ def index_stats(spark, sf):
     return index.stats().select("indexed_file_count", "chunk_count", *[terms.select(c).scalar().alias(c) for c in terms.columns])
 
 
+@register
+def index_versions(spark, sf):
+    """A reader of the version before an upsert beside one of the version after it: chunks, postings and counts of each."""
+    place = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = CodeIndex(spark, CFG.with_(index_dir=place, path_buckets=4, code_aware_chunking=False)).open()
+    now = files(spark, sf)
+    index.index_table(now.filter("doc_id % 7 <> 1").select("path", F.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("old\n"), "text")).otherwise(F.col("text")).alias("text")))
+    before = index.at()
+    index.index_table(now.select("path", "text"))
+
+    def seen(state: str, reader: CodeIndex) -> DataFrame:
+        counts = [reader.table(name).agg(F.count("*").alias("n")).scalar() for name in ("postings", "file_manifest")]
+        return reader.table("chunks").select(
+            F.lit(state).alias("state"), "path", "start_line", "end_line", "body", counts[0].alias("n_postings"), counts[1].alias("n_files"))
+
+    return seen("old", before).unionByName(seen("new", index.at()))
+
+
+@register
+def index_migrated(spark, sf):
+    """Chunks written by an engine without two of the columns: read with defaults, which a later change writes along."""
+    index, now = _index(spark), source_files(spark, sf)
+    index.index_table(now.select("path", "text"))
+    version, old = index.version() + 1, index.table("chunks").drop("definition_of", "dl")
+    old.write.partitionBy("path_bucket").parquet(f"{index.cfg.index_dir}/chunks/version={version}")
+    index._commit(version, {"chunks": range(index.cfg.path_buckets)})
+    index.remove_table(now.filter("doc_id % 3 = 0").select("path"))
+    return index.table("chunks").select("path", "start_line", "end_line", "definition_of", "dl")
+
+
 def everything() -> dict[str, Query]:
     return dict(CATALOG)

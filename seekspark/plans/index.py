@@ -1,8 +1,10 @@
-"""The index: Parquet tables partitioned by a hash of the path, and the calls that keep and search them.
+"""The index: versioned Parquet tables partitioned by a hash of the path, and the calls that keep and search them.
 
-A change rewrites only the buckets its paths fall into. Each such bucket also gets one marker row
-without a path, so that a bucket whose last file is gone is still overwritten. The manifest, which
-says what is indexed, is written after the chunks: a job that dies in between is simply repeated.
+A change writes the buckets its paths fall into, whole, into folders of a new version, and never touches older ones. When
+all tables are written, one row is appended to the log of versions; from then on it is the current one. The row says which
+buckets of which table the version holds, so a version is put together from the last folder of every bucket. A job that
+dies before that row leaves nothing that anybody reads, and is simply repeated. `at` gives a reader of one version: what it
+reads stays the same, however the index moves on. There is one writer at a time; old versions are not deleted.
 Choose ``path_buckets`` so that a bucket holds a few hundred megabytes.
 """
 
@@ -13,9 +15,10 @@ import logging
 import os
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,69 +34,129 @@ from seekspark.plans.search import (
     with_vectors,
 )
 from seekspark.sources.files import accepted, not_below, read_texts, stat_files, walk_files
-from seekspark.session import shared_folder
+from seekspark.session import shared_folder, written
 
 log = logging.getLogger(__name__)
 BUCKET_STATS = schemas.struct("path_bucket:int n_chunks:bigint n_terms:bigint path:string")
+VERSIONS = schemas.struct("version:bigint tables:string wiped:boolean embedding_model:string embedding_dim:int watch_root:string last_full_scan_at:timestamp")
 TERM_DF = schemas.struct("term:string level:int df:bigint max_tf:bigint min_dl:bigint path:string path_bucket:int")
 STAGED = {"chunks": schemas.CHUNKS, "term_df": TERM_DF, "postings": schemas.POSTINGS, "file_manifest": schemas.MANIFEST, "bucket_stats": BUCKET_STATS}
 
 
+#: What stands in for a column that older folders lack.
+DEFAULTS: dict[str, dict[str, Callable[[], Column]]] = {"chunks": {"definition_of": lambda: F.lit(""), "dl": lambda: chunk_length()}}
+
+
+def searchable() -> Column:
+    """The text of a chunk that its postings are made of."""
+    return F.concat_ws(" ", "header", "body")
+
+
+def chunk_length() -> Column:
+    return F.size(fulltext.index_terms(searchable())).cast("bigint")
+
+
 class CodeIndex:
     """Open it with a session and a configuration; every call returns DataFrames or plain values."""
 
     def __init__(self, spark: SparkSession, cfg: EngineConfig, make_scorer: Callable[[], PairScorer] | None = None):
         self.spark, self.cfg, self.make_scorer = spark, cfg, make_scorer
+        self.pinned: int | None = None
+        self._held: list[Row] | None = None
 
-    # ---- tables ----------------------------------------------------------------------------------
+    # ---- versions ----------------------------------------------------------------------------------
     def _where(self, name: str) -> str:
         return os.path.join(self.cfg.index_dir, name)
 
+    def _log(self) -> list[Row]:
+        """The versions up to the pinned one, oldest first: one row for each change of the index. A reader of one version reads
+        them once."""
+        if self._held is not None:
+            return self._held
+        try:
+            rows = self.spark.read.schema(VERSIONS).json(self._where("versions")).collect()
+        except AnalysisException:
+            return []
+        found = sorted((r for r in rows if self.pinned is None or r["version"] <= self.pinned), key=lambda r: r["version"])
+        if self.pinned is not None:
+            self._held = found
+        return found
+
+    def version(self) -> int:
+        """The number of the current (or pinned) version, 0 before the first."""
+        log_rows = self._log()
+        return log_rows[-1]["version"] if log_rows else 0
+
+    def at(self, version: int | None = None) -> CodeIndex:
+        """A reader of that version, by default of the one that is current now."""
+        rows = [r for r in self._log() if version is None or r["version"] <= version]
+        reader = CodeIndex(self.spark, self.cfg, self.make_scorer)
+        reader.pinned, reader._held = rows[-1]["version"] if rows else 0, rows
+        return reader
+
+    def _commit(self, version: int, tables: dict[str, Sequence[int]], wiped: bool = False, scanned: bool = False) -> None:
+        """Appends the row of a version. It is one file, so it is there as a whole or not at all."""
+        previous = self.read_meta() or {}
+        row = (version, json.dumps({k: list(v) for k, v in tables.items()}), wiped, self.cfg.embedding_model, self.cfg.embedding_dim,
+               self.cfg.watch_root, None if wiped else previous.get("last_full_scan_at"))
+        frame = self.spark.createDataFrame([row], VERSIONS)
+        if scanned:
+            frame = frame.withColumn("last_full_scan_at", F.current_timestamp())
+        frame.coalesce(1).write.mode("append").json(self._where("versions"))
+
+    def _folders(self, name: str) -> dict[int, list[int]]:
+        """For each version the buckets of a table that it is the last to hold."""
+        last: dict[int, int] = {}
+        for row in self._log():
+            if row["wiped"]:
+                last.clear()
+            last.update(dict.fromkeys(json.loads(row["tables"]).get(name, []), row["version"]))
+        folders: dict[int, list[int]] = {}
+        for bucket, version in last.items():
+            folders.setdefault(version, []).append(bucket)
+        return folders
+
+    # ---- tables ----------------------------------------------------------------------------------
     def table(self, name: str, buckets: Sequence[int] | None = None) -> DataFrame:
-        """A table of the index, empty if it was never written. ``buckets`` prunes the scan."""
-        schema = STAGED[name]
+        """A table of the index, empty if it was never written. ``buckets`` prunes the scan.
+
+        A column that a folder lacks, as an older engine wrote it, is filled as DEFAULTS says; it is written along when its
+        bucket is written next.
+        """
+        schema, folders = STAGED[name], self._folders(name)
+        if buckets is not None:
+            wanted = set(buckets)
+            folders = {v: [b for b in held if b in wanted] for v, held in folders.items()}
+        parts = [(F.col("version") == v) & F.col("path_bucket").isin(held) for v, held in sorted(folders.items()) if held]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
         try:
-            frame = self.spark.read.schema(schema).parquet(self._where(name))
+            frame = self.spark.read.schema(schemas.versioned(schema)).parquet(self._where(name))
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
-        frame = frame.filter(F.col("path").isNotNull())
-        return frame if buckets is None else frame.filter(F.col("path_bucket").isin(list(buckets)))
+        frame = frame.filter(reduce(lambda a, b: a | b, parts))
+        filled = {c: F.coalesce(c, default()).alias(c) for c, default in DEFAULTS.get(name, {}).items()}
+        return frame.select(*[filled.get(c, F.col(c)) for c in schema.names])
 
     def is_indexed(self) -> bool:
-        try:
-            self.spark.read.schema(schemas.CHUNKS).parquet(self._where("chunks"))
-        except AnalysisException:
-            return False
-        return True
-
-    def _overwrite(self, frame: DataFrame, name: str, buckets: Sequence[int], *order: str) -> None:
-        columns = STAGED[name].names
-        nulls = [F.lit(None).cast(STAGED[name][c].dataType).alias(c) for c in columns if c != "path_bucket"]
-        markers = self.spark.createDataFrame([(b,) for b in buckets], "path_bucket int").select(*nulls, "path_bucket")
-        whole = frame.select(*columns).unionByName(markers.select(*columns))
-        (
-            whole.hint("rebalance", "path_bucket").sortWithinPartitions("path_bucket", *order)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path_bucket")
-            .parquet(self._where(name))
-        )
+        return bool(self._folders("chunks"))
+
+    def _write(self, frame: DataFrame, name: str, version: int, *order: str) -> None:
+        """A table's buckets of a version that is not committed yet; what a dead attempt left there goes."""
+        target = f"{self._where(name)}/version={version}"
+        frame.select(*STAGED[name].names).hint("rebalance", "path_bucket").sortWithinPartitions("path_bucket", *order).write.mode(
+            "overwrite").option("partitionOverwriteMode", "static").partitionBy("path_bucket").parquet(target)
+
+    def _written(self, name: str, version: int) -> DataFrame:
+        """What was just written of a version, before it is committed."""
+        schema = STAGED[name]
+        return self.spark.read.schema(schema).parquet(f"{self._where(name)}/version={version}").select(*schema.names)
 
     # ---- meta --------------------------------------------------------------------------------------
     def read_meta(self) -> dict | None:
-        """Tolerant: anything unreadable counts as absent."""
-        try:
-            row = self.spark.read.schema(schemas.META).json(self._where("index_meta")).first()
-        except AnalysisException:
-            return None
-        return row.asDict() if row else None
-
-    def _write_meta(self, scanned: bool) -> None:
-        previous = self.read_meta() or {}
-        meta = self.spark.createDataFrame(
-            [(self.cfg.embedding_model, self.cfg.embedding_dim, self.cfg.watch_root, previous.get("last_full_scan_at"))], schemas.META
-        )
-        if scanned:
-            meta = meta.withColumn("last_full_scan_at", F.current_timestamp())
-        meta.coalesce(1).write.mode("overwrite").json(self._where("index_meta"))
+        """Model, dimension, root and time of the last scan; None before the first version."""
+        rows = self._log()
+        return {f: rows[-1][f] for f in schemas.META.names} if rows else None
 
     def open(self) -> CodeIndex:
         """Prepares the index for writing: a changed model, dimension or root empties it."""
@@ -104,16 +167,13 @@ class CodeIndex:
         )
         if meta and not same:
             log.warning("model, dimension or root changed; the index starts anew")
-            self.wipe()
         if not same:
-            self._write_meta(scanned=False)
+            self.wipe()
         return self
 
     def wipe(self) -> None:
-        for name, schema in STAGED.items():
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("path_bucket").parquet(self._where(name))
-        self.spark.createDataFrame([], schemas.META).write.mode("overwrite").json(self._where("index_meta"))
+        """A version without any rows; readers of older ones keep theirs."""
+        self._commit(self.version() + 1, {}, wiped=True)
 
     # ---- writing -----------------------------------------------------------------------------------
     def _bucket(self, frame: DataFrame) -> DataFrame:
@@ -127,51 +187,61 @@ class CodeIndex:
             "header": storage_header(F.col("path")),
             "vector": embed_column(embedding_text(self.cfg.embed_definition_tag), self.cfg),
             "definition_of": F.coalesce("definition_of", F.lit("")),
-        })
+        }).withColumn("dl", chunk_length())
         return self._bucket(rows).select(*schemas.CHUNKS.names)
 
-    def _index(self, listed: DataFrame, removed: DataFrame, read: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
-        """Brings the tables up to the listed files (path, size, mtime_ms) and drops the removed paths.
+    def _index(self, listed: DataFrame, removed: DataFrame, source: Callable[[], DataFrame] | None = None, scanned: bool = False) -> dict[str, int]:
+        """Brings the tables up to the listed files (path, size, mtime_ms) and drops the removed paths, as one version.
 
-        read: adds text and error to the files that need it; by default they are opened below the root. max_file_bytes holds
-        for files only, not for texts that `read` has at hand.
+        source: gives (path, text) of texts at hand; the listing then has their sha256, only it is staged, and max_file_bytes
+        does not hold. By default the files are opened below the root, and what was read is staged.
         """
+        if self.pinned is not None:
+            raise ConfigError("a reader of one version does not write")
         staging = f"{shared_folder(self.spark)}/staging-{uuid.uuid4().hex}"
-        known = changes.with_known_state(listed, self.table("file_manifest"))
-        too_large = F.lit(False) if read else F.col("size") > self.cfg.max_file_bytes
-        # Counted now: the manifest is rewritten below.
+        now = self.at()
+        version = now.pinned + 1
+        known = changes.with_known_state(listed, now.table("file_manifest"))
+        too_large = F.lit(False) if source else F.col("size") > self.cfg.max_file_bytes
         left = known.agg(
             F.count_if(changes.stat_unchanged() & ~too_large).alias("stat_skipped"), F.count_if(too_large).alias("too_large")
         ).first().asDict()
         pending = known.filter(~changes.stat_unchanged() & ~too_large)
-        texts = read(pending) if read else read_texts(pending, self.cfg)
-        read_once = texts.withColumn("sha256", changes.content_hash(F.col("text")))
-        # Staged once: reading files again for every table could see other contents.
+        if source:
+            read_once = pending.withColumn("error", F.lit(None).cast("string"))
+        else:
+            # Staged with their texts: reading files again for every table could see other contents.
+            read_once = read_texts(pending, self.cfg).withColumn("sha256", changes.content_hash(F.col("text")))
         self._bucket(read_once).write.parquet(f"{staging}/files")
         staged = self.spark.read.parquet(f"{staging}/files")
         good = staged.filter("error IS NULL")
         changed = good.filter(~changes.hash_unchanged())
-        if self.cfg.strict_size and not read:
+        if self.cfg.strict_size and not source:
             removed = removed.unionByName(listed.filter(F.col("size") > self.cfg.max_file_bytes).select("path"))
         self._bucket(removed.select("path").distinct()).write.parquet(f"{staging}/removed")
         gone = self.spark.read.parquet(f"{staging}/removed")
-        self._chunk_rows(changed).write.parquet(f"{staging}/chunks")
-        fresh = self.spark.read.schema(schemas.CHUNKS).parquet(f"{staging}/chunks")
         touched = changed.select("path", "path_bucket").unionByName(gone.select("path", "path_bucket"))
         buckets = sorted(r.path_bucket for r in touched.select("path_bucket").distinct().collect())
+        tables: dict[str, list[int]] = {}
         if buckets:
-            self._rewrite(fresh, touched, buckets)
+            texts = changed
+            if source:
+                texts = source().join(changed.select("path", "sha256"), ["path", "sha256"], "left_semi")
+            now._rewrite(self._chunk_rows(texts), touched, buckets, version)
+            tables = dict.fromkeys(("chunks", "postings", "term_df", "bucket_stats"), buckets)
         known_files = good.select(*schemas.MANIFEST.names)
         dropped = known_files.select("path", "path_bucket").unionByName(gone.select("path", "path_bucket"))
         entries = sorted(r.path_bucket for r in dropped.select("path_bucket").distinct().collect())
         if entries:
-            manifest = changes.upsert(self.table("file_manifest", entries), known_files, dropped)
-            self._overwrite(manifest, "file_manifest", entries, "path")
+            self._write(changes.upsert(now.table("file_manifest", entries), known_files, dropped), "file_manifest", version, "path")
+            tables["file_manifest"] = entries
         counts = staged.agg(
             F.count_if(F.expr("error IS NULL") & ~changes.hash_unchanged()).alias("indexed"),
             F.count_if(F.expr("error IS NULL") & changes.hash_unchanged()).alias("hash_skipped"),
             F.count_if(F.expr("error IS NOT NULL")).alias("failed"),
         ).first().asDict()
+        if tables or scanned:
+            self._commit(version, tables, scanned=scanned or counts["indexed"] > 0)
         if counts["failed"]:
             log.warning("%s files could not be read; they are tried again next time", counts["failed"])
         if left["too_large"]:
@@ -179,41 +249,44 @@ class CodeIndex:
             log.warning("%s files are larger than max_file_bytes and %s", left["too_large"], kept)
         return {**counts, **left, "removed": gone.count()}
 
-    def _rewrite(self, fresh: DataFrame, touched: DataFrame, buckets: list[int]) -> None:
-        chunks = changes.upsert(self.table("chunks", buckets), fresh, touched)
-        self._overwrite(chunks, "chunks", buckets, "path", "chunk_id")
-        searchable = F.concat_ws(" ", "header", "body")
-        posted = fulltext.postings(fresh, searchable, ("chunk_id", "path", "path_bucket"))
-        kept = changes.upsert(self.table("postings", buckets), posted, touched)
-        self._overwrite(kept, "postings", buckets, "term")
-        counted = blockmax.term_blocks(self.table("postings", buckets), "path_bucket")
-        self._overwrite(counted.withColumn("path", F.lit("*")), "term_df", buckets, "term")
+    def _rewrite(self, fresh: DataFrame, touched: DataFrame, buckets: list[int], version: int) -> None:
+        """Chunks, then all that follows from them, into the folders of a version. Fresh chunks are written once and read back."""
+        self._write(changes.upsert(self.table("chunks", buckets), fresh, touched), "chunks", version, "path", "chunk_id")
+        chunks = self._written("chunks", version)
+        paths = touched.select("path").distinct()
+        posted = fulltext.postings(chunks.join(paths, "path", "left_semi"), searchable(), ("chunk_id", "path", "path_bucket"))
+        self._write(changes.upsert(self.table("postings", buckets), posted, touched), "postings", version, "term")
+        counted = blockmax.term_blocks(self._written("postings", version), "path_bucket")
+        self._write(counted.withColumn("path", F.lit("*")), "term_df", version, "term")
         # The lengths come from the chunk table, which also counts chunks without any term.
-        now = self.table("chunks", buckets).select("path_bucket", F.size(fulltext.index_terms(searchable)).cast("bigint").alias("dl"))
-        sums = now.groupBy("path_bucket").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_terms"))
-        self._overwrite(sums.withColumn("path", F.lit("*")), "bucket_stats", buckets)
+        sums = chunks.groupBy("path_bucket").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_terms"))
+        self._write(sums.withColumn("path", F.lit("*")), "bucket_stats", version)
 
     # ---- tables as input ---------------------------------------------------------------------------
     def index_table(self, texts: DataFrame, remove_missing: bool = False) -> dict[str, int]:
         """Indexes (path, text [, mtime_ms]) rows of any source instead of files below the root.
 
-        Paths are repo-relative and unique. The path rules of a file scan hold, without an ignore file. Without mtime_ms a
-        text counts as changed unless its hash is known. Texts may have any length. With ``remove_missing``, indexed paths that the table lacks go.
+        Paths are repo-relative. Of several rows of one path the latest counts (greatest mtime_ms, then greatest hash). The
+        path rules of a file scan hold, without an ignore file. Without mtime_ms a text counts as changed unless its hash is
+        known. Texts may have any length. With ``remove_missing``, indexed paths that the table lacks go.
         """
         mtime = F.col("mtime_ms").cast("double") if "mtime_ms" in texts.columns else F.lit(None).cast("double")
         rows = texts.select("path", F.coalesce("text", F.lit("")).alias("text"), mtime.alias("mtime_ms")).filter(
-            accepted(self.cfg, patterns=root_ignore_patterns(None)))
-        listed = rows.select("path", F.octet_length("text").cast("bigint").alias("size"), "mtime_ms")
+            accepted(self.cfg, patterns=root_ignore_patterns(None))).withColumn("sha256", changes.content_hash(F.col("text")))
+        # Texts do not take part in the listing; those that changed are read again from their source.
+        state = F.struct(F.coalesce("mtime_ms", F.lit(float("-inf"))).alias("at"), "sha256", F.octet_length("text").cast("bigint").alias("size"), "mtime_ms")
+        latest = rows.groupBy("path").agg(F.max(state).alias("_s"), F.count("*").alias("_n"))
+        listed = written(latest.select("path", "_s.size", "_s.mtime_ms", "_s.sha256", "_n"), "listing")
+        repeated = not listed.filter("_n > 1").isEmpty()
         gone = self.spark.createDataFrame([], "path string")
         if remove_missing:
             gone = changes.removed_paths(self.table("file_manifest"), listed)
 
-        def read(pending: DataFrame) -> DataFrame:
-            return pending.join(rows.select("path", "text"), "path").withColumn("error", F.lit(None).cast("string"))
+        def source() -> DataFrame:
+            found = rows.select("path", "text", "sha256")
+            return found.dropDuplicates(["path", "sha256"]) if repeated else found
 
-        result = self._index(listed, gone, read)
-        self._write_meta(scanned=True)
-        return result
+        return self._index(listed.drop("_n"), gone, source, scanned=True)
 
     def remove_table(self, named: DataFrame) -> dict[str, int]:
         """Drops the paths of (path) from the index."""
@@ -225,9 +298,7 @@ class CodeIndex:
         """Indexes new and changed files; nothing is removed."""
         nothing = self.spark.createDataFrame([], "path string")
         listed, failed = walk_files(self.spark, self.cfg)
-        result = {**self._index(listed, nothing), "unlisted": self._unlisted(failed)}
-        self._write_meta(scanned=True)
-        return result
+        return {**self._index(listed, nothing, scanned=True), "unlisted": self._unlisted(failed)}
 
     def _unlisted(self, failed: DataFrame) -> int:
         count = failed.count()
@@ -240,9 +311,7 @@ class CodeIndex:
         is unknown, not gone."""
         listed, failed = walk_files(self.spark, self.cfg)
         gone = not_below(changes.removed_paths(self.table("file_manifest"), listed), failed)
-        result = {**self._index(listed, gone), "unlisted": self._unlisted(failed)}
-        self._write_meta(scanned=True)
-        return result
+        return {**self._index(listed, gone, scanned=True), "unlisted": self._unlisted(failed)}
 
     def reindex(self, path: str | None = None) -> dict:
         """One file, absolute or relative to the root, or everything."""
@@ -271,19 +340,18 @@ class CodeIndex:
         named = last.filter("event <> 'unlink'").select("path").filter(accepted(self.cfg))
         found = stat_files(named, self.cfg)
         missing = found.filter("size IS NULL").select("path")
-        result = self._index(found.filter("size IS NOT NULL"), last.filter("event = 'unlink'").select("path").unionByName(missing))
-        if result["indexed"]:
-            self._write_meta(scanned=True)
-        return result
+        return self._index(found.filter("size IS NOT NULL"), last.filter("event = 'unlink'").select("path").unionByName(missing))
 
     # ---- reading -----------------------------------------------------------------------------------
     def search_tables(self) -> SearchTables | None:
-        if not self.is_indexed():
+        """The tables of the current version: a search does not see what is written meanwhile."""
+        now = self.at()
+        if not now.is_indexed():
             return None
-        totals = self.table("bucket_stats").agg(F.sum("n_chunks").alias("n_docs"), F.sum("n_terms").alias("_terms"))
+        totals = now.table("bucket_stats").agg(F.sum("n_chunks").alias("n_docs"), F.sum("n_terms").alias("_terms"))
         stats = totals.select("n_docs", (F.col("_terms") / F.col("n_docs")).alias("avg_dl"))
-        blocks = self.table("term_df").groupBy("term", "level").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
-        return SearchTables(self.table("chunks"), self.table("postings"), stats, self.cfg.path_buckets, blocks)
+        blocks = now.table("term_df").groupBy("term", "level").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        return SearchTables(now.table("chunks"), now.table("postings"), stats, self.cfg.path_buckets, blocks)
 
     def search_batch(self, queries: DataFrame, request: SearchRequest | None = None) -> tuple[DataFrame, DataFrame]:
         """(query_id, query [, query_classifier]) -> (hits, assessment). The request filters the whole batch."""
@@ -319,9 +387,10 @@ class CodeIndex:
 
     def stats(self) -> DataFrame:
         """One row: root, number of files and chunks, model, time of the last write or scan."""
-        meta = self.read_meta() or {}
-        files = self.table("file_manifest").agg(F.count("*").alias("n")).scalar()
-        chunks = self.table("bucket_stats").agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n")).scalar()
+        now = self.at()
+        meta = now.read_meta() or {}
+        files = now.table("file_manifest").agg(F.count("*").alias("n")).scalar()
+        chunks = now.table("bucket_stats").agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n")).scalar()
         one = self.spark.range(1)
         return one.select(
             F.lit(self.cfg.watch_root).alias("watch_root"), files.alias("indexed_file_count"), chunks.alias("chunk_count"),

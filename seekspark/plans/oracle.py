@@ -488,6 +488,14 @@ add("index_stats", f"""WITH {SYMBOL_PARTS}, numbered AS (SELECT path, a, {_HEADE
   post AS (SELECT DISTINCT path, a, unnest({TERMS.format('stored')}) AS term FROM numbered)
   SELECT (SELECT count(*) FROM src) AS indexed_file_count, (SELECT count(*) FROM numbered) AS chunk_count,
    (SELECT count(DISTINCT term) FROM post) AS n_terms, (SELECT count(*) FROM post) AS n_postings""")
+add("index_versions", f"""WITH {FILES}, old AS (SELECT path, CASE WHEN doc_id % 5 = 2 THEN 'old'||chr(10)||text ELSE text END AS text FROM files WHERE doc_id % 7 <> 1),
+  c AS (SELECT 'old' AS state, * FROM {windows('old', 60, 12)} UNION ALL SELECT 'new', * FROM {windows('files', 60, 12)}),
+  p AS (SELECT DISTINCT state, path, ordinal, unnest({TERMS.format(f"{_HEADER}||' '||body")}) AS term FROM c)
+  SELECT state, path, start_line, end_line, body, n_postings, n_files FROM c JOIN (SELECT state, count(*) AS n_postings FROM p GROUP BY state) USING (state)
+   JOIN (SELECT state, count(DISTINCT path) AS n_files FROM c GROUP BY state) USING (state)""")
+add("index_migrated", f"""WITH {SYMBOL_PARTS}, kept AS (SELECT path, a, b, array_to_string(ls[a:b], chr(10)) AS body FROM parts JOIN lined USING (path)
+   WHERE path IN (SELECT path FROM src WHERE doc_id % 3 <> 0))
+  SELECT path, a::INT AS start_line, b::INT AS end_line, '' AS definition_of, len({TERMS.format(f"{_HEADER}||' '||body")})::BIGINT AS dl FROM kept""")
 add("safety_parents", f"""WITH {PATHS} SELECT doc_id, path||'/inner.txt' AS path, list_contains(string_split(path,'/'),'.git') OR list_contains(string_split(path,'/'),'node_modules')
    OR regexp_matches(lower(path), '\\.(pem|key|p12|pfx|env|env\\.local|env\\.production)(/|$)') AS unsafe FROM paths""")
 add("cover_ancestors", f"""WITH {PATHS}, above AS (SELECT DISTINCT array_to_string(parts[1:n], '/') AS path FROM (

@@ -107,9 +107,9 @@ def retrieve(queries: DataFrame, tables: SearchTables, scope: PathScope, limit:
     by_vector = nearest(queries, vectors, max(depth, limit))
     if not hybrid:
         return _by_vector_alone(by_vector.filter(F.col("ord") <= limit))
-    asked = queries.select("query_id", is_blank().alias("_blank"), F.lit(depth).alias("_depth"), F.lit(limit).alias("_wanted"))
+    by_vector = by_vector.join(queries.select("query_id", is_blank().alias("_blank")), "query_id")
     by_text = best_chunks(queries.filter(~is_blank()), tables.postings, tables.stats, blocks_of(tables), depth, cfg.bm25_k1, cfg.bm25_b, allowed)
-    return _blended(by_vector, by_text, asked, limit, cfg)
+    return _blended(by_vector.filter(F.col("_blank") | (F.col("ord") <= depth)), by_text, limit, cfg)
 
 
 def is_blank() -> Column:
@@ -120,20 +120,14 @@ def _by_vector_alone(found: DataFrame) -> DataFrame:
     return found.select("query_id", "chunk_id", similarity(F.col("distance")).alias("score"), "ord", F.lit("vector").alias("retrieval_mode"))
 
 
-def _blended(by_vector: DataFrame, by_text: DataFrame, asked: DataFrame, limit: int, cfg: EngineConfig) -> DataFrame:
-    """Both legs, each as deep as its query says (_depth), fused to the _wanted best, at most ``limit``.
-
-    A blank query has no text leg: its hits keep the score of the vector leg.
-    """
-    first = by_vector.join(asked, "query_id").filter(F.col("_blank") | (F.col("ord") <= F.col("_depth"))).drop("_depth", "_wanted")
-    second = by_text.join(asked.select("query_id", "_depth"), "query_id").filter(F.col("ord") <= F.col("_depth"))
+def _blended(by_vector: DataFrame, by_text: DataFrame, limit: int, cfg: EngineConfig) -> DataFrame:
+    """Both legs fused, at most ``limit`` each. A blank query has no text leg: its hits keep the score of the vector leg."""
     blank = F.coalesce(F.col("_blank"), F.lit(False))
-    scores = reciprocal_rank(first, second, cfg.rrf_k).select(
+    scores = reciprocal_rank(by_vector, by_text, cfg.rrf_k).select(
         "query_id", "chunk_id", F.when(blank, similarity(F.col("distance"))).otherwise(F.col("score")).alias("score"),
         F.when(blank, "vector").otherwise("hybrid").alias("retrieval_mode"),
     )
-    best = best_per_query(scores, limit, F.col("score").desc(), F.col("chunk_id"))
-    return best.join(asked.select("query_id", "_wanted"), "query_id").filter(F.col("ord") <= F.col("_wanted")).drop("_wanted")
+    return best_per_query(scores, limit, F.col("score").desc(), F.col("chunk_id"))
 
 
 def retrieve_each(requests: DataFrame, blocks: list[list[tuple[int, Scope]]], tables: SearchTables, cfg: EngineConfig) -> DataFrame:
@@ -159,8 +153,12 @@ def retrieve_each(requests: DataFrame, blocks: list[list[tuple[int, Scope]]], ta
             continue
         posted = accepting(tables.postings.select("chunk_id", "path", "term", "tf", "dl"), scopes, cfg)
         by_text = best_chunks(mine.filter(~is_blank()), posted, tables.stats, blocks_of(tables), most["depth"], cfg.bm25_k1, cfg.bm25_b, scoped=True)
-        asked = mine.select("query_id", is_blank().alias("_blank"), "_depth", F.col("candidates").alias("_wanted"))
-        answers.append(_blended(by_vector, by_text, asked, most["candidates"], cfg).select("query_id", "chunk_id", "score", "ord", "retrieval_mode"))
+        # Each leg as deep as its query says; then as many of the fused as it wants.
+        asked = mine.select("query_id", is_blank().alias("_blank"), "_depth", "candidates")
+        first = by_vector.join(asked.drop("candidates"), "query_id").filter(F.col("_blank") | (F.col("ord") <= F.col("_depth"))).drop("_depth")
+        second = by_text.join(asked.select("query_id", "_depth"), "query_id").filter(F.col("ord") <= F.col("_depth")).drop("_depth")
+        best = _blended(first, second, most["candidates"], cfg).join(asked.select("query_id", "candidates"), "query_id")
+        answers.append(best.filter(F.col("ord") <= F.col("candidates")).select("query_id", "chunk_id", "score", "ord", "retrieval_mode"))
     if not answers:
         kind = tables.chunks.schema["chunk_id"].dataType.simpleString()
         return requests.sparkSession.createDataFrame([], f"query_id bigint, chunk_id {kind}, score double, ord int, retrieval_mode string")

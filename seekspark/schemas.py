@@ -15,6 +15,11 @@ def struct(spec: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split(":") for f in spec.split())])
 
 
+def versioned(schema: T.StructType) -> T.StructType:
+    """The schema of a table's root folder, below which every version has its own."""
+    return T.StructType([*schema.fields, T.StructField("version", T.LongType())])
+
+
 KEYS = T.ArrayType(struct("key:string line:int"))
 CHUNK_FIELDS = (
     "start_line:int end_line:int body:string language:string symbol_name:string symbol_kind:string "
@@ -22,7 +27,7 @@ CHUNK_FIELDS = (
 )
 CHUNKS = struct(
     "chunk_id:string path:string start_line:int end_line:int header:string body:string vector:vector "
-    "definition_of:string path_bucket:int"
+    "definition_of:string dl:bigint path_bucket:int"
 )
 POSTINGS = struct("term:string chunk_id:string path:string tf:bigint dl:bigint path_bucket:int")
 LISTING = struct("path:string size:bigint mtime_ms:double is_dir:boolean error:string")
