@@ -30,6 +30,8 @@ from seekspark.plans.search import (
 )
 from seekspark.session import shared_folder, written
 from seekspark.sources.corpus import files, page_files, source_files, table, varied_paths
+from seekspark.streaming.settle import settled
+from seekspark.streaming.watch import start_replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -329,10 +331,10 @@ def upsert_result(spark, sf):
     return changes.upsert(old, fresh, read)
 
 
-def _event_changes(spark, sf) -> DataFrame:
+def _event_changes(spark, sf, *more: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "unlink").otherwise("change")
     return table(spark, sf, "events").select(
-        F.col("event_id").alias("seq"), F.concat(F.lit("u/"), F.col("user_id")).alias("path"), kind.alias("event"), "value"
+        F.col("event_id").alias("seq"), F.concat(F.lit("u/"), F.col("user_id")).alias("path"), kind.alias("event"), "value", *more
     )
 
 
@@ -350,6 +352,47 @@ def events_replay_upsert(spark, sf):
     return last.filter(F.col("event") != "unlink").select("path", F.round("value", 6).alias("value"))
 
 
+def _in_slices(spark, sf, slices: int, run: Callable[[DataFrame], None]) -> None:
+    """The events as a stream that grows: slices in the order of time, each followed by a run of what reads it."""
+    events = _event_changes(spark, sf, "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    feed = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    ends = events.select(F.percentile_approx("ts", [n / slices for n in range(1, slices)])).first()[0]
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        bounds = [F.lit(True)] + ([F.col("ts") > F.lit(low)] if low else []) + ([F.col("ts") <= F.lit(high)] if high else [])
+        events.filter(globs.all_of(bounds)).write.mode("append").parquet(feed)
+        run(spark.readStream.schema(events.schema).parquet(feed))
+
+
+@register
+def events_settled(spark, sf):
+    """Runs of events of a path less than six hours apart, as a stream passes them on once they have settled."""
+    place = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+
+    def run(stream: DataFrame) -> None:
+        out = settled(stream, "6 hours", "1 hour").writeStream.option("checkpointLocation", f"{place}/state").format("parquet")
+        out.trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
+
+    _in_slices(spark, sf, 2, run)
+    return spark.read.parquet(f"{place}/rows")
+
+
+@register
+def stream_replay(spark, sf):
+    """Events applied to an index batch by batch, one of them twice: texts of all paths not removed, and how often the index changed."""
+    place, index = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}", _index(spark)
+
+    def run(stream: DataFrame) -> None:
+        text = F.format_string("%s %d", "event", F.floor(F.col("value") * 1000).cast("bigint"))
+        rows = stream.select("seq", F.concat("path", F.lit(".txt")).alias("path"), "event", text.alias("text"))
+        start_replay(index, rows, f"{place}/state").awaitTermination()
+        # A batch whose commit Spark did not note down comes again.
+        last = index.read_log()[-1]
+        index.apply_texts(spark.createDataFrame([(1 << 40, "u/0.txt", "change", "twice")], "seq bigint, path string, event string, text string"), (last["stream"], last["batch"]))
+
+    _in_slices(spark, sf, 2, run)
+    return index.table("chunks").select("path", "body").withColumn("version", F.lit(index.version()))
+
+
 # ---- retrieval -------------------------------------------------------------------------------------
 def centroids(vectors: DataFrame, key: Column) -> DataFrame:
     """Mean vector per key: (query_id, vector)."""

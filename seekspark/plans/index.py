@@ -38,7 +38,7 @@ from seekspark.session import shared_folder, written
 
 log = logging.getLogger(__name__)
 BUCKET_STATS = schemas.struct("path_bucket:int n_chunks:bigint n_terms:bigint path:string")
-VERSIONS = schemas.struct("version:bigint tables:string wiped:boolean embedding_model:string embedding_dim:int watch_root:string last_full_scan_at:timestamp")
+VERSIONS = schemas.struct("version:bigint tables:string wiped:boolean embedding_model:string embedding_dim:int watch_root:string last_full_scan_at:timestamp stream:string batch:bigint")
 TERM_DF = schemas.struct("term:string level:int df:bigint max_tf:bigint min_dl:bigint path:string path_bucket:int")
 STAGED = {"chunks": schemas.CHUNKS, "term_df": TERM_DF, "postings": schemas.POSTINGS, "file_manifest": schemas.MANIFEST, "bucket_stats": BUCKET_STATS}
 
@@ -68,7 +68,7 @@ class CodeIndex:
     def _where(self, name: str) -> str:
         return os.path.join(self.cfg.index_dir, name)
 
-    def _log(self) -> list[Row]:
+    def read_log(self) -> list[Row]:
         """The versions up to the pinned one, oldest first: one row for each change of the index. A reader of one version reads
         them once."""
         if self._held is not None:
@@ -84,21 +84,27 @@ class CodeIndex:
 
     def version(self) -> int:
         """The number of the current (or pinned) version, 0 before the first."""
-        log_rows = self._log()
+        log_rows = self.read_log()
         return log_rows[-1]["version"] if log_rows else 0
 
     def at(self, version: int | None = None) -> CodeIndex:
         """A reader of that version, by default of the one that is current now."""
-        rows = [r for r in self._log() if version is None or r["version"] <= version]
+        rows = [r for r in self.read_log() if version is None or r["version"] <= version]
         reader = CodeIndex(self.spark, self.cfg, self.make_scorer)
         reader.pinned, reader._held = rows[-1]["version"] if rows else 0, rows
         return reader
 
-    def _commit(self, version: int, tables: dict[str, Sequence[int]], wiped: bool = False, scanned: bool = False) -> None:
-        """Appends the row of a version. It is one file, so it is there as a whole or not at all."""
+    def is_applied(self, batch: tuple[str, int] | None) -> bool:
+        """Whether a version holds that batch of that stream, or a later one. The log of versions is the ledger."""
+        return batch is not None and any(r["stream"] == batch[0] and r["batch"] >= batch[1] for r in self.read_log())
+
+    def _commit(
+        self, version: int, tables: dict[str, Sequence[int]], wiped: bool = False, scanned: bool = False, batch: tuple[str, int] | None = None,
+    ) -> None:
+        """Appends the row of a version. It is one file, so it is there as a whole or not at all, and so is the batch with it."""
         previous = self.read_meta() or {}
         row = (version, json.dumps({k: list(v) for k, v in tables.items()}), wiped, self.cfg.embedding_model, self.cfg.embedding_dim,
-               self.cfg.watch_root, None if wiped else previous.get("last_full_scan_at"))
+               self.cfg.watch_root, None if wiped else previous.get("last_full_scan_at"), *(batch or (None, None)))
         frame = self.spark.createDataFrame([row], VERSIONS)
         if scanned:
             frame = frame.withColumn("last_full_scan_at", F.current_timestamp())
@@ -107,7 +113,7 @@ class CodeIndex:
     def _folders(self, name: str) -> dict[int, list[int]]:
         """For each version the buckets of a table that it is the last to hold."""
         last: dict[int, int] = {}
-        for row in self._log():
+        for row in self.read_log():
             if row["wiped"]:
                 last.clear()
             last.update(dict.fromkeys(json.loads(row["tables"]).get(name, []), row["version"]))
@@ -155,7 +161,7 @@ class CodeIndex:
     # ---- meta --------------------------------------------------------------------------------------
     def read_meta(self) -> dict | None:
         """Model, dimension, root and time of the last scan; None before the first version."""
-        rows = self._log()
+        rows = self.read_log()
         return {f: rows[-1][f] for f in schemas.META.names} if rows else None
 
     def open(self) -> CodeIndex:
@@ -190,7 +196,8 @@ class CodeIndex:
         }).withColumn("dl", chunk_length())
         return self._bucket(rows).select(*schemas.CHUNKS.names)
 
-    def _index(self, listed: DataFrame, removed: DataFrame, source: Callable[[], DataFrame] | None = None, scanned: bool = False) -> dict[str, int]:
+    def _index(self, listed: DataFrame, removed: DataFrame, source: Callable[[], DataFrame] | None = None, scanned: bool = False,
+               batch: tuple[str, int] | None = None) -> dict[str, int]:
         """Brings the tables up to the listed files (path, size, mtime_ms) and drops the removed paths, as one version.
 
         source: gives (path, text) of texts at hand; the listing then has their sha256, only it is staged, and max_file_bytes
@@ -240,8 +247,8 @@ class CodeIndex:
             F.count_if(F.expr("error IS NULL") & changes.hash_unchanged()).alias("hash_skipped"),
             F.count_if(F.expr("error IS NOT NULL")).alias("failed"),
         ).first().asDict()
-        if tables or scanned:
-            self._commit(version, tables, scanned=scanned or counts["indexed"] > 0)
+        if tables or scanned or batch:
+            self._commit(version, tables, scanned=scanned or counts["indexed"] > 0, batch=batch)
         if counts["failed"]:
             log.warning("%s files could not be read; they are tried again next time", counts["failed"])
         if left["too_large"]:
@@ -263,13 +270,16 @@ class CodeIndex:
         self._write(sums.withColumn("path", F.lit("*")), "bucket_stats", version)
 
     # ---- tables as input ---------------------------------------------------------------------------
-    def index_table(self, texts: DataFrame, remove_missing: bool = False) -> dict[str, int]:
+    def index_table(self, texts: DataFrame, remove_missing: bool = False, removed: DataFrame | None = None, batch: tuple[str, int] | None = None) -> dict[str, int]:
         """Indexes (path, text [, mtime_ms]) rows of any source instead of files below the root.
 
         Paths are repo-relative. Of several rows of one path the latest counts (greatest mtime_ms, then greatest hash). The
         path rules of a file scan hold, without an ignore file. Without mtime_ms a text counts as changed unless its hash is
-        known. Texts may have any length. With ``remove_missing``, indexed paths that the table lacks go.
+        known. Texts may have any length. With ``remove_missing``, indexed paths that the table lacks go; so do the
+        paths of ``removed``. A ``batch``, (stream, number), that a version holds already changes nothing.
         """
+        if self.is_applied(batch):
+            return {}
         mtime = F.col("mtime_ms").cast("double") if "mtime_ms" in texts.columns else F.lit(None).cast("double")
         rows = texts.select("path", F.coalesce("text", F.lit("")).alias("text"), mtime.alias("mtime_ms")).filter(
             accepted(self.cfg, patterns=root_ignore_patterns(None))).withColumn("sha256", changes.content_hash(F.col("text")))
@@ -278,15 +288,23 @@ class CodeIndex:
         latest = rows.groupBy("path").agg(F.max(state).alias("_s"), F.count("*").alias("_n"))
         listed = written(latest.select("path", "_s.size", "_s.mtime_ms", "_s.sha256", "_n"), "listing")
         repeated = not listed.filter("_n > 1").isEmpty()
-        gone = self.spark.createDataFrame([], "path string")
+        gone = self.spark.createDataFrame([], "path string") if removed is None else removed.select("path")
         if remove_missing:
-            gone = changes.removed_paths(self.table("file_manifest"), listed)
+            gone = gone.unionByName(changes.removed_paths(self.table("file_manifest"), listed))
 
         def source() -> DataFrame:
             found = rows.select("path", "text", "sha256")
             return found.dropDuplicates(["path", "sha256"]) if repeated else found
 
-        return self._index(listed.drop("_n"), gone, source, scanned=True)
+        return self._index(listed.drop("_n"), gone, source, scanned=True, batch=batch)
+
+    def apply_texts(self, events: DataFrame, batch: tuple[str, int] | None = None) -> dict[str, int]:
+        """(seq, path, event, text): the last event of each path decides; its text is indexed, or the path goes."""
+        if self.is_applied(batch):
+            return {}
+        known = events.filter(F.col("event").isin("add", "change", "unlink"))
+        last = written(known.groupBy("path").agg(F.max_by(F.struct("event", "text"), "seq").alias("_l")).select("path", "_l.*"), "events")
+        return self.index_table(last.filter("event <> 'unlink'").select("path", "text"), removed=last.filter("event = 'unlink'"), batch=batch)
 
     def remove_table(self, named: DataFrame) -> dict[str, int]:
         """Drops the paths of (path) from the index."""
@@ -330,17 +348,20 @@ class CodeIndex:
     def remove(self, path: str) -> dict[str, int]:
         return self.apply_changes(self.spark.createDataFrame([(0, self._inside(path), "unlink")], schemas.CHANGES))
 
-    def apply_changes(self, events: DataFrame) -> dict[str, int]:
+    def apply_changes(self, events: DataFrame, batch: tuple[str, int] | None = None) -> dict[str, int]:
         """(seq, path, event): the last event of each path decides; a changed file that is gone is removed.
 
-        Events whose path is absolute or has a `..` step name nothing inside the root and are left out.
+        Events whose path is absolute or has a `..` step name nothing inside the root and are left out. A ``batch``, (stream,
+        number), that a version holds already changes nothing.
         """
+        if self.is_applied(batch):
+            return {}
         leaves = F.col("path").startswith("/") | F.concat(F.lit("/"), F.col("path"), F.lit("/")).contains("/../")
         last = changes.last_event_per_path(events.filter(~leaves))
         named = last.filter("event <> 'unlink'").select("path").filter(accepted(self.cfg))
         found = stat_files(named, self.cfg)
         missing = found.filter("size IS NULL").select("path")
-        return self._index(found.filter("size IS NOT NULL"), last.filter("event = 'unlink'").select("path").unionByName(missing))
+        return self._index(found.filter("size IS NOT NULL"), last.filter("event = 'unlink'").select("path").unionByName(missing), batch=batch)
 
     # ---- reading -----------------------------------------------------------------------------------
     def search_tables(self) -> SearchTables | None:

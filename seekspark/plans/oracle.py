@@ -197,6 +197,13 @@ EVENTS = """ev AS (SELECT event_id AS seq, 'u/'||user_id AS path, CASE event_typ
 add("events_last_state", f"WITH {EVENTS} SELECT path, event, seq FROM ev WHERE rn = 1")
 add("events_replay_upsert", f"WITH {EVENTS} SELECT path, round(value, 6) AS value FROM ev WHERE rn = 1 AND event <> 'unlink'")
 
+add("events_settled", """WITH e AS (SELECT event_id AS seq, 'u/'||user_id AS path, ts, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'unlink' ELSE 'change' END AS event FROM events),
+  m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) >= INTERVAL 6 HOURS, true)::INT AS fresh FROM e),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, seq) AS run FROM m)
+  SELECT path, arg_max(event, seq) AS event, max(seq) AS seq, count(*) AS n_events FROM r GROUP BY path, run
+   HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM e)""")
+add("stream_replay", f"WITH {EVENTS} SELECT path||'.txt' AS path, event||' '||floor(value * 1000)::BIGINT AS body, 3 AS version FROM ev WHERE rn = 1 AND event <> 'unlink'")
+
 DISTANCE = "list_sum(list_transform(list_zip(v, q), lambda p: (p[1]-p[2])*(p[1]-p[2])))"
 
 

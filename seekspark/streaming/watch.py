@@ -13,6 +13,7 @@ from seekspark.functions.globs import ignored
 from seekspark.functions.paths import is_under, is_watch_skipped
 from seekspark.plans.index import CodeIndex
 from seekspark.schemas import CHANGES
+from seekspark.streaming.settle import held_back
 
 
 def change_events(spark: SparkSession, folder: str, cfg: EngineConfig, max_files: int = 1_000) -> DataFrame:
@@ -44,16 +45,29 @@ def diff_events(listed: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def start_watching(
     index: CodeIndex, events: DataFrame, checkpoint: str, available_now: bool = False,
-    after_batch: Callable[[dict], None] | None = None,
+    after_batch: Callable[[dict], None] | None = None, settle_ms: int = 0,
 ) -> StreamingQuery:
-    """Applies the stream to the index. A repeated batch finds nothing left to change."""
+    """Applies the stream of (seq, path, event) to the index, each batch once.
 
-    def apply(batch: DataFrame, number: int) -> None:
-        result = index.apply_changes(batch)
+    The version that a batch makes names it; a batch that comes again after a restart finds its number there. Batches are
+    numbered by the checkpoint, which therefore names the stream. With settle_ms, a path is applied when it has been quiet
+    that long.
+    """
+    return _each_batch_once(held_back(events, settle_ms) if settle_ms else events, checkpoint, index.apply_changes, index, available_now, after_batch)
+
+
+def start_replay(index: CodeIndex, events: DataFrame, checkpoint: str, after_batch: Callable[[dict], None] | None = None) -> StreamingQuery:
+    """The same for events that bring their texts, (seq, path, event, text), until what is there now is read."""
+    return _each_batch_once(events, checkpoint, index.apply_texts, index, True, after_batch)
+
+
+def _each_batch_once(events: DataFrame, checkpoint: str, apply: Callable, index: CodeIndex, available_now: bool, after_batch) -> StreamingQuery:
+    def run(batch: DataFrame, number: int) -> None:
+        result = apply(batch, (checkpoint, number))
         if after_batch:
             after_batch(result)
 
-    writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{index.cfg.poll_interval_ms} milliseconds").start()
