@@ -7,9 +7,8 @@ the blocks within `window` places of its own on each curve used, scores what it
 curves' findings are merged.
 
 How many curves and how wide a window are measured, not guessed: for about `sample` items the true neighbours are found by
-comparing with all rows, in blocks, and the cheapest pair of curves and window is taken that finds `recall` of them. Where
-vectors have no structure that any curve can follow, that is one curve with a window as wide as the data: the search then
-compares the queries with all rows, in blocks.
+comparing with all rows, in blocks, and the cheapest pair of curves and window is taken that finds `recall` of them. The less
+structure vectors have, the more curves and the wider windows it takes; windows stay a part of the data unless it is tiny.
 
 Defined cases: a null id, and a vector that is null, zero, holds null or non-finite parts or has another length than most
 (the longer on ties), takes no part. Of rows that repeat an id the one with the least vector counts. With fewer than k
@@ -36,12 +35,12 @@ class CurveConfig:
     """curves: at most so many; dims and bits shape a key; sample: items the search is measured on (a bound of twice as many
     holds); recall: the share of their true neighbours that must be found there."""
 
-    curves: int = 8
-    dims: int = 4
-    bits: int = 15
-    block: int = 2048
+    curves: int = 16
+    dims: int = 8
+    bits: int = 7
+    block: int = 256
     sample: int = 256
-    recall: float = 0.97
+    recall: float = 0.95
     seed: int = 17
 
 
@@ -60,10 +59,18 @@ def _scaled(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(_norms(vectors)[:, None], 1e-300)
 
 
+def _tamed(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose squares would leave the range of doubles, scaled by a power of two: angles stay, to the last bit."""
+    exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0))[1]
+    extreme = np.abs(exponent) > 400
+    return np.where(extreme[:, None], np.ldexp(vectors, -exponent[:, None]), vectors) if extreme.any() else vectors
+
+
 def best(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, cosine) of the k nearest rows of every query, ties to the smaller id."""
     k = min(k, len(rows))
     out = []
+    queries, rows = _tamed(queries), _tamed(rows)
     row_norms, row_units = _norms(rows), _scaled(rows)
     query_norms, query_units = _norms(queries), _scaled(queries)
     step = max(1, (4 << 20) // max(1, len(rows)))
@@ -178,7 +185,6 @@ def _measured(items: DataFrame, places: DataFrame, n: int, dim: int, k: int, con
     for used in range(1, config.curves + 1):
         window = int(np.quantile(table[:, :used].min(axis=1), config.recall, method="higher")) + 1
         choices.append((used * (2 * window + config.block), used, window))
-    choices.append((n + config.block, 1, n))
     return min(choices)[1:]
 
 

@@ -63,3 +63,29 @@ def test_defined_cases(spark):
     assert sorted(got) == [(0, 1, 5, 1.0), (0, 2, 10, 0.0), (5, 1, 0, 1.0), (5, 2, 10, 0.0), (10, 1, 0, 0.0), (10, 2, 5, 0.0)]
     assert neighbours.search(frame.limit(0), F.col("id") % 5 == 0).count() == 0
     assert neighbours.search(frame.filter("vec_id = 0"), F.col("id") % 5 == 0).count() == 0
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [0.0, 1.0]), (3, [1e-200, 1e-201]), (4, [-1e308, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in neighbours.search(frame, F.col("id") == 0).orderBy("rank").collect()]
+    near = 1 / math.sqrt(1.01)
+    assert {i for i, _ in got[:2]} == {1, 3} and [i for i, _ in got[2:]] == [2, 4]  # the first two tie but for rounding
+    assert all(abs(s - w) < 1e-12 for (_, s), w in zip(got, [near, near, 0.0, -1.0], strict=True))
+
+
+def test_windows_are_a_part_of_the_data(spark, monkeypatch):
+    used, measure = [], neighbours._measured
+
+    def measured(*arguments):
+        used.append((arguments[2], *measure(*arguments)))
+        return used[-1][1:]
+
+    monkeypatch.setattr(neighbours, "_measured", measured)
+    rng = np.random.default_rng(2)
+    rows = list(enumerate(rng.standard_normal((6000, 32)).astype(np.float32)))
+    want, got = brute(rows, every=50), run(spark, rows, CurveConfig(), every=50)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
+    (n, curves, window), = used
+    assert curves > 1 and 2 * window < n / 2
