@@ -29,6 +29,7 @@ from seekspark.plans.search import (
     SearchRequest, SearchTables, is_small_batch, path_scope, retrieve, search_plan, search_requests, snippet, with_bodies, with_chunk_columns,
 )
 from seekspark.session import shared_folder, written
+from seekspark.sources.files import write_files
 from seekspark.sources.corpus import files, page_files, source_files, table, varied_paths
 from seekspark.streaming.settle import settled
 from seekspark.streaming.watch import start_replay
@@ -806,6 +807,20 @@ def index_build(spark, sf):
     return _indexed(index)
 
 
+@register
+def file_scan(spark, sf):
+    """All documents as files of a tree, reached by URI: walked, read and indexed, then some changed and the tree reconciled."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    root = root if "://" in root else f"file://{root}"
+    texts = source_files(spark, sf).select("doc_id", "path", "text")
+    write_files(texts.withColumn("text", F.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("old\n"), "text")).otherwise(F.col("text"))), root)
+    index = CodeIndex(spark, CFG.with_(watch_root=root, index_dir=f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", path_buckets=4)).open()
+    index.full_scan()
+    write_files(texts.filter("doc_id % 5 = 2"), root)
+    index.reconcile()
+    return _indexed(index)
+
+
 @register
 def index_upsert(spark, sf):
     """Built from older texts of some files, then brought up to date; unchanged files are left alone."""

@@ -339,6 +339,10 @@ class CodeIndex:
 
     def _inside(self, path: str) -> str:
         """The path relative to the root; one that leaves the root is an error."""
+        if "://" in path:
+            if not path.startswith(self.cfg.watch_root + "/"):
+                raise ConfigError(f"{path!r} lies outside the watched root")
+            path = path[len(self.cfg.watch_root) + 1:]
         relative = os.path.relpath(path, self.cfg.watch_root) if os.path.isabs(path) else os.path.normpath(path)
         relative = relative.replace(os.sep, "/")
         if relative == ".." or relative.startswith("../"):

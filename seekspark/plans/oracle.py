@@ -488,6 +488,7 @@ add("search_e2e", searched(f"""{SYMBOL_PARTS}, numbered AS (SELECT path, (row_nu
 
 INDEXED = "SELECT path, a::INT AS start_line, b::INT AS end_line, array_to_string(ls[a:b], chr(10)) AS body, def AS definition_of FROM parts JOIN lined USING (path)"
 add("index_build", f"WITH {SYMBOL_PARTS} {INDEXED}")
+add("file_scan", f"WITH {SYMBOL_PARTS} {INDEXED}")
 add("index_upsert", f"WITH {SYMBOL_PARTS} {INDEXED}")
 add("index_remove", f"WITH {SYMBOL_PARTS} {INDEXED} WHERE path IN (SELECT path FROM src WHERE doc_id % 3 = 1)")
 add("index_wipe", "SELECT 0::BIGINT AS n_chunks, 32 AS dim")

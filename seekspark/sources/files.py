@@ -1,4 +1,4 @@
-"""Files of a directory tree every executor can see: listing, stat and text.
+"""Files of a tree that every executor can reach, mounted or by URI: listing, stat and text.
 
 The listing goes level by level. Each level is one job over the directories of the level before, is
 pruned by the ignore rules before anything below it is listed, and is written to the shared folder,
@@ -7,7 +7,6 @@ so a lost executor costs one level at most and the driver never holds the listin
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,6 +19,7 @@ from seekspark.functions import paths
 from seekspark.functions.globs import ignored, root_ignore_patterns
 from seekspark.schemas import LISTING, struct
 from seekspark.session import shared_folder
+from seekspark.sources.stores import store_of
 
 READ_SCHEMA = struct("path:string text:string error:string")
 
@@ -27,8 +27,7 @@ READ_SCHEMA = struct("path:string text:string error:string")
 def ignore_patterns(cfg: EngineConfig) -> list[str]:
     """Safety patterns and the root ignore file. Nested ignore files are not read."""
     try:
-        with open(os.path.join(cfg.watch_root, ".gitignore"), encoding="utf-8", errors="replace") as handle:
-            return root_ignore_patterns(handle.read())
+        return root_ignore_patterns(store_of(cfg.watch_root).read(".gitignore").decode("utf-8", errors="replace"))
     except OSError:
         return root_ignore_patterns(None)
 
@@ -46,32 +45,18 @@ def accepted(cfg: EngineConfig, is_dir: bool = False, patterns: list[str] | None
 
 def _entries(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = store_of(root)
         for batch in batches:
             for relative in batch["path"]:
-                rows = []
                 try:
-                    with os.scandir(os.path.join(root, relative)) as found:
-                        for entry in found:
-                            rows.append(_row(f"{relative}/{entry.name}" if relative else entry.name, entry))
+                    rows = store.entries(relative)
                 except OSError as failure:
-                    rows.append((relative, 0, 0.0, True, str(failure)))
-                yield pd.DataFrame([r for r in rows if r], columns=LISTING.names)
+                    rows = [(relative, 0, 0.0, True, str(failure))]
+                yield pd.DataFrame(rows, columns=LISTING.names)
 
     return run
 
 
-def _row(relative: str, entry: os.DirEntry) -> tuple | None:
-    try:
-        if entry.is_dir(follow_symlinks=False):
-            return relative, 0, 0.0, True, None
-        if not entry.is_file():
-            return None
-        state = entry.stat()
-        return relative, state.st_size, state.st_mtime_ns / 1e6, False, None
-    except OSError as failure:
-        return relative, 0, 0.0, False, str(failure)
-
-
 def walk_files(spark: SparkSession, cfg: EngineConfig) -> tuple[DataFrame, DataFrame]:
     """(path, size, mtime_ms) of every file that takes part in the index, and (path, error) of what could not be listed.
 
@@ -109,15 +94,15 @@ def stat_files(named: DataFrame, cfg: EngineConfig) -> DataFrame:
     root = cfg.watch_root
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = store_of(root)
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                full = os.path.join(root, path)
                 try:
-                    state = os.stat(full) if os.path.isfile(full) else None
+                    state = store.stat(path)
                 except OSError:
                     state = None
-                rows.append((path, state.st_size if state else None, state.st_mtime_ns / 1e6 if state else None))
+                rows.append((path, *(state or (None, None))))
             yield pd.DataFrame(rows, columns=["path", "size", "mtime_ms"])
 
     return named.select("path").mapInPandas(run, struct("path:string size:bigint mtime_ms:double"))
@@ -133,13 +118,13 @@ def read_texts(named: DataFrame, cfg: EngineConfig, batch_bytes: int = 32 * 1024
     schema = schema.add(READ_SCHEMA["text"]).add(READ_SCHEMA["error"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = store_of(root)
         for batch in batches:
             rows, held = [], 0
             for record in batch[columns].itertuples(index=False):
                 text = error = None
                 try:
-                    with open(os.path.join(root, record.path), "rb") as handle:
-                        text = handle.read().decode("utf-8", errors="replace")
+                    text = store.read(record.path).decode("utf-8", errors="replace")
                 except OSError as failure:
                     error = str(failure)
                 rows.append((*record, text, error))
@@ -152,3 +137,16 @@ def read_texts(named: DataFrame, cfg: EngineConfig, batch_bytes: int = 32 * 1024
 
     ordered = schema.names[:1] + [c for c in columns if c != "path"]
     return named.mapInPandas(run, schema.__class__([schema[n] for n in columns] + [schema["text"], schema["error"]])).select(*ordered, "text", "error")
+
+
+def write_files(texts: DataFrame, root: str) -> int:
+    """Writes (path, text) as files below a root that executors can reach; a file written twice by a repeated task is the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = store_of(root)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                store.write(path, (text or "").encode("utf-8"))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return texts.select("path", "text").mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
