@@ -30,6 +30,11 @@ from seekspark.llm.hilbert import hilbert_keys, projection, to_cells
 from seekspark.session import written
 
 
+#: So many neighbouring blocks go to one task; findings that a task holds before it cuts them.
+SPAN = 64
+HELD = 1 << 18
+
+
 @dataclass(frozen=True)
 class CurveConfig:
     """curves: at most so many; dims and bits shape a key; sample: items the search is measured on (a bound of twice as many
@@ -188,6 +193,33 @@ def _measured(items: DataFrame, places: DataFrame, n: int, dim: int, k: int, con
     return min(choices)[1:]
 
 
+class _Found:
+    """The k best different items of each query seen by a task."""
+
+    def __init__(self, k: int):
+        self.k, self.size = k, 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, *found: np.ndarray) -> None:
+        self.held.append(found)
+        self.size += len(found[0])
+        if self.size > HELD:
+            self.held = [self.cut()]
+            # What is left may be much for many queries: it is cut again when it has doubled.
+            self.size = min(self.size // 2, len(self.held[0][0]))
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, r, s = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((r, -s, q))
+        q, r, s = q[order], r[order], s[order]
+        fresh = np.r_[True, (np.diff(q) != 0) | (np.diff(r) != 0)]  # another curve may have found the same item
+        q, r, s = q[fresh], r[fresh], s[fresh]
+        few = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        return q[few], r[few], s[few]
+
+
 def search(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5,
            config: CurveConfig = CurveConfig()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id satisfies `queries` (a condition on `id`)."""
@@ -215,8 +247,9 @@ def search(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str =
     out = pa.schema([("q", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
 
     def scan(batches):
-        """A block's owners come first and are held (at most `block`); its askers pass by."""
-        now, ids, vectors = None, [], []
+        """A block's owners come first and are held (at most `block`); its askers pass by. What an asker finds in the blocks of
+        a span is merged before it goes on."""
+        now, ids, vectors, found = None, [], [], _Found(k + 1)
         for batch in batches:
             head = np.column_stack([batch.column(c).to_numpy() for c in ("curve", "block", "role")])
             cids, v = batch.column("cid").to_numpy(), _matrix(batch.column("v"), dim)
@@ -233,9 +266,10 @@ def search(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str =
                     continue
                 ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
                 q, r, s = best(v[start:stop], vectors[0], ids[0], k + 1)
-                yield batch_of(out, [cids[start:stop][q], r, s])
+                found.add(cids[start:stop][q], r, s)
+        yield batch_of(out, list(found.cut()))
 
-    met = (owners.unionByName(askers).repartition(shuffle_width(spark), "curve", "block")
+    met = (owners.unionByName(askers).repartition(shuffle_width(spark), F.col("curve"), F.floor(F.col("block") / SPAN))
            .sortWithinPartitions("curve", "block", "role").mapInArrow(scan, "q long, cid long, score double"))
     # Another curve may have found the same item; scores of a pair are always the same number.
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))
