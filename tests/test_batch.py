@@ -71,7 +71,7 @@ def test_a_batch_answers_as_single_searches(spark, monkeypatch, small):
     hits, levels, rejected = search.search_requests(frame, tables, CFG)
     columns = ("query_id", "ord", "chunk_id", "score", "rerank_score", "text", "retrieval_mode")
     got = listed(hits, *columns)
-    for row in rows[:: 4 if small else 3]:
+    for row in rows[:: 5 if small else 6]:
         one = search.SearchRequest(row[1], row[9], row[4], row[2], None, bool(row[8]), row[5], row[6], row[7])
         single, _ = search.search_plan(frame.filter(F.col("query_id") == row[0]), tables, CFG, one)
         assert [g for g in got if g[0] == row[0]] == listed(single, *columns), row
