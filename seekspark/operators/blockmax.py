@@ -140,7 +140,9 @@ def best_chunks(
     common = source.of(roles.filter("NOT essential"), within=F.broadcast(chunks) if small else chunks)
     added = common.select("query_id", "chunk_id", source.gain.alias("score"))
     # Candidates only: a pair that just shares common words has no row in `able`.
-    added = added.join(F.broadcast(able.select("query_id", "chunk_id")) if small else able.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    pairs = able.select("query_id", "chunk_id")
+    few_pairs = pairs.limit(MAX_BROADCAST_CANDIDATES + 1).count() <= MAX_BROADCAST_CANDIDATES
+    added = added.join(F.broadcast(pairs) if few_pairs else pairs, ["query_id", "chunk_id"], "left_semi")
     total = able.unionByName(added).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
     return best_per_query(total, k, F.col("score").desc(), F.col("chunk_id"), shares=SHARES)
 
