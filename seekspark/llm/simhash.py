@@ -17,7 +17,7 @@ extra columns are not read, and texts of any length are hashed whole, in pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -429,13 +429,16 @@ def _row_key(columns: list[str]) -> Column:
         F.xxhash64(F.lit(0), *marks).alias("rest"))
 
 
-def one_of_each(docs: DataFrame, columns: list[str], config: SimhashConfig = SimhashConfig(), unnamed_apart: bool = True) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, columns: list[str], config=SimhashConfig(), unnamed_apart: bool = True, classes: Callable = _classes,
+) -> DataFrame:
     """One row of each group of linked documents: the one with the smallest id, of several those the first by a hash of the
     text and of the other columns. Rows that are equal in all columns stay once. Null ids come last; with `unnamed_apart` one
-    of a group's rows without an id stays beside the one with the smallest id."""
+    of a group's rows without an id stays beside the one with the smallest id. `classes` says what links documents; it gets
+    `config`."""
     names = [f"`{c}`" for c in columns]
     keyed = docs.select(*names, _row_key(columns).alias("_row"))
-    table, rooted, named = _classes(keyed, "_row", "text", config)
+    table, rooted, named = classes(keyed, "_row", "text", config)
     winners = named.select(F.col("component_id").alias("_row"))
     if unnamed_apart:
         unnamed = table.filter("key.unnamed").groupBy("fp").agg(F.min("key").alias("least")).join(rooted, "fp")

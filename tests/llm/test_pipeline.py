@@ -1,5 +1,6 @@
 """The stages against plain Python on the smallest table, and the cases that a stage must not lose."""
 
+import itertools
 import os
 import random
 from collections import Counter
@@ -10,7 +11,7 @@ import corpus_pipeline
 from seekspark.llm import secrets
 from seekspark.llm.mixing import MIX_SQL
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_fingerprint, plain_roots
+from tests.llm.test_similar import likeness, plain_set
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -48,14 +49,27 @@ def test_language_stage_drops_only_what_it_cannot_tell(steps):
 
 
 def test_one_document_of_each_group_stays(steps):
+    """Links are exact, and nearly all of them are found: what stays are all groups of brute force, and few rows more."""
     rows = [r for r in rows_of(steps[1]) if r[0] is not None]
-    fps = [int(plain_fingerprint(r[1])) for r in rows]
-    roots = plain_roots(fps)
+    sets = [plain_set(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if likeness(sets[i], sets[j]) >= 0.8:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
     least = {}
-    for root, row in zip(roots, rows, strict=True):
-        least[root] = min(least.get(root, row[0]), row[0])
+    for i, row in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), row[0]), row[0])
     kept = Counter(r[0] for r in rows_of(steps[2]))
-    assert kept == Counter([*least.values(), None])
+    assert max(kept.values()) == 1 and kept[None] == 1
+    assert set(least.values()) <= set(kept)
+    assert len(kept) - 1 - len(least) <= 0.05 * (len(rows) - len(least))
 
 
 def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
