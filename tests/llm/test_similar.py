@@ -68,7 +68,7 @@ def test_thresholds_reach_the_wanted_recall_and_shun_hot_values():
     code = rng.integers(0, 2**63, (4000, config.words), dtype=np.uint64)
     code[:3000, 0] = 7  # four parts whose value three quarters of the texts share
     parts = [(w, bits) for w in range(config.words) for bits in simhash.grouped_bits(np.zeros((64, 64)), 0, 4)]
-    counts = np.stack([np.bincount(part_values(code[:, w], [bits])[:, 0], minlength=1 << 16) for w, bits in parts])
+    counts = np.stack([np.bincount(part_values(code[:, w], [bits])[:, 0] & 4095, minlength=4096) for w, bits in parts])
     aimed = similar.Aimed(parts, counts, config)
     chosen = aimed.thresholds(aimed.values(code))
     gains = np.array(aimed.gains)[chosen + 1].sum(axis=1)
