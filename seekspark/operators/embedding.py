@@ -26,23 +26,25 @@ def hashing_embedder(dim: int) -> Embed:
 
     The slot and sign of a term come from the first eight hex digits of its MD5.
     """
-    terms: dict[str, tuple[int, float]] = {}
 
-    def place(term: str) -> tuple[int, float]:
-        if term not in terms:
-            if len(terms) > 200_000:
-                terms.clear()
+    class Places(dict):
+        """The slot of a term; those of negative terms follow the positive ones."""
+
+        def __missing__(self, term: str) -> int:
+            if len(self) > 200_000:
+                self.clear()
             value = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
-            terms[term] = (value % dim, 1.0 if (value // dim) % 2 == 0 else -1.0)
-        return terms[term]
+            self[term] = value % dim + dim * ((value // dim) % 2)
+            return self[term]
+
+    places = Places()
 
     def embed(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            placed = [place(t) for t in re.findall(r"[a-z0-9_]+", text.lower())]
-            if placed:
-                slots, signs = zip(*placed)
-                out[row] = np.bincount(slots, weights=signs, minlength=dim)
+            found = re.findall(r"[a-z0-9_]+", text.lower())
+            counts = np.bincount(np.fromiter(map(places.__getitem__, found), np.int64, len(found)), minlength=2 * dim)
+            out[row] = counts[:dim] - counts[dim:]
         return unit_rows(out)
 
     return embed
