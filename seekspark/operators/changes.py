@@ -37,9 +37,11 @@ def removed_paths(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.select("path").join(files.select("path"), "path", "left_anti")
 
 
-def upsert(chunks: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
-    """Rows of untouched paths, and the fresh rows of the touched ones."""
-    kept = chunks.join(touched.select("path").distinct(), "path", "left_anti")
+def upsert(chunks: DataFrame, fresh: DataFrame, touched: DataFrame, few: bool = False) -> DataFrame:
+    """Rows of untouched paths, and the fresh rows of the touched ones. ``few``: the touched paths may be broadcast; otherwise
+    they are hashed, so that the chunks are dealt out but not sorted for them."""
+    paths = touched.select("path").distinct()
+    kept = chunks.join(F.broadcast(paths) if few else paths.hint("shuffle_hash"), "path", "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -37,6 +37,8 @@ from seekspark.sources.files import accepted, not_below, read_texts, stat_files,
 from seekspark.session import shared_folder, written
 
 log = logging.getLogger(__name__)
+#: So many changed paths are broadcast to the rows of their buckets.
+MAX_TOUCHED = 100_000
 BUCKET_STATS = schemas.struct("path_bucket:int n_chunks:bigint n_terms:bigint path:string")
 VERSIONS = schemas.struct("version:bigint tables:string wiped:boolean embedding_model:string embedding_dim:int watch_root:string last_full_scan_at:timestamp stream:string batch:bigint")
 TERM_DF = schemas.struct("term:string level:int df:bigint max_tf:bigint min_dl:bigint path:string path_bucket:int")
@@ -229,11 +231,18 @@ class CodeIndex:
         gone = self.spark.read.parquet(f"{staging}/removed")
         touched = changed.select("path", "path_bucket").unionByName(gone.select("path", "path_bucket"))
         buckets = sorted(r.path_bucket for r in touched.select("path_bucket").distinct().collect())
+        counts = staged.agg(
+            F.count_if(F.expr("error IS NULL") & ~changes.hash_unchanged()).alias("indexed"),
+            F.count_if(F.expr("error IS NULL") & changes.hash_unchanged()).alias("hash_skipped"),
+            F.count_if(F.expr("error IS NOT NULL")).alias("failed"),
+        ).first().asDict()
         tables: dict[str, list[int]] = {}
         if buckets:
             texts = changed
             if source:
-                texts = source().join(changed.select("path", "sha256"), ["path", "sha256"], "left_semi")
+                hashes = changed.select("path", "sha256")
+                few = counts["indexed"] <= MAX_TOUCHED
+                texts = source().join(F.broadcast(hashes) if few else hashes.hint("shuffle_hash"), ["path", "sha256"], "left_semi")
             now._rewrite(self._chunk_rows(texts), touched, buckets, version)
             tables = dict.fromkeys(("chunks", "postings", "term_df", "bucket_stats"), buckets)
         known_files = good.select(*schemas.MANIFEST.names)
@@ -242,11 +251,6 @@ class CodeIndex:
         if entries:
             self._write(changes.upsert(now.table("file_manifest", entries), known_files, dropped), "file_manifest", version, "path")
             tables["file_manifest"] = entries
-        counts = staged.agg(
-            F.count_if(F.expr("error IS NULL") & ~changes.hash_unchanged()).alias("indexed"),
-            F.count_if(F.expr("error IS NULL") & changes.hash_unchanged()).alias("hash_skipped"),
-            F.count_if(F.expr("error IS NOT NULL")).alias("failed"),
-        ).first().asDict()
         if tables or scanned or batch:
             self._commit(version, tables, scanned=scanned or counts["indexed"] > 0, batch=batch)
         if counts["failed"]:
@@ -257,12 +261,23 @@ class CodeIndex:
         return {**counts, **left, "removed": gone.count()}
 
     def _rewrite(self, fresh: DataFrame, touched: DataFrame, buckets: list[int], version: int) -> None:
-        """Chunks, then all that follows from them, into the folders of a version. Fresh chunks are written once and read back."""
-        self._write(changes.upsert(self.table("chunks", buckets), fresh, touched), "chunks", version, "path", "chunk_id")
-        chunks = self._written("chunks", version)
+        """Chunks, then all that follows from them, into the folders of a version. Fresh chunks are written once and read back.
+
+        The postings of untouched paths are carried over where few paths are touched. Else those of the whole buckets are made
+        anew from the chunks, which costs less than a join of all postings with many paths.
+        """
         paths = touched.select("path").distinct()
-        posted = fulltext.postings(chunks.join(paths, "path", "left_semi"), searchable(), ("chunk_id", "path", "path_bucket"))
-        self._write(changes.upsert(self.table("postings", buckets), posted, touched), "postings", version, "term")
+        few = touched.limit(MAX_TOUCHED + 1).count() <= MAX_TOUCHED
+        held = any(set(b) & set(buckets) for b in self._folders("chunks").values())
+        rows = changes.upsert(self.table("chunks", buckets), fresh, touched, few) if held else fresh
+        self._write(rows, "chunks", version, "path", "chunk_id")
+        chunks = self._written("chunks", version)
+        carried = held and few
+        changed = chunks.join(F.broadcast(paths), "path", "left_semi") if carried else chunks
+        posted = fulltext.postings(changed, searchable(), ("chunk_id", "path", "path_bucket"))
+        if carried:
+            posted = changes.upsert(self.table("postings", buckets), posted, touched, few)
+        self._write(posted, "postings", version, "term")
         counted = blockmax.term_blocks(self._written("postings", version), "path_bucket")
         self._write(counted.withColumn("path", F.lit("*")), "term_df", version, "term")
         # The lengths come from the chunk table, which also counts chunks without any term.
@@ -281,7 +296,9 @@ class CodeIndex:
         if self.is_applied(batch):
             return {}
         mtime = F.col("mtime_ms").cast("double") if "mtime_ms" in texts.columns else F.lit(None).cast("double")
-        rows = texts.select("path", F.coalesce("text", F.lit("")).alias("text"), mtime.alias("mtime_ms")).filter(
+        # The generator holds the text: filters on its hash would make it anew, below every exchange.
+        held = F.explode(F.array(F.coalesce("text", F.lit("")))).alias("text")
+        rows = texts.select("path", held, mtime.alias("mtime_ms")).filter(
             accepted(self.cfg, patterns=root_ignore_patterns(None))).withColumn("sha256", changes.content_hash(F.col("text")))
         # Texts do not take part in the listing; those that changed are read again from their source.
         state = F.struct(F.coalesce("mtime_ms", F.lit(float("-inf"))).alias("at"), "sha256", F.octet_length("text").cast("bigint").alias("size"), "mtime_ms")
