@@ -8,10 +8,11 @@ own thresholds (-1: skip the part, 0 or 1), by dynamic programming over the part
 recall at the least estimated number of candidates. Part values that very many texts share are skipped, rarer ones get the
 larger radius instead. Probers and owners of a value meet in a group, which emits a spanning forest of the members whose
 codes are near; groups larger than `block` are split into blocks of probers times blocks of owners. The forests' edges are
-then verified on the exact sets of shingles.
+then verified on the exact sets of shingles. A forest leaves pairs of its trees out, which matters only where an edge of a
+tree is refused: then every pair of near codes of that tree whose ends are not linked yet is verified too, first each
+member's nearest ones, then all that are left. So no pair found by the codes is lost.
 
-The recall holds at the least similarity and is higher above it. A chain of texts around that similarity may fall apart where
-an edge of a forest is refused and another one would have held. For `width` 16 the codes suit some 1e7 different texts;
+The recall of the codes holds at the least similarity and is higher above it. For `width` 16 the codes suit some 1e7 different texts;
 beyond that take wider parts and more of them, the thresholds then rise by themselves.
 
 Defined cases: null texts and texts without words have no shingle and are one item; a text of fewer words than a shingle is
@@ -41,6 +42,8 @@ from seekspark.session import written
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 _COUNTS = "part int, value int, n long"
+# So many of its nearest codes beyond its own component a member of a split tree tries before all others.
+NEAREST = 8
 
 
 @dataclass(frozen=True)
@@ -233,8 +236,12 @@ def _forest(code: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _near_rows(group: np.ndarray, code: np.ndarray, radius: int, small: int = 12) -> np.ndarray:
-    """Pairs of row numbers within groups; small groups are compared together, by their distance in order."""
+def _near_rows(group: np.ndarray, code: np.ndarray, radius: int, small: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers within groups; small groups are compared together, by their distance in order.
+
+    Also the tree of every row (-1: none) that has pairs beside the edges of its tree: a tree of a large group with three rows
+    or more. Trees are named by their first row.
+    """
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     few = np.flatnonzero(np.repeat(sizes <= small, sizes))
@@ -247,16 +254,33 @@ def _near_rows(group: np.ndarray, code: np.ndarray, radius: int, small: int = 12
             break
         close = _apart(code[left], code[right]) <= radius
         found.append(np.column_stack([left[close], right[close]]))
+    trees = np.full(len(group), -1)
     for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        found.append(s + _forest(code[s:s + n], radius))
-    return np.concatenate(found)
+        edges = s + _forest(code[s:s + n], radius)
+        found.append(edges)
+        top = np.arange(s, s + n)
+        for parent, child in edges:  # a parent is reached before its children
+            top[child - s] = top[parent - s]
+        held = np.bincount(top - s, minlength=n)[top - s] > 2
+        trees[s:s + n][held] = top[held]
+    return np.concatenate(found), trees
 
 
 def _forests(config: SimilarConfig):
-    def emit(group: np.ndarray, names: list[bytes], code: np.ndarray) -> pa.RecordBatch:
-        pairs = {tuple(sorted((names[i], names[j]))) for i, j in _near_rows(group, code, config.radius) if names[i] != names[j]}
+    """Edges (a, b), and members (tree, a, code) of the trees that have other pairs too."""
+
+    def emit(group: np.ndarray, names: list[bytes], code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near, trees = _near_rows(group, code, config.radius)
+        pairs = {tuple(sorted((names[i], names[j]))) for i, j in near if names[i] != names[j]}
         ends = list(zip(*pairs, strict=True)) if pairs else [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], names=["a", "b"])
+        held = np.flatnonzero(trees >= 0)
+        # The name of a tree: of its group and its first member.
+        tops = [xxhash.xxh3_64_intdigest(names[t] + int(group[t]).to_bytes(8, "little", signed=True)) for t in trees[held]]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(e, pa.binary()) for e in ends), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.binary())], names=["a", "b", "tree", "code"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[i] for i in held], pa.binary()), pa.nulls(len(held), pa.binary()), pa.array(np.array(tops, np.uint64).view(np.int64)),
+             pa.array([code[i].tobytes() for i in held], pa.binary())], names=["a", "b", "tree", "code"])
 
     def run(batches):
         group, names, code = np.zeros(0, np.int64), [], np.zeros((0, config.compared), np.uint64)
@@ -269,16 +293,75 @@ def _forests(config: SimilarConfig):
             # The last group may go on in the next batch.
             whole = int(np.argmax(group == group[-1]))
             if whole >= 1 << 14:
-                yield emit(group[:whole], names, code[:whole])
+                yield from emit(group[:whole], names, code[:whole])
                 group, names, code = group[whole:], names[whole:], code[whole:]
         if len(group):
-            yield emit(group, names, code)
+            yield from emit(group, names, code)
 
     return run
 
 
+def _apart_pairs(radius: int, nearest: int | None):
+    """Pairs of near codes of a tree whose ends have different roots: the nearest of each member, or all (None)."""
+
+    def of_tree(names: np.ndarray, roots: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lists: list[tuple[int, np.ndarray]] = []
+        waiting = 0
+        for i in range(len(names)):
+            far = _apart(code, code[i])
+            other = np.flatnonzero((far <= radius) & (roots != roots[i]) & (np.arange(len(names)) > i if nearest is None else True))
+            if nearest is not None:
+                other = other[np.argsort(far[other], kind="stable")[:nearest]]
+            lists.append((i, other))
+            waiting += len(other)
+            if waiting >= 1 << 14 or (i == len(names) - 1 and waiting):
+                x = np.repeat([i for i, _ in lists], [len(o) for _, o in lists])
+                y = np.concatenate([o for _, o in lists])
+                turned = names[x] > names[y]
+                ends = np.where(turned, names[y], names[x]), np.where(turned, names[x], names[y])
+                yield pa.RecordBatch.from_arrays([pa.array(e.tolist(), pa.binary()) for e in ends], names=["a", "b"])
+                lists, waiting = [], 0
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def cut(last: bool):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            tree = rows.column("tree").to_numpy()
+            starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+            done = len(starts) if last else len(starts) - 1
+            for start, stop in zip(starts[:done], np.r_[starts[1:], len(tree)], strict=False):
+                part = rows.slice(start, stop - start).combine_chunks()
+                names, roots = (np.array(part.column(c).to_pylist(), object) for c in ("a", "root"))
+                yield from of_tree(names, roots, _matrix(part.column("code").chunk(0)))
+            held[:] = [] if last else rows.slice(starts[-1]).to_batches()
+
+        waiting = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                waiting += batch.num_rows
+            if waiting >= 1 << 14:
+                yield from cut(False)
+                waiting = 0
+        if held:
+            yield from cut(True)
+
+    return run
+
+
+def left_out(trees: DataFrame, roots: DataFrame, tried: DataFrame, config: SimilarConfig, nearest: int | None) -> DataFrame:
+    """a, b: pairs of near codes within trees (tree, a, code) whose ends (node, root) are not linked and that were not tried."""
+    width = shuffle_width(trees.sparkSession)
+    rooted = trees.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    # Most trees were linked as a whole; they are not dealt out again.
+    open_trees = rooted.groupBy("tree").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("tree")
+    dealt = rooted.join(open_trees, "tree", "left_semi").select("tree", "a", "root", "code").repartition(width, "tree").sortWithinPartitions("tree", "a")
+    return dealt.mapInArrow(_apart_pairs(config.radius, nearest), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti")
+
+
 def near_codes(distinct: DataFrame, config: SimilarConfig = SimilarConfig()) -> DataFrame:
-    """a, b: forests of near codes. `distinct` has one row (fp, code) per different item.
+    """a, b: forests of near codes; and tree, a, code: the members of trees that leave pairs out, with b null. `distinct` has one row (fp, code) per different item.
 
     To the driver come counts of bit pairs and at most 2^counted counts per part, whatever the number of items.
     """
@@ -368,7 +451,7 @@ def near_codes(distinct: DataFrame, config: SimilarConfig = SimilarConfig()) ->
 
     dealt = distinct.select("fp", "code").mapInArrow(members, "g long, fp binary, code binary")
     dealt = dealt.repartition(shuffle_width(spark), "g").sortWithinPartitions("g", "fp")
-    return dealt.mapInArrow(_forests(config), "a binary, b binary").distinct()
+    return dealt.mapInArrow(_forests(config), "a binary, b binary, tree long, code binary").distinct()
 
 
 def _verified(pairs: DataFrame, config: SimilarConfig) -> DataFrame:
@@ -391,14 +474,23 @@ def _verified(pairs: DataFrame, config: SimilarConfig) -> DataFrame:
 
 
 def _links(docs: DataFrame, key: str, text: str, distinct: DataFrame, config: SimilarConfig) -> DataFrame:
-    edges = written(near_codes(distinct, config), "similar-edges")
+    found = written(near_codes(distinct, config), "similar-edges")
+    edges, trees = found.filter("b IS NOT NULL").select("a", "b"), found.filter("b IS NULL").select("tree", "a", "code")
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
     wanted = distinct.join(ends, "fp", "left_semi").select("fp", F.col("least").alias("_least"))
     named = narrow(docs, _key=key, text=text)
     texts = named.join(wanted, F.col("_key").eqNullSafe(F.col("_least"))).groupBy("fp").agg(F.min("text").alias("text"))
     texts = written(texts, "similar-texts")
     a, b = (texts.select(F.col("fp").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    return _verified(edges.join(a, "a").join(b, "b"), config)
+    verify = lambda pairs: written(_verified(pairs.join(a, "a").join(b, "b"), config), "similar-links")
+    links, tried = verify(edges), edges
+    # A refused edge splits a tree; what the tree left out may still link its parts.
+    for nearest in (NEAREST, None):
+        more = written(left_out(trees, components(links), tried, config, nearest), "similar-more")
+        if more.isEmpty():
+            break
+        links, tried = links.unionByName(verify(more)), tried.unionByName(more)
+    return links
 
 
 def classes(docs: DataFrame, key: str, text: str, config: SimilarConfig = SimilarConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
