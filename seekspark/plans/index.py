@@ -43,6 +43,8 @@ BUCKET_STATS = schemas.struct("path_bucket:int n_chunks:bigint n_terms:bigint pa
 VERSIONS = schemas.struct("version:bigint tables:string wiped:boolean embedding_model:string embedding_dim:int watch_root:string last_full_scan_at:timestamp stream:string batch:bigint")
 TERM_DF = schemas.struct("term:string level:int df:bigint max_tf:bigint min_dl:bigint path:string path_bucket:int")
 STAGED = {"chunks": schemas.CHUNKS, "term_df": TERM_DF, "postings": schemas.POSTINGS, "file_manifest": schemas.MANIFEST, "bucket_stats": BUCKET_STATS}
+#: Made from tables that lie by bucket: a task has few buckets, and its rows are written where they are made.
+DEALT = ("postings", "term_df")
 
 
 #: What stands in for a column that older folders lack.
@@ -152,8 +154,10 @@ class CodeIndex:
     def _write(self, frame: DataFrame, name: str, version: int, *order: str) -> None:
         """A table's buckets of a version that is not committed yet; what a dead attempt left there goes."""
         target = f"{self._where(name)}/version={version}"
-        frame.select(*STAGED[name].names).hint("rebalance", "path_bucket").sortWithinPartitions("path_bucket", *order).write.mode(
-            "overwrite").option("partitionOverwriteMode", "static").partitionBy("path_bucket").parquet(target)
+        rows = frame.select(*STAGED[name].names)
+        rows = rows if name in DEALT else rows.hint("rebalance", "path_bucket")
+        rows.sortWithinPartitions("path_bucket", *order).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("path_bucket").parquet(target)
 
     def _written(self, name: str, version: int) -> DataFrame:
         """What was just written of a version, before it is committed."""
@@ -213,7 +217,7 @@ class CodeIndex:
         known = changes.with_known_state(listed, now.table("file_manifest"))
         too_large = F.lit(False) if source else F.col("size") > self.cfg.max_file_bytes
         left = known.agg(
-            F.count_if(changes.stat_unchanged() & ~too_large).alias("stat_skipped"), F.count_if(too_large).alias("too_large")
+            F.count_if(changes.stat_unchanged() & ~too_large).alias("stat_skipped"), F.count_if(too_large).alias("too_large"),
         ).first().asDict()
         pending = known.filter(~changes.stat_unchanged() & ~too_large)
         if source:
@@ -263,22 +267,18 @@ class CodeIndex:
     def _rewrite(self, fresh: DataFrame, touched: DataFrame, buckets: list[int], version: int) -> None:
         """Chunks, then all that follows from them, into the folders of a version. Fresh chunks are written once and read back.
 
-        The postings of untouched paths are carried over where few paths are touched. Else those of the whole buckets are made
-        anew from the chunks, which costs less than a join of all postings with many paths.
+        The chunks of untouched paths are carried over. Postings are made anew from the chunks of the buckets, which lie by
+        bucket already: they are written where they are made, without an exchange, a file for each piece of a chunk file. So are
+        the counts of the terms of each such file; readers add them up.
         """
-        paths = touched.select("path").distinct()
         few = touched.limit(MAX_TOUCHED + 1).count() <= MAX_TOUCHED
         held = any(set(b) & set(buckets) for b in self._folders("chunks").values())
         rows = changes.upsert(self.table("chunks", buckets), fresh, touched, few) if held else fresh
         self._write(rows, "chunks", version, "path", "chunk_id")
         chunks = self._written("chunks", version)
-        carried = held and few
-        changed = chunks.join(F.broadcast(paths), "path", "left_semi") if carried else chunks
-        posted = fulltext.postings(changed, searchable(), ("chunk_id", "path", "path_bucket"))
-        if carried:
-            posted = changes.upsert(self.table("postings", buckets), posted, touched, few)
+        posted = fulltext.postings(chunks, searchable(), ("chunk_id", "path", "path_bucket"))
         self._write(posted, "postings", version, "term")
-        counted = blockmax.term_blocks(self._written("postings", version), "path_bucket")
+        counted = blockmax.term_counts(self._written("postings", version), "path_bucket")
         self._write(counted.withColumn("path", F.lit("*")), "term_df", version, "term")
         # The lengths come from the chunk table, which also counts chunks without any term.
         sums = chunks.groupBy("path_bucket").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_terms"))
@@ -392,7 +392,7 @@ class CodeIndex:
             return None
         totals = now.table("bucket_stats").agg(F.sum("n_chunks").alias("n_docs"), F.sum("n_terms").alias("_terms"))
         stats = totals.select("n_docs", (F.col("_terms") / F.col("n_docs")).alias("avg_dl"))
-        blocks = now.table("term_df").groupBy("term", "level").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        blocks = blockmax.added(now.table("term_df"))
         return SearchTables(now.table("chunks"), now.table("postings"), stats, self.cfg.path_buckets, blocks)
 
     def search_batch(self, queries: DataFrame, request: SearchRequest | None = None) -> tuple[DataFrame, DataFrame]:
