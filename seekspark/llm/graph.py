@@ -32,3 +32,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         roots = written(moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
         turn += 1
     return roots
+
+
+def joined(roots: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The components (node, root) after further edges. Only the components' roots are followed, not their edges once more."""
+    first, second = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).join(first, "a", "left").join(second, "b", "left")
+    tops = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(moved.unionByName(tops.join(roots, "node", "left_anti")), "roots")

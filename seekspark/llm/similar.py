@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from seekspark.llm import simhash
 from seekspark.llm.common import batch_of, narrow, shuffle_width, slices, small_batches
-from seekspark.llm.graph import components
+from seekspark.llm.graph import components, joined
 from seekspark.llm.simhash import _choose, _masks, _mix, _nonzero, _pair_counts, _words, ball_counts, grouped_bits, part_values
 from seekspark.session import written
 
@@ -473,7 +473,8 @@ def _verified(pairs: DataFrame, config: SimilarConfig) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def _links(docs: DataFrame, key: str, text: str, distinct: DataFrame, config: SimilarConfig) -> DataFrame:
+def _rooted(docs: DataFrame, key: str, text: str, distinct: DataFrame, config: SimilarConfig) -> DataFrame:
+    """node, root for every item that has a link."""
     found = written(near_codes(distinct, config), "similar-edges")
     edges, trees = found.filter("b IS NOT NULL").select("a", "b"), found.filter("b IS NULL").select("tree", "a", "code")
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
@@ -483,14 +484,14 @@ def _links(docs: DataFrame, key: str, text: str, distinct: DataFrame, config: Si
     texts = written(texts, "similar-texts")
     a, b = (texts.select(F.col("fp").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
     verify = lambda pairs: written(_verified(pairs.join(a, "a").join(b, "b"), config), "similar-links")
-    links, tried = verify(edges), edges
+    roots, tried = components(verify(edges)), edges
     # A refused edge splits a tree; what the tree left out may still link its parts.
     for nearest in (NEAREST, None):
-        more = written(left_out(trees, components(links), tried, config, nearest), "similar-more")
+        more = written(left_out(trees, roots, tried, config, nearest), "similar-more")
         if more.isEmpty():
             break
-        links, tried = links.unionByName(verify(more)), tried.unionByName(more)
-    return links
+        roots, tried = joined(roots, verify(more)), tried.unionByName(more)
+    return roots
 
 
 def classes(docs: DataFrame, key: str, text: str, config: SimilarConfig = SimilarConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -500,6 +501,6 @@ def classes(docs: DataFrame, key: str, text: str, config: SimilarConfig = Simila
     """
     table = written(codes(docs, key, text, config), "similar")
     distinct = written(table.groupBy("fp").agg(F.min("key").alias("least"), F.min("code").alias("code")), "similar-distinct")
-    roots = components(_links(docs, key, text, distinct, config)).select(F.col("node").alias("fp"), "root")
+    roots = _rooted(docs, key, text, distinct, config).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return table.select("key", "fp"), rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("least").alias("component_id"))
