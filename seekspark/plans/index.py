@@ -33,7 +33,7 @@ from seekspark.plans.search import (
     SearchRequest, SearchTables, bucket_of, error_json, hit_payload, queries_frame, result_json, search_plan, search_requests,
     with_vectors,
 )
-from seekspark.sources.files import accepted, not_below, read_texts, stat_files, walk_files
+from seekspark.sources.files import accepted, dealt_by_bytes, not_below, read_texts, stat_files, walk_files
 from seekspark.session import shared_folder, written
 
 log = logging.getLogger(__name__)
@@ -218,13 +218,15 @@ class CodeIndex:
         too_large = F.lit(False) if source else F.col("size") > self.cfg.max_file_bytes
         left = known.agg(
             F.count_if(changes.stat_unchanged() & ~too_large).alias("stat_skipped"), F.count_if(too_large).alias("too_large"),
+            F.coalesce(F.sum(F.when(~changes.stat_unchanged() & ~too_large, F.col("size"))), F.lit(0)).alias("bytes"),
         ).first().asDict()
+        pending_bytes = left.pop("bytes")
         pending = known.filter(~changes.stat_unchanged() & ~too_large)
         if source:
             read_once = pending.withColumn("error", F.lit(None).cast("string"))
         else:
             # Staged with their texts: reading files again for every table could see other contents.
-            read_once = read_texts(pending, self.cfg).withColumn("sha256", changes.content_hash(F.col("text")))
+            read_once = read_texts(dealt_by_bytes(pending, pending_bytes), self.cfg).withColumn("sha256", changes.content_hash(F.col("text")))
         self._bucket(read_once).write.parquet(f"{staging}/files")
         staged = self.spark.read.parquet(f"{staging}/files")
         good = staged.filter("error IS NULL")

@@ -22,6 +22,10 @@ from seekspark.session import shared_folder
 from seekspark.sources.stores import store_of
 
 READ_SCHEMA = struct("path:string text:string error:string")
+#: So many entries of a directory go on together.
+PIECE = 1 << 14
+#: So many bytes of files are read by one task.
+READ_BYTES = 32 << 20
 
 
 def ignore_patterns(cfg: EngineConfig) -> list[str]:
@@ -52,7 +56,8 @@ def _entries(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
                     rows = store.entries(relative)
                 except OSError as failure:
                     rows = [(relative, 0, 0.0, True, str(failure))]
-                yield pd.DataFrame(rows, columns=LISTING.names)
+                for at in range(0, len(rows), PIECE):
+                    yield pd.DataFrame(rows[at:at + PIECE], columns=LISTING.names)
 
     return run
 
@@ -63,12 +68,14 @@ def walk_files(spark: SparkSession, cfg: EngineConfig) -> tuple[DataFrame, DataF
     Nothing is known of a failed path and what lies below it. If the root itself cannot be listed, the walk fails.
     """
     folder = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
-    patterns = ignore_patterns(cfg)
+    patterns, tasks = ignore_patterns(cfg), spark.sparkContext.defaultParallelism
     level, depth = spark.createDataFrame([("",)], "path string"), 0
     keep = F.col("error").isNotNull() | (F.col("is_dir") & accepted(cfg, True, patterns)) | (~F.col("is_dir") & accepted(cfg, False, patterns))
     while True:
         target = f"{folder}/depth={depth}"
-        level.mapInPandas(_entries(cfg.watch_root), LISTING).filter(keep).write.parquet(target)
+        entries = level.mapInPandas(_entries(cfg.watch_root), LISTING).repartition(tasks, "path")
+        # One directory may hold all files, and only one task lists it: what follows is dealt out. The generator keeps the filter above it.
+        entries.withColumn("path", F.explode(F.array("path"))).filter(keep).select(*LISTING.names).write.parquet(target)
         listed = spark.read.schema(LISTING).parquet(target)
         if depth == 0 and (failed := listed.filter("path = '' AND error IS NOT NULL").first()):
             raise OSError(f"the root cannot be listed: {failed['error']}")
@@ -76,7 +83,7 @@ def walk_files(spark: SparkSession, cfg: EngineConfig) -> tuple[DataFrame, DataF
         if directories.isEmpty():
             break
         # Listing is latency bound: spread the directories over all tasks.
-        level, depth = directories.repartition(spark.sparkContext.defaultParallelism, "path"), depth + 1
+        level, depth = directories.repartition(tasks, "path"), depth + 1
     everything = spark.read.schema(LISTING).parquet(*[f"{folder}/depth={d}" for d in range(depth + 1)])
     return everything.filter("NOT is_dir AND error IS NULL").drop("is_dir", "error"), everything.filter("error IS NOT NULL").select("path", "error")
 
@@ -108,6 +115,12 @@ def stat_files(named: DataFrame, cfg: EngineConfig) -> DataFrame:
     return named.select("path").mapInPandas(run, struct("path:string size:bigint mtime_ms:double"))
 
 
+def dealt_by_bytes(named: DataFrame, total: int) -> DataFrame:
+    """Files to be read, (path, ...) of so many bytes together, dealt out to tasks: a listing lies in few pieces, as its rows are short."""
+    tasks = max(2 * named.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    return named.repartition(tasks, "path")
+
+
 def read_texts(named: DataFrame, cfg: EngineConfig, batch_bytes: int = 32 * 1024 * 1024) -> DataFrame:
     """Adds text and error to (path, ...). Invalid bytes become U+FFFD; a failed read does not stop the job."""
     root, columns = cfg.watch_root, named.columns
