@@ -6,16 +6,16 @@ A backend is built once per Python worker and called with small batches of texts
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekspark.config import ConfigError, EngineConfig
+from seekspark.operators import words
 
 VECTOR = T.ArrayType(T.FloatType())
 Embed = Callable[[Sequence[str]], np.ndarray]
@@ -40,11 +40,15 @@ def hashing_embedder(dim: int) -> Embed:
     places = Places()
 
     def embed(texts: Sequence[str]) -> np.ndarray:
+        lowered = pa.array([text.lower() for text in texts], pa.large_string())
         out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            found = re.findall(r"[a-z0-9_]+", text.lower())
-            counts = np.bincount(np.fromiter(map(places.__getitem__, found), np.int64, len(found)), minlength=2 * dim)
-            out[row] = counts[:dim] - counts[dim:]
+        for at, stop in words.pieces(lowered):
+            found, lengths = words.terms_of(lowered.slice(at, stop - at))
+            terms = found.dictionary_encode()
+            place = np.fromiter(map(places.__getitem__, terms.dictionary.to_pylist()), np.int64, len(terms.dictionary))
+            cell = np.repeat(np.arange(stop - at), lengths) * 2 * dim + place[terms.indices.to_numpy()]
+            counts = np.bincount(cell, minlength=2 * dim * (stop - at)).reshape(-1, 2, dim)
+            out[at:stop] = counts[:, 0] - counts[:, 1]
         return unit_rows(out)
 
     return embed
@@ -80,18 +84,19 @@ def embed_column(text: Column, cfg: EngineConfig, make_embedder: Callable[[], Em
     batch = 1024 if make_embedder is None else cfg.embed_batch_size
     dim = cfg.embedding_dim
 
-    @F.pandas_udf(VECTOR)
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(VECTOR)
+    def run(series: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = make_embedder() if make_embedder else hashing_embedder(dim)
         for texts in series:
-            values = texts.fillna("").tolist()
-            out: list = []
+            values = texts.fill_null("").to_pylist()
+            out = np.zeros((len(values), dim), np.float32)
             for at in range(0, len(values), batch):
                 part = values[at : at + batch]
                 vectors = np.asarray(embed(part))
                 if vectors.shape != (len(part), dim):
                     raise ValueError(f"embedder returned shape {vectors.shape} for {len(part)} texts")
-                out.extend(vectors.astype(np.float32))
-            yield pd.Series(out)
+                out[at : at + batch] = vectors
+            # One buffer for all vectors; a list of arrays would be put together value by value.
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * dim, pa.int32()), pa.array(out.ravel()))
 
     return run(text)

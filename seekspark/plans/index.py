@@ -271,7 +271,7 @@ class CodeIndex:
 
         The chunks of untouched paths are carried over. Postings are made anew from the chunks of the buckets, which lie by
         bucket already: they are written where they are made, without an exchange, a file for each piece of a chunk file. So are
-        the counts of the terms of each such file; readers add them up.
+        the counts of the terms, from the texts again, as that costs less than reading every posting; readers add them up.
         """
         few = touched.limit(MAX_TOUCHED + 1).count() <= MAX_TOUCHED
         held = any(set(b) & set(buckets) for b in self._folders("chunks").values())
@@ -280,7 +280,7 @@ class CodeIndex:
         chunks = self._written("chunks", version)
         posted = fulltext.postings(chunks, searchable(), ("chunk_id", "path", "path_bucket"))
         self._write(posted, "postings", version, "term")
-        counted = blockmax.term_counts(self._written("postings", version), "path_bucket")
+        counted = blockmax.text_counts(chunks, searchable(), "path_bucket")
         self._write(counted.withColumn("path", F.lit("*")), "term_df", version, "term")
         # The lengths come from the chunk table, which also counts chunks without any term.
         sums = chunks.groupBy("path_bucket").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_terms"))
