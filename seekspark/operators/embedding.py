@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from seekspark.operators import words
 
 VECTOR = T.ArrayType(T.FloatType())
 Embed = Callable[[Sequence[str]], np.ndarray]
+#: So many terms are remembered by the stand-in.
+PLACES = 400_000
 
 
 def hashing_embedder(dim: int) -> Embed:
@@ -27,15 +30,24 @@ def hashing_embedder(dim: int) -> Embed:
     The slot and sign of a term come from the first eight hex digits of its MD5.
     """
 
-    class Places(dict):
-        """The slot of a term; those of negative terms follow the positive ones."""
-
-        def __missing__(self, term: str) -> int:
-            if len(self) > 200_000:
-                self.clear()
-            value = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
-            self[term] = value % dim + dim * ((value // dim) % 2)
-            return self[term]
+    class Places:
+        """The slots of terms; those of negative terms follow the positive ones. Known terms are looked up without making strings of them."""
+
+        def __init__(self) -> None:
+            self.terms, self.slots = pa.array([], pa.string()), np.zeros(0, np.int64)
+
+        def of(self, terms: pa.Array) -> np.ndarray:
+            at = pc.index_in(terms, self.terms)
+            if at.null_count:
+                new = terms.filter(at.is_null())
+                if len(self.terms) + len(new) > PLACES:
+                    self.__init__()
+                    new = terms
+                values = np.fromiter((int.from_bytes(hashlib.md5(term.encode()).digest()[:4]) for term in new.to_pylist()), np.int64, len(new))
+                self.slots = np.append(self.slots, values % dim + dim * (values // dim % 2))
+                self.terms = pa.concat_arrays([self.terms, new])
+                at = pc.index_in(terms, self.terms)
+            return self.slots[at.to_numpy()]
 
     places = Places()
 
@@ -45,8 +57,7 @@ def hashing_embedder(dim: int) -> Embed:
         for at, stop in words.pieces(lowered):
             found, lengths = words.terms_of(lowered.slice(at, stop - at))
             terms = found.dictionary_encode()
-            place = np.fromiter(map(places.__getitem__, terms.dictionary.to_pylist()), np.int64, len(terms.dictionary))
-            cell = np.repeat(np.arange(stop - at), lengths) * 2 * dim + place[terms.indices.to_numpy()]
+            cell = np.repeat(np.arange(stop - at), lengths) * 2 * dim + places.of(terms.dictionary)[terms.indices.to_numpy()]
             counts = np.bincount(cell, minlength=2 * dim * (stop - at)).reshape(-1, 2, dim)
             out[at:stop] = counts[:, 0] - counts[:, 1]
         return unit_rows(out)
@@ -81,8 +92,8 @@ def embed_column(text: Column, cfg: EngineConfig, make_embedder: Callable[[], Em
     if make_embedder is None and cfg.embedding_model != "hashing":
         raise ConfigError(f"the embedding model {cfg.embedding_model!r} needs a function that makes its embedder")
     # The stand-in has no model call to size batches for.
-    batch = 1024 if make_embedder is None else cfg.embed_batch_size
     dim = cfg.embedding_dim
+    batch = max(1024, (1 << 19) // dim) if make_embedder is None else cfg.embed_batch_size
 
     @F.arrow_udf(VECTOR)
     def run(series: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -14,7 +14,8 @@ import json
 import logging
 import os
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -39,16 +40,25 @@ from seekspark.session import shared_folder, written
 log = logging.getLogger(__name__)
 #: So many changed paths are broadcast to the rows of their buckets.
 MAX_TOUCHED = 100_000
+#: So many as 64-bit hashes, once it is known that no other path shares one.
+MAX_HASHED = 4_000_000
+#: Texts of so many bytes are divided by one task, and the least that are worth another one.
+PIECE_BYTES, LEAST_PIECE = 64 << 20, 2 << 20
+#: So many buckets may be written at once by a task whose rows are not sorted by bucket; for others it sorts them.
+OPEN_BUCKETS = 8
 BUCKET_STATS = schemas.struct("path_bucket:int n_chunks:bigint n_terms:bigint path:string")
 VERSIONS = schemas.struct("version:bigint tables:string wiped:boolean embedding_model:string embedding_dim:int watch_root:string last_full_scan_at:timestamp stream:string batch:bigint")
 TERM_DF = schemas.struct("term:string level:int df:bigint max_tf:bigint min_dl:bigint path:string path_bucket:int")
 STAGED = {"chunks": schemas.CHUNKS, "term_df": TERM_DF, "postings": schemas.POSTINGS, "file_manifest": schemas.MANIFEST, "bucket_stats": BUCKET_STATS}
-#: Made from tables that lie by bucket: a task has few buckets, and its rows are written where they are made.
+#: Made from tables that lie by bucket: a task has few buckets, and its rows are written where they are made, in the order in which
+#: they are made, which is that of the table.
 DEALT = ("postings", "term_df")
+#: The keys of postings repeat all over a row group: it must not outgrow their dictionaries.
+FORMAT = {"postings": {"parquet.block.size": 32 << 20, "parquet.dictionary.page.size": 8 << 20}}
 
 
 #: What stands in for a column that older folders lack.
-DEFAULTS: dict[str, dict[str, Callable[[], Column]]] = {"chunks": {"definition_of": lambda: F.lit(""), "dl": lambda: chunk_length()}}
+DEFAULTS: dict[str, dict[str, Callable[[], Column]]] = {"chunks": {"definition_of": lambda: F.lit(""), "dl": lambda: missing_length()}}
 
 
 def searchable() -> Column:
@@ -57,7 +67,12 @@ def searchable() -> Column:
 
 
 def chunk_length() -> Column:
-    return F.size(fulltext.index_terms(searchable())).cast("bigint")
+    return fulltext.term_count(F.lower(searchable()))
+
+
+def missing_length() -> Column:
+    """The length of a chunk that lacks it; texts of others are not looked at."""
+    return fulltext.term_count(F.when(F.col("dl").isNull(), F.lower(searchable())))
 
 
 class CodeIndex:
@@ -152,12 +167,29 @@ class CodeIndex:
         return bool(self._folders("chunks"))
 
     def _write(self, frame: DataFrame, name: str, version: int, *order: str) -> None:
-        """A table's buckets of a version that is not committed yet; what a dead attempt left there goes."""
+        """A table's buckets of a version that is not committed yet; what a dead attempt left there goes. Chunks come by bucket
+        already, a few in every task; so does what is DEALT, which is sorted, too."""
         target = f"{self._where(name)}/version={version}"
         rows = frame.select(*STAGED[name].names)
-        rows = rows if name in DEALT else rows.hint("rebalance", "path_bucket")
-        rows.sortWithinPartitions("path_bucket", *order).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("path_bucket").parquet(target)
+        if name not in DEALT:
+            rows = rows if name == "chunks" else rows.hint("rebalance", "path_bucket")
+            rows = rows.sortWithinPartitions("path_bucket", *order)
+        with self._unsorted(name in DEALT):
+            rows.write.mode("overwrite").options(**FORMAT.get(name, {})).option(
+                "partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("path_bucket").parquet(target)
+
+    @contextmanager
+    def _unsorted(self, wanted: bool = True) -> Iterator[None]:
+        """While it holds, a task keeps some buckets open instead of sorting its rows by bucket."""
+        name = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(name, None)
+        if wanted:
+            self.spark.conf.set(name, str(OPEN_BUCKETS))
+        try:
+            yield
+        finally:
+            if wanted:
+                self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
 
     def _written(self, name: str, version: int) -> DataFrame:
         """What was just written of a version, before it is committed."""
@@ -191,23 +223,33 @@ class CodeIndex:
     def _bucket(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn("path_bucket", bucket_of(F.col("path"), self.cfg.path_buckets))
 
+    def _dealt(self, rows: DataFrame, buckets: Sequence[int], tasks: int) -> DataFrame:
+        """Rows with a path_bucket dealt out to about so many tasks. A bucket goes to several, if there are fewer buckets, and a
+        task has one then."""
+        if len(buckets) >= tasks:
+            return rows.repartition(tasks, "path_bucket")
+        each = -(-tasks // len(buckets))
+        number = F.array_position(F.lit(list(buckets)), F.col("path_bucket")).cast("int") - 1
+        return rows.repartitionById(each * len(buckets), number * each + F.pmod(F.hash("path"), F.lit(each)))
+
     def _chunk_rows(self, texts: DataFrame) -> DataFrame:
-        """(path, text) -> rows of the chunk table."""
-        cut = chunk_files(texts.select("path", "text"), self.cfg)
+        """(path, path_bucket, text) -> rows of the chunk table."""
+        cut = chunk_files(texts.select("path", "path_bucket", "text"), self.cfg)
         rows = cut.withColumns({
             "chunk_id": chunk_id(F.col("path"), F.col("ordinal")),
             "header": storage_header(F.col("path")),
             "vector": embed_column(embedding_text(self.cfg.embed_definition_tag), self.cfg),
             "definition_of": F.coalesce("definition_of", F.lit("")),
         }).withColumn("dl", chunk_length())
-        return self._bucket(rows).select(*schemas.CHUNKS.names)
+        return rows.select(*schemas.CHUNKS.names)
 
     def _index(self, listed: DataFrame, removed: DataFrame, source: Callable[[], DataFrame] | None = None, scanned: bool = False,
-               batch: tuple[str, int] | None = None) -> dict[str, int]:
+               batch: tuple[str, int] | None = None, repeated: bool = False) -> dict[str, int]:
         """Brings the tables up to the listed files (path, size, mtime_ms) and drops the removed paths, as one version.
 
         source: gives (path, text) of texts at hand; the listing then has their sha256, only it is staged, and max_file_bytes
-        does not hold. By default the files are opened below the root, and what was read is staged.
+        does not hold; ``repeated``: it has other texts of these paths, too. By default the files are opened below the root, and
+        what was read is staged.
         """
         if self.pinned is not None:
             raise ConfigError("a reader of one version does not write")
@@ -241,15 +283,20 @@ class CodeIndex:
             F.count_if(F.expr("error IS NULL") & ~changes.hash_unchanged()).alias("indexed"),
             F.count_if(F.expr("error IS NULL") & changes.hash_unchanged()).alias("hash_skipped"),
             F.count_if(F.expr("error IS NOT NULL")).alias("failed"),
+            F.coalesce(F.sum(F.when(F.expr("error IS NULL") & ~changes.hash_unchanged(), F.col("size"))), F.lit(0)).alias("bytes"),
         ).first().asDict()
+        changed_bytes = counts.pop("bytes")
         tables: dict[str, list[int]] = {}
         if buckets:
             texts = changed
-            if source:
-                hashes = changed.select("path", "sha256")
-                few = counts["indexed"] <= MAX_TOUCHED
-                texts = source().join(F.broadcast(hashes) if few else hashes.hint("shuffle_hash"), ["path", "sha256"], "left_semi")
-            now._rewrite(self._chunk_rows(texts), touched, buckets, version)
+            if source and counts["indexed"]:
+                wanted, every = changed.select("path", "sha256"), not counts["hash_skipped"] and not left["stat_skipped"]
+                hashed = not repeated and MAX_TOUCHED < counts["indexed"] <= MAX_HASHED and (every or not changes.share_a_hash(listed, wanted))
+                texts = changes.rows_of(source(), wanted, counts["indexed"] <= MAX_TOUCHED, hashed)
+            if counts["indexed"]:
+                tasks = min(2 * self.spark.sparkContext.defaultParallelism, changed_bytes // LEAST_PIECE)
+                texts = self._dealt(self._bucket(texts.select("path", "text")), buckets, max(1, tasks, -(-changed_bytes // PIECE_BYTES)))
+            now._rewrite(self._chunk_rows(texts) if counts["indexed"] else None, touched, buckets, version)
             tables = dict.fromkeys(("chunks", "postings", "term_df", "bucket_stats"), buckets)
         known_files = good.select(*schemas.MANIFEST.names)
         dropped = known_files.select("path", "path_bucket").unionByName(gone.select("path", "path_bucket"))
@@ -266,19 +313,27 @@ class CodeIndex:
             log.warning("%s files are larger than max_file_bytes and %s", left["too_large"], kept)
         return {**counts, **left, "removed": gone.count()}
 
-    def _rewrite(self, fresh: DataFrame, touched: DataFrame, buckets: list[int], version: int) -> None:
-        """Chunks, then all that follows from them, into the folders of a version. Fresh chunks are written once and read back.
+    def _rewrite(self, fresh: DataFrame | None, touched: DataFrame, buckets: list[int], version: int) -> None:
+        """Chunks, then all that follows from them, into the folders of a version. Fresh chunks lie by bucket already; they are
+        written once and read back.
 
-        The chunks of untouched paths are carried over. Postings are made anew from the chunks of the buckets, which lie by
-        bucket already: they are written where they are made, without an exchange, a file for each piece of a chunk file. So are
+        The chunks of untouched paths are carried over where they lie. Postings are made anew from the chunks of the buckets: they
+        are sorted and written where they are made, without an exchange, a file for each piece of a chunk file. So are
         the counts of the terms, from the texts again, as that costs less than reading every posting; readers add them up.
         """
-        few = touched.limit(MAX_TOUCHED + 1).count() <= MAX_TOUCHED
-        held = any(set(b) & set(buckets) for b in self._folders("chunks").values())
-        rows = changes.upsert(self.table("chunks", buckets), fresh, touched, few) if held else fresh
+        held = self.table("chunks", buckets)
+        if any(set(b) & set(buckets) for b in self._folders("chunks").values()):
+            n = touched.count()
+            hashed = MAX_TOUCHED < n <= MAX_HASHED and not changes.share_a_hash(held, touched, "path")
+            kept = changes.untouched(held, touched, n <= MAX_TOUCHED, hashed)
+            # Rows that were dealt out for the join by path do not lie by bucket.
+            kept = kept if n <= MAX_TOUCHED or hashed else kept.hint("rebalance", "path_bucket")
+            rows = kept if fresh is None else kept.unionByName(fresh)
+        else:
+            rows = held if fresh is None else fresh
         self._write(rows, "chunks", version, "path", "chunk_id")
         chunks = self._written("chunks", version)
-        posted = fulltext.postings(chunks, searchable(), ("chunk_id", "path", "path_bucket"))
+        posted = fulltext.postings(chunks, searchable(), ("chunk_id", "path", "path_bucket"), runs_of="path_bucket")
         self._write(posted, "postings", version, "term")
         counted = blockmax.text_counts(chunks, searchable(), "path_bucket")
         self._write(counted.withColumn("path", F.lit("*")), "term_df", version, "term")
@@ -315,7 +370,7 @@ class CodeIndex:
             found = rows.select("path", "text", "sha256")
             return found.dropDuplicates(["path", "sha256"]) if repeated else found
 
-        return self._index(listed.drop("_n"), gone, source, scanned=True, batch=batch)
+        return self._index(listed.drop("_n"), gone, source, scanned=True, batch=batch, repeated=repeated)
 
     def apply_texts(self, events: DataFrame, batch: tuple[str, int] | None = None) -> dict[str, int]:
         """(seq, path, event, text): the last event of each path decides; its text is indexed, or the path goes."""
