@@ -34,7 +34,7 @@ from seekspark.plans.search import (
     SearchRequest, SearchTables, bucket_of, error_json, hit_payload, queries_frame, result_json, search_plan, search_requests,
     with_vectors,
 )
-from seekspark.sources.files import accepted, dealt_by_bytes, not_below, read_texts, stat_files, walk_files
+from seekspark.sources.files import accepted, not_below, read_texts, reading_tasks, stat_files, walk_files
 from seekspark.session import shared_folder, written
 
 log = logging.getLogger(__name__)
@@ -54,7 +54,7 @@ STAGED = {"chunks": schemas.CHUNKS, "term_df": TERM_DF, "postings": schemas.POST
 #: they are made, which is that of the table.
 DEALT = ("postings", "term_df")
 #: The keys of postings repeat all over a row group: it must not outgrow their dictionaries.
-FORMAT = {"postings": {"parquet.block.size": 32 << 20, "parquet.dictionary.page.size": 8 << 20}}
+FORMAT = {"postings": {"parquet.block.size": 32 << 20, "parquet.dictionary.page.size": 8 << 20}, "staging": {"parquet.block.size": 32 << 20, "compression": "zstd"}}
 
 
 #: What stands in for a column that older folders lack.
@@ -268,9 +268,14 @@ class CodeIndex:
             read_once = pending.withColumn("error", F.lit(None).cast("string"))
         else:
             # Staged with their texts: reading files again for every table could see other contents.
-            read_once = read_texts(dealt_by_bytes(pending, pending_bytes), self.cfg).withColumn("sha256", changes.content_hash(F.col("text")))
-        self._bucket(read_once).write.parquet(f"{staging}/files")
-        staged = self.spark.read.parquet(f"{staging}/files")
+            # They are opened by bucket, so that their chunks are made and written where the texts lie.
+            dealt = self._dealt(self._bucket(pending), range(self.cfg.path_buckets), reading_tasks(self.spark, pending_bytes))
+            read_once = read_texts(dealt, self.cfg).withColumn("sha256", changes.content_hash(F.col("text")))
+        read_once = self._bucket(read_once)
+        with self._unsorted(not source):
+            rows = read_once.write.options(**FORMAT["staging"])
+            (rows if source else rows.partitionBy("path_bucket")).parquet(f"{staging}/files")
+        staged = self.spark.read.schema(read_once.schema).parquet(f"{staging}/files")
         good = staged.filter("error IS NULL")
         changed = good.filter(~changes.hash_unchanged())
         if self.cfg.strict_size and not source:
@@ -292,10 +297,9 @@ class CodeIndex:
             if source and counts["indexed"]:
                 wanted, every = changed.select("path", "sha256"), not counts["hash_skipped"] and not left["stat_skipped"]
                 hashed = not repeated and MAX_TOUCHED < counts["indexed"] <= MAX_HASHED and (every or not changes.share_a_hash(listed, wanted))
-                texts = changes.rows_of(source(), wanted, counts["indexed"] <= MAX_TOUCHED, hashed)
-            if counts["indexed"]:
+                found = changes.rows_of(source(), wanted, counts["indexed"] <= MAX_TOUCHED, hashed).select("path", "text")
                 tasks = min(2 * self.spark.sparkContext.defaultParallelism, changed_bytes // LEAST_PIECE)
-                texts = self._dealt(self._bucket(texts.select("path", "text")), buckets, max(1, tasks, -(-changed_bytes // PIECE_BYTES)))
+                texts = self._dealt(self._bucket(found), buckets, max(1, tasks, -(-changed_bytes // PIECE_BYTES)))
             now._rewrite(self._chunk_rows(texts) if counts["indexed"] else None, touched, buckets, version)
             tables = dict.fromkeys(("chunks", "postings", "term_df", "bucket_stats"), buckets)
         known_files = good.select(*schemas.MANIFEST.names)

@@ -117,8 +117,12 @@ def stat_files(named: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 def dealt_by_bytes(named: DataFrame, total: int) -> DataFrame:
     """Files to be read, (path, ...) of so many bytes together, dealt out to tasks: a listing lies in few pieces, as its rows are short."""
-    tasks = max(2 * named.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
-    return named.repartition(tasks, "path")
+    return named.repartition(reading_tasks(named.sparkSession, total), "path")
+
+
+def reading_tasks(spark: SparkSession, total: int) -> int:
+    """Tasks to read files of so many bytes together. Small ones are latency bound."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-total // READ_BYTES))
 
 
 def read_texts(named: DataFrame, cfg: EngineConfig, batch_bytes: int = 32 * 1024 * 1024) -> DataFrame:
